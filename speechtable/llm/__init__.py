@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality, secrets, simhash
+from . import decontaminate, fingerprint, mixing, quality, recompress, secrets, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_simhash_near_dedup": simhash.query,
         "op7_source_mixing": mixing.query,
         "op8_quality_classifier": quality.query,
+        "op9_substring_dedup": recompress.query,
+        "op10_document_fingerprints": fingerprint.query,
     }
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, mixing, pii, quality, recompress, secrets, simhash, urls
+from . import decontaminate, fingerprint, mixing, pii, quality, recompress, secrets, simhash, tokens, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_url_filters": urls.query,
         "op2_benchmark_decontamination": decontaminate.query,
         "op3_personal_data": pii.query,
+        "op4_token_counts": tokens.query,
         "op5_secret_scans": secrets.query,
         "op6_simhash_near_dedup": simhash.query,
         "op7_source_mixing": mixing.query,

@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import conversation
+
 FLAGSHIP = "a9_export_vtt"
+_REGISTRIES = (conversation.registry,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: q for r in _REGISTRIES for k, q in r.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for r in _REGISTRIES for k, s in r.sql.items()}

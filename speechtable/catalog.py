@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import conversation
+from .plans import conversation, signals, streams
 
 FLAGSHIP = "a9_export_vtt"
-_REGISTRIES = (conversation.registry,)
+_REGISTRIES = (conversation.registry, signals.registry, streams.registry)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 THRESHOLD, MIN_SILENCE, FRAME, RATE = 0.45, 13, 512, 16000
-_ORDER = Window.partitionBy("session_id").orderBy("frame_idx")
-_SO_FAR = _ORDER.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _order() -> Window:
+    return Window.partitionBy("session_id").orderBy("frame_idx")
 
 
 def voiced(prob: Column, threshold: float = THRESHOLD) -> Column:
@@ -21,8 +23,9 @@ def voiced(prob: Column, threshold: float = THRESHOLD) -> Column:
 
 def vad_state(frames: DataFrame, min_silence: int = MIN_SILENCE) -> DataFrame:
     """frames (session_id, frame_idx, voiced) with is_speaking, segment_started, segment_ended, segment_no."""
-    last = F.last(F.when(F.col("voiced"), F.col("frame_idx")), True).over(_SO_FAR)
-    before = F.last(F.when(F.col("voiced"), F.col("frame_idx")), True).over(_ORDER.rowsBetween(Window.unboundedPreceding, -1))
+    so_far = _order().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.last(F.when(F.col("voiced"), F.col("frame_idx")), True).over(so_far)
+    before = F.last(F.when(F.col("voiced"), F.col("frame_idx")), True).over(_order().rowsBetween(Window.unboundedPreceding, -1))
     df = frames.withColumns({"last_voiced": last, "_before": before})
     run = F.col("frame_idx") - F.col("last_voiced")
     df = df.withColumns({
@@ -30,7 +33,7 @@ def vad_state(frames: DataFrame, min_silence: int = MIN_SILENCE) -> DataFrame:
         "segment_ended": F.coalesce(run == min_silence, F.lit(False)),
         "segment_started": F.coalesce(F.col("voiced") & (F.col("_before").isNull() | (F.col("frame_idx") - F.col("_before") > min_silence)), F.lit(False)),
     })
-    return df.withColumn("segment_no", F.sum(F.col("segment_started").cast("long")).over(_SO_FAR)).drop("_before")
+    return df.withColumn("segment_no", F.sum(F.col("segment_started").cast("long")).over(so_far)).drop("_before")
 
 
 def speech_segments(vad: DataFrame, min_silence: int = MIN_SILENCE) -> DataFrame:

@@ -46,3 +46,13 @@ def ascii_lower(text: Column) -> Column:
 
 def hex_digest(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
+
+
+def once(df: DataFrame, *columns: str) -> DataFrame:
+    """df with these columns computed in one place.
+
+    The optimizer moves a filter below the projection that makes its column and repeats the whole expression there, as
+    often as it is used; it doesn't move it below a generator.
+    """
+    others = [c for c in df.columns if c not in columns]
+    return df.select(*others, F.explode_outer(F.array(F.struct(*columns))).alias("_once")).select(*others, *(F.col(f"_once.{c}").alias(c) for c in columns))

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, hex_digest, table
+from .common import ascii_lower, hex_digest, once, table
 
 #: fixed values: what separates words in lower-cased text, and in text as it is
 SEPARATOR = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
@@ -138,7 +138,7 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = N, **limits) -> DataF
 def remove(docs: DataFrame, benchmark: DataFrame, what: str = "documents", n: int = N, **limits) -> DataFrame:
     """docs without contaminated documents, or with what="spans" without the words (and the separators before each) that
     lie in a window; clean documents stay as they are, and n_chars, where there is one, follows the text."""
-    found = scan(docs, benchmark, n, **limits)
+    found = once(scan(docs, benchmark, n, **limits), "_dc_found", "_dc_hit")
     if what == "documents":
         return _drop(found.filter(F.col("_dc_hit") == 0))
     if what != "spans":

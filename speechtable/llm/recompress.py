@@ -39,7 +39,7 @@ from .common import hex_digest, table, written
 WINDOW, ROUNDS = 20, 7
 MAP_BITS_LEAST, MAP_BITS_MOST = 1 << 20, 1 << 28
 #: windows in a bucket, documents in a bucket, bytes of text worked on at once
-BUCKET_WINDOWS, BUCKET_BYTES, SLICE = 1_000_000, 32_000_000, 2_000_000
+BUCKET_WINDOWS, BUCKET_BYTES, SLICE = 1_000_000, 32_000_000, 500_000
 LAST = np.iinfo(np.int64).max
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 _IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])

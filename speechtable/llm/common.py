@@ -48,6 +48,11 @@ def hex_digest(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once, also where use has it inside a function over an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def once(df: DataFrame, *columns: str) -> DataFrame:
     """df with these columns computed in one place.
 

@@ -9,6 +9,12 @@ SAMPLE_RATE, FRAME = 16000, 512
 SPEAKER_LETTERS = "ABCDEFGH"
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once. A plain expression inside a function over an array is computed for each
+    element anew."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 # -- samples ------------------------------------------------------------------------------------------------------
 def normalize_frame(samples: Column, n: int = FRAME) -> Column:
     """Exactly n samples: cut, or filled up with zeros."""
@@ -49,11 +55,9 @@ def slice_samples(samples: Column, start: Column, end: Column) -> Column:
 
 def mix_at_snr(speech: Column, noise: Column, speech_rms: Column, snr_db: Column) -> Column:
     """Noise of unit loudness scaled to snr_db below the speech and added; a peak above 0.98 is brought down to it."""
-    gain = speech_rms / F.pow(F.lit(10.0), snr_db / 20)
-    mixed = F.zip_with(speech, noise, lambda s, n: s + n * gain)
-    peak = F.array_max(F.transform(mixed, F.abs))
-    scale = F.when(peak > 0.98, 0.98 / peak).otherwise(1.0)
-    return F.transform(mixed, lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x * scale)))
+    mixed = let(speech_rms / F.pow(F.lit(10.0), snr_db / 20), lambda gain: F.zip_with(speech, noise, lambda s, n: s + n * gain))
+    limited = lambda y: let(F.array_max(F.transform(y, F.abs)), lambda peak: F.transform(y, lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x * F.when(peak > 0.98, 0.98 / peak).otherwise(1.0)))))
+    return let(mixed, limited)
 
 
 # -- text ---------------------------------------------------------------------------------------------------------
@@ -84,9 +88,9 @@ def token_edit_rate(reference: Column, candidate: Column) -> Column:
 
     Each distinct token becomes one character, so the engine's own edit distance does the work.
     """
-    known = F.array_distinct(F.concat(reference, candidate))
-    as_text = lambda tokens: F.array_join(F.transform(tokens, lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, t).cast("long") + 0x4E00), 4, "0")), "UTF-16BE")), "")
-    return F.when(F.size(reference) > 0, F.round(F.levenshtein(as_text(reference), as_text(candidate)) / F.size(reference), 3))
+    as_text = lambda tokens, known: F.array_join(F.transform(tokens, lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, t).cast("long") + 0x4E00), 4, "0")), "UTF-16BE")), "")
+    edits = let(F.array_distinct(F.concat(reference, candidate)), lambda known: F.levenshtein(as_text(reference, known), as_text(candidate, known)))
+    return F.when(F.size(reference) > 0, F.round(edits / F.size(reference), 3))
 
 
 # -- display ------------------------------------------------------------------------------------------------------
@@ -122,8 +126,7 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def l2_normalize(v: Column) -> Column:
-    norm = F.sqrt(dot(v, v)) + 1e-8
-    return F.transform(v, lambda x: x.cast("double") / norm)
+    return let(F.sqrt(dot(v, v)) + 1e-8, lambda norm: F.transform(v, lambda x: x.cast("double") / norm))
 
 
 def match_confidence(similarity: Column, is_new: Column, is_only: Column) -> Column:
@@ -141,8 +144,8 @@ def median(values: Column) -> Column:
 def median_filter5(values: Column) -> Column:
     """Five-point median with zeros beyond the ends; fewer than five values stay."""
     zeros = F.array(F.lit(0.0), F.lit(0.0))
-    padded = F.concat(zeros, values, zeros)
-    return F.when(F.size(values) < 5, values).otherwise(F.transform(F.sequence(F.lit(1), F.size(values)), lambda i: F.get(F.array_sort(F.slice(padded, i, F.lit(5))), F.lit(2))))
+    middle = lambda padded: F.transform(F.sequence(F.lit(1), F.size(values)), lambda i: F.get(F.array_sort(F.slice(padded, i, F.lit(5))), F.lit(2)))
+    return F.when(F.size(values) < 5, values).otherwise(let(F.concat(zeros, values, zeros), middle))
 
 
 def semitones(high: Column, low: Column) -> Column:

@@ -88,7 +88,8 @@ m AS (SELECT event_id, [x[i] + gain * x[len(x) + 1 - i] FOR i IN range(1, len(x)
 SELECT event_id, round(list_sum([greatest(-1.0, least(1.0, v * CASE WHEN peak > 0.98 THEN 0.98 / peak ELSE 1.0 END)) * i FOR v, i IN y]), 4) AS moment, peak > 0.98 AS limited FROM p""")
 def b11(spark, sf_dir):
     rows = samples(spark, sf_dir).withColumn("y", C.mix_at_snr(F.col("x"), F.reverse("x"), 2.0 * F.sqrt(C.mean_square(F.col("x"))), (F.col("event_id") % 20).cast("double")))
-    raw = F.array_max(F.transform(F.zip_with("x", F.reverse("x"), lambda s, n: s + n * (2.0 * F.sqrt(C.mean_square(F.col("x"))) / F.pow(F.lit(10.0), (F.col("event_id") % 20) / 20.0))), F.abs))
+    gain = 2.0 * F.sqrt(C.mean_square(F.col("x"))) / F.pow(F.lit(10.0), (F.col("event_id") % 20) / 20.0)
+    raw = C.let(gain, lambda g: F.array_max(F.transform(F.zip_with("x", F.reverse("x"), lambda s, n: s + n * g), F.abs)))
     return rows.select("event_id", F.round(F.aggregate(F.transform("y", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v), 4).alias("moment"), (raw > 0.98).alias("limited"))
 
 
@@ -330,11 +331,11 @@ def a12(spark, sf_dir):
     return fan.groupBy("type").agg(F.count("*").alias("n"))
 
 
-_METRICS = "m AS (SELECT user_id AS session_id, event_id, event_type AS stage, value AS ms, event_id % 4 = 0 AS simulated FROM events)"
+_METRICS = "m AS (SELECT user_id AS session_id, event_id, event_type AS stage, floor(value) AS ms, event_id % 4 = 0 AS simulated FROM events)"
 
 
 def metrics(spark, sf_dir):
-    return read(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), "event_id", F.col("value").alias("pipeline_processing_ms"), (F.col("event_id") % 4 == 0).alias("simulated"))
+    return read(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), "event_id", F.floor("value").cast("double").alias("pipeline_processing_ms"), (F.col("event_id") % 4 == 0).alias("simulated"))
 
 
 @registry.add("j2_latency_stats", f"WITH {_METRICS} SELECT session_id, count(*) AS n, round(quantile_cont(ms, 0.5), 2) AS median_ms, round(max(ms), 2) AS max_ms FROM m GROUP BY session_id")

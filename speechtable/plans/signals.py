@@ -439,3 +439,37 @@ def b10(spark, sf_dir):
 @registry.add("a14_encode_pcm16")
 def a14(spark, sf_dir):
     return readers.encode_pcm16(clips(spark, sf_dir)).select("clip_id", F.octet_length("payload").alias("bytes"), F.sha2("payload", 256).alias("sha256"))
+
+
+@registry.add("d1_transcribe", "SELECT user_id || '-' || event_type AS clip_id, CASE WHEN count(*) % 2 = 0 THEN '' ELSE '[ASR engine unavailable]' END AS text FROM events GROUP BY user_id, event_type")
+def d1(spark, sf_dir):
+    """Without an engine: short clips are empty, the others say so."""
+    from ..operators.words import transcribe
+
+    n = read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    silent = n.select(F.concat_ws("-", "user_id", "event_type").alias("clip_id"), F.array_repeat(F.lit(0.0), F.when(F.col("n") % 2 == 0, 3999).otherwise(4000)).alias("samples"))
+    return transcribe(silent, None).select("clip_id", "text")
+
+
+def _higher_voice(x, rate):
+    """Stands for a model: one axis for voices above 200 Hz, the other for those below."""
+    import numpy as np
+
+    return np.array([1.0, 0.0]) if np.abs(np.fft.rfft(x)).argmax() * rate / len(x) > 200 else np.array([0.0, 1.0])
+
+
+@registry.add("e3_partition_turns", "SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY event_type) AS segment_id, unnest([0, 1]) AS turn_idx, unnest(['one two.', 'three four']) AS text FROM (SELECT DISTINCT user_id, event_type FROM events WHERE event_type IN ('click', 'view')) UNION ALL SELECT user_id, 100, 0, 'one two. three four' FROM events WHERE event_type IN ('purchase') GROUP BY user_id")
+def e3(spark, sf_dir):
+    """Clips of two tones are two turns, clips of one tone are one."""
+    from pyspark.sql import Window
+
+    from ..operators.words import WORD, partition_turns
+
+    e = read(spark, sf_dir, "events").filter("event_type in ('click', 'view', 'purchase')").select("user_id", "event_type").distinct()
+    two = F.col("event_type") != "purchase"
+    hz = lambda i: F.when(two & (i >= 16000), 320.0).otherwise(120.0)
+    x = F.transform(F.sequence(F.lit(0), F.lit(31999)), lambda i: (0.25 * F.sin(2 * 3.141592653589793 * hz(i) * i / 16000.0)).cast("float"))
+    words = F.expr(f"cast(array(named_struct('word', 'one', 'start', 0.0, 'end', 0.4, 'probability', 1.0), named_struct('word', 'two.', 'start', 0.5, 'end', 0.9, 'probability', 1.0), named_struct('word', 'three', 'start', 1.1, 'end', 1.4, 'probability', 1.0), named_struct('word', 'four', 'start', 1.5, 'end', 1.9, 'probability', 1.0)) as array<{WORD}>)")
+    no = F.when(two, F.row_number().over(Window.partitionBy("user_id", two).orderBy("event_type"))).otherwise(100)
+    segments = e.select(F.col("user_id").alias("session_id"), no.cast("long").alias("segment_id"), F.lit(0.0).alias("start_time"), F.lit(2.0).alias("end_time"), F.lit("").alias("text"), x.alias("samples"), words.alias("words"))
+    return partition_turns(segments, _higher_voice).select("session_id", "segment_id", F.col("turn_idx").cast("int").alias("turn_idx"), "text")

@@ -1,4 +1,4 @@
-"""Stateful processors: one session's state is what the reference of each operator needs, never its history.
+"""Stateful processors: one session's state is what the next rows need, never the session's history.
 
 Rows of a micro-batch come in no order, so each processor sorts what it gets by frame or sequence number. A trigger must
 not overtake a session's own order: sources partition by session, and late rows are cut off by the watermark in front.

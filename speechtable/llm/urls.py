@@ -152,9 +152,10 @@ class Model:
     def rate(self, of: str, without_fold: bool = False) -> Column:
         """Smoothed share of blocked labels in the row's bucket, in training without the labels of the row's fold."""
         at = F.col(f"_url_{of}") + 1
-        count, total = (F.element_at(F.array(*map(F.lit, v.sum(0).tolist())), at) for v in self.statistics[of])
+        listed = lambda v: F.expr(f"array({', '.join(f'{x:.1f}D' for x in v)})")
+        count, total = (F.element_at(listed(v.sum(0)), at) for v in self.statistics[of])
         if without_fold:
-            own, own_total = (F.element_at(F.array(*map(F.lit, v.ravel().tolist())), _fold() * BUCKETS + at) for v in self.statistics[of])
+            own, own_total = (F.element_at(listed(v.ravel()), _fold() * BUCKETS + at) for v in self.statistics[of])
             count, total = count - own, total - own_total
         return (total + SMOOTH * self.share) / (count + SMOOTH)
 

@@ -15,7 +15,7 @@ conditions, so scoring stays in the JVM and nothing is shuffled.
 
 Cases: a null url or one without `://` has empty host and path, fits no rule and is judged by the model like any other;
 repeated rows and ids stand for themselves; without labels of both kinds the model allows all; an empty table gives no
-rows; other columns aren't read (`judge` keeps them).
+rows; other columns aren't read (`judge` keeps them, but for host, path, rule, verdict and block_score, which it replaces).
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "
 INLINE_RULES = 256
 SAMPLE, BUCKETS, FOLDS = 20_000, 1024, 5
 TREES, DEPTH, RATE, BINS, SMOOTH = 30, 3, 0.3, 32, 5.0
+_F = "_url_f_"  # before the features' names, so that no column of the user's is replaced
 FEATURES = ("length", "depth", "digits", "entropy", "parameters", "labels", "hyphens", "path_length", "host_digits", "suffix", "section")
 
 
@@ -84,15 +85,15 @@ def lexical(urls: DataFrame) -> DataFrame:
     shares = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / n)
     query_ = F.regexp_extract(url, r"\?([^#]*)", 1)
     return urls.withColumns({
-        "length": n,
-        "depth": F.size(F.filter(F.split("path", "/"), lambda p: p != "")).cast("double"),
-        "digits": count(url, "0-9") / n,
-        "entropy": F.aggregate(shares, F.lit(0.0), lambda a, p: a - p * F.log2(F.greatest(p, F.lit(1e-9)))),
-        "parameters": F.when(query_ == "", 0.0).otherwise(count(query_, "&") + 1.0),
-        "labels": F.size(F.split("host", r"\.")).cast("double"),
-        "hyphens": count(F.col("host"), "-"),
-        "path_length": F.char_length("path").cast("double"),
-        "host_digits": count(F.col("host"), "0-9"),
+        _F + "length": n,
+        _F + "depth": F.size(F.filter(F.split("path", "/"), lambda p: p != "")).cast("double"),
+        _F + "digits": count(url, "0-9") / n,
+        _F + "entropy": F.aggregate(shares, F.lit(0.0), lambda a, p: a - p * F.log2(F.greatest(p, F.lit(1e-9)))),
+        _F + "parameters": F.when(query_ == "", 0.0).otherwise(count(query_, "&") + 1.0),
+        _F + "labels": F.size(F.split("host", r"\.")).cast("double"),
+        _F + "hyphens": count(F.col("host"), "-"),
+        _F + "path_length": F.char_length("path").cast("double"),
+        _F + "host_digits": count(F.col("host"), "0-9"),
         "_url_suffix": _suffix(F.col("host")),
         "_url_section": F.coalesce(_section(F.col("host"), F.col("path")), F.lit(0)),
     })
@@ -136,7 +137,7 @@ def _boost(x: np.ndarray, y: np.ndarray) -> tuple[float, list[dict]]:
 def _tree(node: dict, names: tuple[str, ...]) -> Column:
     if "value" in node:
         return F.lit(node["value"])
-    return F.when(F.col(names[node["on"]]) < node["below"], _tree(node["yes"], names)).otherwise(_tree(node["no"], names))
+    return F.when(F.col(_F + names[node["on"]]) < node["below"], _tree(node["yes"], names)).otherwise(_tree(node["no"], names))
 
 
 def _fold() -> Column:
@@ -162,7 +163,7 @@ class Model:
     def score(self, urls: DataFrame) -> DataFrame:
         """urls (url, host, path) with block_score (0 to 1) added."""
         kept = urls.columns
-        full = lexical(urls).withColumns({k: self.rate(k) for k in self.statistics})
+        full = lexical(urls).withColumns({_F + k: self.rate(k) for k in self.statistics})
         total = reduce(lambda a, t: a + _tree(t, FEATURES), self.trees, F.lit(self.base))
         return full.select(*kept, (1 / (1 + F.exp(-total))).alias("block_score"))
 
@@ -179,7 +180,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     share = float(blocked / n) if n else 0.0
     model = Model(-20.0 if share == 0 else 20.0 if share == 1 else 0.0, [], statistics, share)
     if 0 < share < 1:
-        x = full.withColumns({k: model.rate(k, True) for k in statistics}).orderBy(F.xxhash64("url"), "url").limit(sample).select(*(F.col(c).cast("double") for c in FEATURES), F.col("blocked").cast("double")).toPandas().to_numpy()
+        x = full.withColumns({_F + k: model.rate(k, True) for k in statistics}).orderBy(F.xxhash64("url"), "url").limit(sample).select(*(F.col(_F + c).cast("double") for c in FEATURES), F.col("blocked").cast("double")).toPandas().to_numpy()
         model.base, model.trees = _boost(x[:, :-1], x[:, -1])
     return model
 

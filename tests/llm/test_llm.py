@@ -46,6 +46,8 @@ def test_url_parts_and_rules(spark):
     many = [*urls.RULES, *((f"h{i}.net/", "block") for i in range(300))]
     joined = urls.with_rules(urls.split(df), many).orderBy("page_id").collect()
     assert [(r.host, r.path, r.rule) for r in joined] == list(cases.values())
+    kept = urls.judge(df.withColumn("length", F.lit("mine"))).select("length").distinct().collect()
+    assert [r.length for r in kept] == ["mine"]
     assert urls.judge(df.filter("false")).count() == 0
     assert {r.verdict for r in urls.judge(df.filter("page_id < 3")).collect()} == {"allow"}
 

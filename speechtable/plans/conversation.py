@@ -440,6 +440,23 @@ def j12(spark, sf_dir):
     return R.condition_report(run("clean", "k").unionByName(run("pink 10 dB", "c")))
 
 
+def _dropped(spark, sf_dir):
+    """All tokens of an utterance, and those without each fifth."""
+    return u(spark, sf_dir).withColumn("k", C.tokenize(F.col("text"))).withColumn("c", F.filter("k", lambda x, i: (i + 1) % 5 != 0))
+
+
+@registry.add("j11b_whole_edit_rate")  # DuckDB's levenshtein counts bytes, which can't number this many tokens
+def j11b(spark, sf_dir):
+    return _dropped(spark, sf_dir).select("session_id", "id", C.token_edit_rate(F.col("k"), F.col("c")).alias("token_edit_rate"))
+
+
+@registry.add("j12b_whole_condition_report")
+def j12b(spark, sf_dir):
+    rows = _dropped(spark, sf_dir)
+    run = lambda name, words: rows.select(F.col("id").alias("clip_id"), F.lit(name).alias("condition"), F.lit(1).alias("captions"), F.size(words).cast("long").alias("recognized"), F.array_join(words, " ").alias("text"))
+    return R.condition_report(run("clean", "k").unionByName(run("pink 10 dB", "c")))
+
+
 @registry.add("j13_privacy_audit", f"WITH {UTTERANCES_SQL}, {SETTINGS_SQL} SELECT session_id, count(*) AS rows FROM u JOIN g USING (session_id) WHERE privacy_mode AND seq % 2 = 0 GROUP BY session_id")
 def j13(spark, sf_dir):
     return R.privacy_audit(u(spark, sf_dir).filter("seq % 2 = 0"), settings(spark, sf_dir))

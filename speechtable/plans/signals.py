@@ -366,6 +366,13 @@ def g2(spark, sf_dir):
     return rows.select("event_id", F.round(F.aggregate(F.transform("y", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v), 6).alias("moment"))
 
 
+@registry.add("g2b_whole_median_filter", f"""WITH {SAMPLES_SQL}, y AS (SELECT event_id, len(x) AS n, list_concat([0.0, 0.0], list_concat(x, [0.0, 0.0])) AS p FROM s)
+SELECT event_id, round(list_sum([list_sort(p[i:i + 4])[3] * i FOR i IN range(1, n + 1)]), 6) AS moment FROM y""")
+def g2b(spark, sf_dir):
+    rows = samples(spark, sf_dir).withColumn("y", C.median_filter5(F.col("x")))
+    return rows.select("event_id", F.round(F.aggregate(F.transform("y", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v), 6).alias("moment"))
+
+
 _CONTOUR = f"{FRAMES_SQL}, k AS (SELECT session_id, frame_idx // 8 AS clip, list(pitch_hz ORDER BY frame_idx) FILTER (pitch_hz IS NOT NULL) AS v FROM f GROUP BY ALL), h AS (SELECT *, greatest(2, floor(len(v) * 0.6)::INT) AS cut FROM k WHERE v IS NOT NULL)"
 
 

@@ -247,3 +247,28 @@ def test_stream_upsert(spark, tmp_path):
 def test_ranges_of_token_edits(spark):
     df = spark.createDataFrame([("a b c d e", "a x c"), ("", "a"), ("a", "a")], "r string, c string")
     assert [x[0] for x in df.select(C.token_edit_rate(C.tokenize(F.col("r")), C.tokenize(F.col("c")))).collect()] == [0.6, None, 0.0]
+
+
+def test_edit_rate_of_whole_and_very_different_texts(spark, tmp_path):
+    def brute(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return round(row[-1] / len(a), 3)
+
+    # nothing agrees; the last tokens have numbers above 35,000, where one UTF-16 unit from 0x4E00 is a surrogate
+    r = [f"a{i}" for i in range(36_000)]
+    df = spark.createDataFrame([(r, [f"b{i}" for i in range(60)]), (r[:100], r[50:120])], "r array<string>, c array<string>")
+    assert [x[0] for x in df.select(C.token_edit_rate(F.col("r"), F.col("c"))).collect()] == [1.0, brute(r[:100], r[50:120])]
+    # utterances of more than 40 tokens, all of them
+    words = [f"w{i * i % 71}" for i in range(300)]
+    spark.createDataFrame([(1, 0, "user", " ".join(words)), (1, 1, "user", " ".join(words[:7])), (1, 2, "user", None)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    from speechtable import catalog
+
+    rates = {r.id: r.token_edit_rate for r in catalog.queries()["j11b_whole_edit_rate"](spark, str(tmp_path)).collect()}
+    cut = lambda k: [x for i, x in enumerate(k, 1) if i % 5]
+    assert rates == {"1-0": brute(words, cut(words)), "1-1": brute(words[:7], cut(words[:7])), "1-2": None}
+    report = {(r.clip_id, r.condition): (r.recognized, r.token_edit_rate) for r in catalog.queries()["j12b_whole_condition_report"](spark, str(tmp_path)).collect()}
+    assert report["1-0", "clean"] == (300, 0.0) and report["1-0", "pink 10 dB"] == (240, rates["1-0"])

@@ -2,6 +2,7 @@
 
 import random
 import string
+from collections import Counter
 
 import brute
 import numpy as np
@@ -176,6 +177,23 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert len(found & set(range(120))) >= 90 and len(found - set(range(120))) <= 3
 
 
+def test_rare_keys_among_many_ordinary_tokens(spark):
+    rng = random.Random(11)
+    parts = ["get", "user", "account", "value", "from", "table", "parse", "Config", "Index", "http", "MAX", "SIZE", "usr", "local", "share", "test", "2024", "v2", "item", "response", "Handler", "buffer", "north", "quick", "7", "31"]
+    ordinary = [rng.choice(["_", "/", "-", ""]).join(rng.choice(parts) for _ in range(rng.randint(6, 11))) for _ in range(12_000)]
+    ordinary = [t for t in ordinary if len(t) >= 20]
+    mixed, letters = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
+    kinds = {f"{name}{n}": ["".join(rng.choice(a) for _ in range(n)) for _ in range(5)] for name, a in (("alnum", mixed), ("base64", letters), ("hex", "0123456789abcdef")) for n in (24, 32, 40) if (name, n) != ("hex", 24)}
+    keys = [k for own in kinds.values() for k in own]
+    assert len(ordinary) > 10_000
+    df = rows(spark, [f"see {t} here" for t in [*keys, *ordinary]])
+    found = {r.doc_id for r in secrets.scan(df).filter(F.exists("_sec_all", lambda x: x["kind"] == "random")).select("doc_id").collect()}
+    missed = Counter(name for i, name in enumerate(name for name, own in kinds.items() for _ in own) if i not in found)
+    false = [ordinary[i - len(keys)] for i in found if i >= len(keys)]
+    assert sum(missed.values()) <= 3, missed
+    assert len(false) <= 4, false[:10]
+
+
 def test_redaction(spark):
     texts = ["clean", None, "a token=abcdefgh1234 z", "x " + "0123456789abcdef" * 3 + " y secret='zzzzzzzzzzz'"]
     r = secrets.redact(rows(spark, texts)).orderBy("doc_id").collect()

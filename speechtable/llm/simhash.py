@@ -68,16 +68,16 @@ def fingerprint(text: str | None) -> int:
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """docs -> doc_id, fp (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, *others: str) -> DataFrame:
+    """docs -> doc_id, fp (the 64 bits as a signed long), others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter(map(fingerprint, b.column(1).to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], names=["doc_id", "fp", *others])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    kinds = [(c, docs.schema[c].dataType.simpleString()) for c in ("doc_id", *others)]
+    return docs.select("doc_id", "text", *others).mapInArrow(run, ", ".join(f"{c} {kind}" for c, kind in [kinds[0], ("fp", "long"), *kinds[1:]]))
 
 
 class Cover:
@@ -240,20 +240,31 @@ def links(fps: DataFrame, pair_from: int = 8_000_000, block: int = 8192) -> Data
 def groups(docs: DataFrame, **how) -> DataFrame:
     """docs -> doc_id, fp, component_id (smallest doc_id reachable over links)."""
     own = written(fingerprints(docs), "simhash-fp")
-    classes = written(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
-    linked = connected(links(classes, **how))  # v, root; fingerprints without a link aren't in it
-    least = classes.join(linked.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = _rooted(written(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes"), **how)
     roots = least.groupBy("root").agg(F.min("least").alias("component_id"))
     of = least.select("fp", "root").join(roots, "root").select("fp", "component_id")
     return own.join(of, "fp")
 
 
+def _rooted(classes: DataFrame, **how) -> DataFrame:
+    """classes (distinct fp, ...) with root: the same fp for all that are connected."""
+    linked = connected(links(classes, **how))  # v, root; fingerprints without a link aren't in it
+    return classes.join(linked.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def dedup(docs: DataFrame, **how) -> DataFrame:
-    """docs with one document of each group, the one with the smallest doc_id. Rows that repeat this id go too, but for
-    one; documents without an id stand for themselves."""
-    kept = groups(docs, **how).filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    with_id = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return with_id.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    """docs with one row of each group: the one with the smallest doc_id (null last), of these the one with the smallest
+    hash of its text and other columns. Rows are told apart by this hash, so rows that share an id, or have none, are rows
+    of their own, and it is the same row on every run."""
+    others = [c for c in docs.columns if c != "text"]
+    hashed = F.sha2(F.concat_ws(" ", F.sha2(F.col("text").cast("binary"), 256), F.to_json(F.struct(*others))), 256)  # doc_id is one of them
+    keyed = docs.withColumn("_simhash_key", hashed)
+    own = written(fingerprints(keyed, "_simhash_key"), "simhash-fp")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("_simhash_key").alias("key"))
+    classes = written(own.groupBy("fp").agg(F.min(first).alias("least")), "simhash-classes")
+    kept = _rooted(classes, **how).groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("_simhash_key"))
+    # rows of one key are equal in all columns
+    return keyed.join(kept, "_simhash_key", "left_semi").dropDuplicates(["_simhash_key"]).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

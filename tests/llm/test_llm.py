@@ -364,3 +364,22 @@ def test_block_tables_find_all(spark, sf_dir, radius):
         apart = np.bitwise_count(all_ ^ all_[q]).sum(1)
         want |= {(q, int(i), int(apart[i])) for i in np.flatnonzero(apart <= radius)}
     assert got == want
+
+
+def test_simhash_dedup_of_repeated_and_null_ids(spark):
+    rng = random.Random(21)
+    text = lambda: " ".join("".join(rng.choice(string.ascii_lowercase) for _ in range(6)) for _ in range(80))
+    a, b, c, d, e = (text() for _ in range(5))
+    docs = [
+        (1, a, "x"), (1, b, "x"),  # one id, two texts without near copies: both stay
+        (2, c, "x"), (None, c, "x"), (None, c, "x"),  # copies without an id go
+        (None, d, "x"), (None, d, "x"), (None, d, "x"),  # one stays
+        (3, a, "x"), (3, e, "x"),  # the first is a copy of another id's row, the second stands for itself
+        (4, None, "x"), (None, "", "x"), (4, None, "x"),  # no words: a group like any other
+        (2, c, "y"), (5, None, "y"),
+    ]
+    assert len({brute.simhash(t) for t in (a, b, c, d, e)}) == 5
+    frame = lambda own, n: spark.createDataFrame([(i, t, None, s, len(t or "")) for i, t, s in own], DOCS).repartition(n)
+    got = [sorted(map(tuple, simhash.dedup(frame(own, n)).select("doc_id", "text", "source").collect()), key=repr) for own, n in ((docs, 3), (docs[::-1], 5))]
+    assert got[0] == got[1]
+    assert sorted(((i, t) for i, t, _ in got[0]), key=repr) == sorted([(1, a), (1, b), (2, c), (None, d), (3, e), (4, None)], key=repr)

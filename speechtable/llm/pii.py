@@ -1,8 +1,8 @@
 """Personal data by anchor expansion.
 
-An Aho-Corasick automaton passes over each text once and finds anchors: at-signs, schemes (`://`) and cues of identifiers
-such as "iban" or "user id". Plus signs, dots between digits and runs of digits are anchors of the numeric kinds. From each
-anchor a small parser expands to both sides and validates what it finds:
+An Aho-Corasick automaton passes over each text once, with A-Z as a-z, and finds anchors: at-signs, schemes (`://`) and cues
+of identifiers such as "iban" or "User ID". From each anchor a small parser expands to both sides and validates what it
+finds. The numeric kinds (ip, card, phone) are scans of the text with a pattern each, and the same validation:
 
 * `email`: local part to the left of an at-sign, labels with at least one dot to its right;
 * `ip`: four runs of digits with single dots between them, each at most 255;
@@ -42,7 +42,9 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 CUES = ("account", "acct", "iban", "passport", "customer id", "user id", "userid", "member id", "ssn", "tax id")
 HANDLE = re.compile(r"[A-Za-z0-9_]{3,30}(?![A-Za-z0-9_@])")
 LOGIN = re.compile(r"[^\s/?#@:]+(?::[^\s/?#@]*)?@(?=[A-Za-z0-9])")
-ACCOUNT = re.compile(r"(?:\s+(?:no|nr|number))?[\s.:#=-]{1,3}([A-Za-z0-9]+(?:[ -][A-Za-z0-9]+)*)", re.I)
+ACCOUNT = re.compile(r"(?:\s+(?:no|nr|number))?[\s.:#=-]{1,3}([A-Za-z0-9]+)", re.I)
+GROUP = re.compile(r"[ -]([A-Za-z0-9]+)")
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 _AUTOMATON: list = []
 
@@ -53,8 +55,7 @@ def _automaton():
 
         a = ahocorasick.Automaton()
         for cue in CUES:
-            for form in {cue, cue.capitalize(), cue.title(), cue.upper()}:
-                a.add_word(form, "cue")
+            a.add_word(cue, "cue")
         a.add_word("@", "@")
         a.add_word("://", "scheme")
         a.make_automaton()
@@ -115,20 +116,19 @@ def more_spans(text: str, hits: list[tuple[int, str]], emails: list[tuple[int, i
                 out.append((at + 1, 5, m.end() - 1))
         elif (at + 1 == len(text) or not text[at + 1].isalnum()) and (m := ACCOUNT.match(text, at + 1)):
             # the longest run of groups that holds digits: stop before the first group of letters alone
-            end = m.start(1)
-            for g in re.finditer(r"[A-Za-z0-9]+", m[1][:64]):
-                if not any(c.isdigit() for c in g[0]):
-                    break
-                end = m.start(1) + g.end()
-            if len(_digits(text[m.start(1) : end])) >= 4:
-                out.append((m.start(1), 6, end))
+            start = end = m.start(1)
+            while m and _digits(m[1]):
+                end = m.end()
+                m = GROUP.match(text, end)
+            if len(_digits(text[start:end])) >= 4:
+                out.append((start, 6, end))
     return sorted(set(out))
 
 
 def spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans, by start and kind."""
     text = text or ""
-    hits = [(at, what) for at, what in _automaton().iter(text)]  # a cue's or a scheme's last character
+    hits = [(at, what) for at, what in _automaton().iter(text.translate(_LOWER))]  # a cue's or a scheme's last character
     base = sorted(base_spans(text, [at for at, what in hits if what == "@"]))
     more = more_spans(text, hits, [(a, b) for a, k, b in base if k == 0]) if hits else []
     return base, sorted({*base, *more})

@@ -383,3 +383,11 @@ def test_simhash_dedup_of_repeated_and_null_ids(spark):
     got = [sorted(map(tuple, simhash.dedup(frame(own, n)).select("doc_id", "text", "source").collect()), key=repr) for own, n in ((docs, 3), (docs[::-1], 5))]
     assert got[0] == got[1]
     assert sorted(((i, t) for i, t, _ in got[0]), key=repr) == sorted([(1, a), (1, b), (2, c), (None, d), (3, e), (4, None)], key=repr)
+
+
+@pytest.mark.parametrize("cue", ["User ID", "Customer ID", "Member ID", "Tax ID", "UserID", "userId", "uSeR iD", "İ IBAN", "account"])
+@pytest.mark.parametrize("number", ["A1-1234 5678", "12345 " * 30 + "9"])
+def test_account_after_any_spelling_and_of_any_length(cue, number):
+    text = f"é {cue}: {number} then more"
+    start = text.index(number)
+    assert (start, pii.KINDS.index("account"), start + len(number)) in pii.spans(text)[1]

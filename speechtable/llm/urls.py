@@ -5,17 +5,21 @@ with the rule's, and the longest rule wins. A short list becomes one expression,
 suffixes.
 
 The trees learn from labelled urls; `query` takes as labels the verdicts of the rules, so that the model spreads what the
-rules say to hosts that they don't name. Features are column expressions: length, depth, digit ratio, entropy of the
+rules say to urls that they don't decide. Features are column expressions: length, depth, digit ratio, entropy of the
 characters, number of parameters, host shape, and suffix statistics. These are the smoothed share of blocked labels among
-urls with the same ending of host, and with the same first part of the path, counted over all labelled urls in `BUCKETS`
-hash buckets (so their size is fixed). In training, labels of a url's own fold (by hash of the url) don't count in its
-statistics, or the trees would see the label itself.
-Boosting runs in numpy on a sample bounded by `SAMPLE` rows, chosen by a hash of the url. The trees become nested
-conditions, so scoring stays in the JVM and nothing is shuffled.
+urls whose host has the same ending, and among urls whose path begins with the same part, counted over all labelled urls in
+`BUCKETS` hash buckets (so their size is fixed). Each is of the host or of the path alone: of both together it would only
+say the rules again. In training, labels of a url's own fold (by hash of the url) don't count in its statistics, or the
+trees would see the label itself.
+Boosting runs in numpy on a sample of about `SAMPLE` labelled rows at most: those whose url has a hash below a threshold
+that follows from the number of labels, each distinct url once with its number of rows as its weight. So what comes to the
+driver doesn't grow with the table. The trees become nested conditions: scoring stays in the JVM and shuffles nothing.
 
 Cases: a null url or one without `://` has empty host and path, fits no rule and is judged by the model like any other;
-repeated rows and ids stand for themselves; without labels of both kinds the model allows all; an empty table gives no
-rows; other columns aren't read (`judge` keeps them, but for host, path, rule, verdict and block_score, which it replaces).
+repeated rows and ids stand for themselves; without labels of both kinds the model allows all or blocks all, as they do;
+without labels it allows all; an empty table gives no rows; other columns aren't read (`judge` keeps them, but for host,
+path, rule, verdict and block_score, which it replaces). Whole urls are read, however long: each character is visited a
+fixed number of times (entropy once for each distinct character).
 """
 
 from __future__ import annotations
@@ -56,14 +60,15 @@ def with_rules(urls: DataFrame, rules=RULES) -> DataFrame:
         ordered = sorted(rules, key=lambda r: -len(r[0]))
         pick = lambda k: F.coalesce(*(F.when(_fits(F.col("host"), F.col("path"), r[0]), F.lit(r[k])) for r in ordered)) if ordered else F.lit(None).cast("string")
         return urls.withColumns({"rule": pick(0), "rule_verdict": pick(1)})
-    # every ending of the host, so that a url meets only rules on hosts above it
+    # every ending of the host, so that a url meets only rules on hosts above it; rows meet their rule by host and path
     listed = urls.sparkSession.createDataFrame([(r.partition("/")[0], "/" + r.partition("/")[2], r, v) for r, v in rules], "rule_host string, rule_path string, rule string, rule_verdict string")
     labels = F.split("host", r"\.")
     endings = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    keyed = urls.withColumn("_url_row", F.monotonically_increasing_id())
-    met = keyed.select("_url_row", "path", F.explode(endings).alias("rule_host")).join(listed, "rule_host").filter(F.col("path").startswith(F.col("rule_path")))
-    best = met.groupBy("_url_row").agg(F.max_by(F.struct("rule", "rule_verdict"), F.struct(F.length("rule"), F.col("rule"))).alias("x"))
-    return keyed.join(best, "_url_row", "left").withColumns({"rule": F.col("x.rule"), "rule_verdict": F.col("x.rule_verdict")}).drop("_url_row", "x")
+    own = urls.select("host", "path").distinct()
+    met = own.select("host", "path", F.explode(endings).alias("rule_host")).join(listed, "rule_host").filter(F.col("path").startswith(F.col("rule_path")))
+    best = met.groupBy("host", "path").agg(F.max_by(F.struct("rule", "rule_verdict"), F.struct(F.length("rule"), F.col("rule"))).alias("_url_best"))
+    kept = [c for c in urls.columns if c not in ("rule", "rule_verdict")]
+    return urls.select(*kept).join(best, ["host", "path"], "left").select(*kept, F.col("_url_best.rule").alias("rule"), F.col("_url_best.rule_verdict").alias("rule_verdict"))
 
 
 def _suffix(host: Column) -> Column:
@@ -71,9 +76,9 @@ def _suffix(host: Column) -> Column:
     return F.pmod(F.xxhash64(F.element_at(F.split(host, r"\."), -1)), F.lit(BUCKETS)).cast("int")
 
 
-def _section(host: Column, path: Column) -> Column:
-    """Hash bucket of the host's last label with the first part of the path."""
-    return F.pmod(F.xxhash64(F.element_at(F.split(host, r"\."), -1), F.split(path, "/")[1]), F.lit(BUCKETS)).cast("int")
+def _section(path: Column) -> Column:
+    """Hash bucket of the first part of the path."""
+    return F.pmod(F.xxhash64(F.split(path, "/")[1]), F.lit(BUCKETS)).cast("int")
 
 
 def lexical(urls: DataFrame) -> DataFrame:
@@ -95,13 +100,13 @@ def lexical(urls: DataFrame) -> DataFrame:
         _F + "path_length": F.char_length("path").cast("double"),
         _F + "host_digits": count(F.col("host"), "0-9"),
         "_url_suffix": _suffix(F.col("host")),
-        "_url_section": F.coalesce(_section(F.col("host"), F.col("path")), F.lit(0)),
+        "_url_section": F.coalesce(_section(F.col("path")), F.lit(0)),
     })
 
 
-def _boost(x: np.ndarray, y: np.ndarray) -> tuple[float, list[dict]]:
+def _boost(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, list[dict]]:
     """Base score and trees for logistic loss; a tree is a leaf {"value"} or a split {"on", "below", "yes", "no"}."""
-    p = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
+    p = float(np.clip(np.average(y, weights=w), 1e-3, 1 - 1e-3))
     base = float(np.log(p / (1 - p)))
     cuts = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, BINS + 1)[1:-1])) for k in range(x.shape[1])]
     binned = np.stack([np.searchsorted(c, x[:, k], "right") for k, c in enumerate(cuts)], 1)  # bin <= j: x < cuts[j]
@@ -130,7 +135,7 @@ def _boost(x: np.ndarray, y: np.ndarray) -> tuple[float, list[dict]]:
     trees = []
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-z))
-        trees.append(grow(np.arange(len(y)), p - y, p * (1 - p), DEPTH))
+        trees.append(grow(np.arange(len(y)), w * (p - y), w * p * (1 - p), DEPTH))
     return base, trees
 
 
@@ -180,8 +185,12 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     share = float(blocked / n) if n else 0.0
     model = Model(-20.0 if share == 0 else 20.0 if share == 1 else 0.0, [], statistics, share)
     if 0 < share < 1:
-        x = full.withColumns({_F + k: model.rate(k, True) for k in statistics}).orderBy(F.xxhash64("url"), "url").limit(sample).select(*(F.col(_F + c).cast("double") for c in FEATURES), F.col("blocked").cast("double")).toPandas().to_numpy()
-        model.base, model.trees = _boost(x[:, :-1], x[:, -1])
+        # a hash below the threshold: about `sample` rows of all n, the same on every run
+        place = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), F.col("url")), 1)
+        some = full.filter(place < min(2**63 - 1, int(2**63 * min(1.0, sample / n))))
+        x = some.withColumns({_F + k: model.rate(k, True) for k in statistics}).groupBy("url", *(_F + c for c in FEATURES), "blocked").count().toPandas()
+        x = x.sort_values(["url", "blocked"])
+        model.base, model.trees = _boost(*(x[c].to_numpy(np.float64) for c in ([_F + c for c in FEATURES], "blocked", "count")))
     return model
 
 

@@ -61,3 +61,19 @@ def once(df: DataFrame, *columns: str) -> DataFrame:
     """
     others = [c for c in df.columns if c not in columns]
     return df.select(*others, F.explode_outer(F.array(F.struct(*columns))).alias("_once")).select(*others, *(F.col(f"_once.{c}").alias(c) for c in columns))
+
+
+#: keys with more than this share of all rows are hot: at most so many keys
+HOT = 4096
+
+
+def with_key(rows: DataFrame, own: DataFrame, key: str, counts: DataFrame) -> DataFrame:
+    """rows left-joined with own (a row a key), where a few keys may hold most of the rows. counts: key, n (its rows).
+
+    Keys with over 1/HOT of all rows number fewer than HOT, so their rows of own are broadcast and rows with such a key stay
+    where they are. The others are joined as Spark likes; none of their keys has more than 1/HOT of the rows.
+    """
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = written(counts.filter(F.col("n") > total / HOT).select(key).join(own, key, "left"), "hot")
+    light = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(own, key, "left")
+    return light.unionByName(rows.join(F.broadcast(hot), key))

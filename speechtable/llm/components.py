@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import with_key, written
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -13,14 +13,14 @@ def connected(links: DataFrame) -> DataFrame:
 
     A large star joins each vertex's larger neighbours to its smallest, a small star its smaller ones; rounds end when
     neither changes a link (about log n rounds). Minima are summed before the shuffle, so a hub's neighbours are never
-    gathered; the joins are plain equi-joins, of which Spark splits skewed keys.
+    gathered, and a hub's links aren't moved to meet its minimum.
     """
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
     state = _state(edges)
     while state[0]:
         both = edges.union(edges.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "links-least")
+        large = with_key(both, least.drop("n"), "u", least.select("u", "n")).filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.toDF("a", "b"))
         edges = written(small.filter("a <> b").distinct(), "links")

@@ -16,15 +16,19 @@ lies within 3 of exactly one of its 4096 code words.
 
 Both find every link. Only distinct fingerprints are compared, so exact copies cost nothing. Within an anchor a home is
 compared with the copies in blocks, and only what joins two parts of the bucket leaves the task: fewer links than
-fingerprints, whatever the group's size. A bucket of over `block` fingerprints has its homes dealt out over several tasks.
+fingerprints, whatever the group's size. A bucket of n fingerprints, n over `block`, is cut into k = n/block parts of homes
+and as many of copies, and each of the k x k meetings is a group of its own of about two blocks. Rows join classes and
+components by `with_key`, which leaves rows of large groups where they are.
 
 Cases: null text has no words; no words: fingerprint zero, linked like any other; fewer words than a shingle: the whole
 sequence is one; repeated rows have equal fingerprints and one group; a null doc_id gets its group's smallest id, which is
-null only if all are; an empty table gives no rows; other columns aren't read (`dedup` keeps them).
+null only if all are; an empty table gives no rows; other columns aren't read (`dedup` keeps them). Whole texts are read,
+`SLICE` bytes at a time, so a very long one takes memory for itself and little more.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -33,36 +37,52 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, with_key, written
 from .components import connected
 
 SEED, SHINGLE, BITS, WITHIN = 42, 4, 64, 4
+#: bytes of a text worked on at once
+SLICE = 1_000_000
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 #: fixed value: generator polynomial of the binary Golay code [23, 12, 7]
 GOLAY, GOLAY_BITS, RADIUS = 0b110001110101, 23, 3
 
 
-def fingerprint(text: str | None) -> int:
+def _shingle_hashes(raw: bytes) -> Iterator[np.ndarray]:
+    """XXH64 of every shingle, a slice of the text at a time."""
     from xxhash import xxh64_intdigest
 
-    words = (text or "").encode().lower().split()  # bytes: lower() changes A-Z alone, split() splits at \x20 and \x09-\x0D
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= SHINGLE:
-        hashes = np.array([xxh64_intdigest(joined, SEED)], np.uint64)
-    else:
+    carried: list[bytes] = []
+    at, made = 0, False
+    while at < len(raw):
+        to = len(raw)
+        if at + SLICE < to and (space := _SPACE.search(raw, at + SLICE)):
+            to = space.start()
+        words = carried + raw[at:to].split()  # splits at \x20 and \x09-\x0D
+        at = to
+        carried = words[1 - SHINGLE :]
+        if len(words) < SHINGLE:
+            continue
+        joined = b" ".join(words)
         sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
         ends = np.cumsum(sizes)
         starts = (ends - sizes)[: len(words) - SHINGLE + 1].tolist()
         ends = (ends[SHINGLE - 1 :] - 1).tolist()
-        hashes = np.fromiter((xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts, ends)), np.uint64, len(starts))
-    own = hashes.view(np.uint8).reshape(-1, 8)
-    out = 0
-    for k in range(8):  # counts of each bit of byte k, from the counts of its values
-        ones = np.bincount(own[:, k], minlength=256) @ _BYTE_BITS
-        out |= int(np.packbits(2 * ones > len(hashes), bitorder="little")[0]) << 8 * k
-    return out
+        made = True
+        yield np.fromiter((xxh64_intdigest(joined[s:e], SEED) for s, e in zip(starts, ends)), np.uint64, len(starts))
+    if carried and not made:
+        yield np.array([xxh64_intdigest(b" ".join(carried), SEED)], np.uint64)
+
+
+def fingerprint(text: str | None) -> int:
+    ones, n = np.zeros(BITS, np.int64), 0
+    for hashes in _shingle_hashes((text or "").encode().lower()):  # bytes: lower() changes A-Z alone
+        own = hashes.view(np.uint8).reshape(-1, 8)
+        for k in range(8):  # counts of each bit of byte k, from the counts of its values
+            ones[8 * k : 8 * k + 8] += np.bincount(own[:, k], minlength=256) @ _BYTE_BITS
+        n += len(hashes)
+    return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -174,7 +194,7 @@ def _joins(homes: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.array(left, np.uint64), np.array(right, np.uint64)
 
 
-def links(fps: DataFrame, pair_from: int = 8_000_000, block: int = 8192) -> DataFrame:
+def links(fps: DataFrame, pair_from: int = 8_000_000, block: int = 16384) -> DataFrame:
     """Distinct fp -> a, b: links at WITHIN bits or fewer, enough of them to connect all that are linked."""
     pair = fps.count() >= pair_from
 
@@ -187,14 +207,16 @@ def links(fps: DataFrame, pair_from: int = 8_000_000, block: int = 8192) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(part[at]), pa.array(home)], names=["bucket", "fp", "home"])
 
     placed = fps.select("fp").mapInArrow(place, "bucket long, fp long, home byte")
-    # a bucket with many homes is dealt out: each task gets some of the homes and all copies
+    # homes in rows and copies in columns of a square of parts; a home is a copy in its own column already
     large = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter(F.col("n") > block).withColumn("parts", F.ceil(F.col("n") / block).cast("int")).drop("n")
     large = written(large, "simhash-large")
     if not large.isEmpty():
         salted = placed.join(large, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        salted = salted.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        mine = F.pmod(F.xxhash64("fp"), F.col("parts")) == F.col("part")
-        placed = salted.select("bucket", "part", "fp", F.when(mine, F.col("home")).otherwise(F.lit(0)).cast("byte").alias("home"))
+        mine, every = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"), F.sequence(F.lit(0), F.col("parts") - 1)
+        row = F.when(F.col("home") == 1, F.transform(every, lambda j: F.struct((mine * F.col("parts") + j).alias("part"), F.lit(1).cast("byte").alias("home")))).otherwise(F.array())
+        others = F.filter(every, lambda i: (F.col("home") == 0) | (i != mine))
+        column = F.transform(others, lambda i: F.struct((i * F.col("parts") + mine).alias("part"), F.lit(0).cast("byte").alias("home")))
+        placed = salted.select("bucket", "fp", F.explode(F.concat(row, column)).alias("x")).select("bucket", "x.part", "fp", "x.home")
     else:
         placed = placed.select("bucket", F.lit(0).alias("part"), "fp", "home")
 
@@ -240,10 +262,11 @@ def links(fps: DataFrame, pair_from: int = 8_000_000, block: int = 8192) -> Data
 def groups(docs: DataFrame, **how) -> DataFrame:
     """docs -> doc_id, fp, component_id (smallest doc_id reachable over links)."""
     own = written(fingerprints(docs), "simhash-fp")
-    least = _rooted(written(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes"), **how)
-    roots = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = least.select("fp", "root").join(roots, "root").select("fp", "component_id")
-    return own.join(of, "fp")
+    classes = written(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-classes")
+    rooted = written(_rooted(classes, **how).select("fp", "root", "least"), "simhash-roots")
+    roots = written(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "simhash-components")
+    of = with_key(rooted.select("fp", "root"), roots.drop("n"), "root", roots.select("root", "n")).select("fp", "component_id")
+    return with_key(own, of, "fp", classes.select("fp", "n"))
 
 
 def _rooted(classes: DataFrame, **how) -> DataFrame:

@@ -9,27 +9,33 @@ of a benchmark item, or the whole of an item that has fewer. A document is scann
 2. Documents that pass have all their windows looked up, as whole strings, in the set of the benchmark's windows. That is
    the verification: no hit rests on a hash alone.
 
-The sets are part of the plan, so Spark ships them to every executor; their size is checked first. Up to `set_limit`
-windows nothing is shuffled but the few hits. A larger benchmark is joined instead (`_found_by_join`), where Spark
-chooses between broadcast and shuffle by its own size limit.
+The sets are values of scalar subqueries (an array of hash buckets), which Spark gives to every task; their size is checked
+first. Up to `set_limit` windows nothing is shuffled at all. For a larger benchmark the blocks become a bit map of at most
+`MAP_BITS` bits, documents are tested on it where they lie, and only the windows of those that pass are joined with the
+benchmark's, and only these documents with what was found; the others' text never moves.
 
 Cases: null or empty text has no words; an item without words has no window; a null item_id counts as the item "";
 repeated rows and repeated ids are documents of their own; an empty benchmark hits nothing; other columns are kept as
-they are, save those whose names begin with `_dc_`.
+they are, save those whose names begin with `_dc_`. Whole texts are read, in time that grows with their length; a long text
+that passes the first test holds its windows at once, about n times its size.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, hex_digest, once, table
+from .common import ascii_lower, hex_digest, let, once, table, with_key, written
 
 #: fixed values: what separates words in lower-cased text, and in text as it is
 SEPARATOR = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 SEPARATOR_ANY_CASE = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 N = 10
-FOUND = "array<struct<start:int,size:int,gram:string>>"
+#: windows of a benchmark that are held as a set, and the bits of the map of a larger one
+SET_LIMIT, MAP_BITS = 500_000, 1 << 28
+FOUND = "array<struct<start:int,size:int,items:array<string>>>"
 
 
 def words(text: Column) -> Column:
@@ -48,7 +54,7 @@ def _hashes(words: Column, n: int, step: int = 1) -> Column:
 
 def _windows(words: Column, size: int) -> Column:
     found = _grams(words, size, lambda s, i: F.struct(i.cast("int").alias("start"), F.lit(size).alias("size"), F.array_join(s, " ").alias("gram")))
-    return F.coalesce(found, F.array().cast(FOUND))
+    return F.coalesce(found, F.array().cast("array<struct<start:int,size:int,gram:string>>"))
 
 
 def _block(size: int) -> int:
@@ -63,60 +69,101 @@ def benchmark_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
     return items.select("item", F.least(F.size("w"), F.lit(n)).alias("size"), F.explode(grams).alias("gram")).groupBy("gram", "size").agg(F.collect_set("item").alias("items"))
 
 
-def _found_by_sets(docs: DataFrame, held: list) -> DataFrame:
-    sizes = sorted({r["size"] for r in held})
-    spark = docs.sparkSession
-    grams = spark.createDataFrame([(r["gram"], r["size"]) for r in held], "gram string, size int")
-    maybe = F.lit(False)
+def _array_of(rows: DataFrame, at: str, value: str, n: int, empty: Column) -> Column:
+    """rows (at: 0 .. n-1, a row each; value) as one array of n values, a scalar subquery."""
+    all_ = rows.sparkSession.range(n).join(rows, F.col("id") == F.col(at), "left").select("id", F.coalesce(value, empty).alias("v"))
+    return all_.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "v"))), lambda x: x["v"]).alias("v")).scalar()
+
+
+def _blocks_of(grams: DataFrame, b: int) -> DataFrame:
+    """Hashes h of all blocks of b words of windows whose block size that is."""
+    own = grams.filter(F.floor((F.col("size") + 1) / 2) == b)
+    return own.select(F.explode(_hashes(F.split("gram", " "), b)).alias("h")).distinct()
+
+
+def _block_set(blocks: DataFrame, n: int):
+    """The set as a column, and its test of a hash."""
+    m = max(1, n // 2)
+    rows = blocks.groupBy(F.pmod("h", F.lit(m)).alias("at")).agg(F.collect_list("h").alias("hs"))
+    held = _array_of(rows, "at", "hs", m, F.array().cast("array<long>"))
+    return held, lambda s, h: F.array_contains(F.get(s, F.pmod(h, F.lit(m)).cast("int")), h)
+
+
+def _block_map(blocks: DataFrame, n: int):
+    """A bit map, in place of the set: a hash that isn't in it may look as if it were."""
+    bits = 1 << 20
+    while bits < min(16 * n, MAP_BITS):
+        bits *= 2
+    place = lambda h: F.shiftrightunsigned(h, 65 - bits.bit_length())
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), (place(h) % 64).cast("int"))
+    rows = blocks.groupBy(F.shiftright(place(F.col("h")), 6).alias("at")).agg(F.bit_or(bit(F.col("h"))).alias("bits"))
+    held = _array_of(rows, "at", "bits", bits // 64, F.lit(0).cast("long"))
+    return held, lambda s, h: F.get(s, F.shiftright(place(h), 6).cast("int")).bitwiseAND(bit(h)) != 0
+
+
+def _maybe(grams: DataFrame, sizes: list[int], made) -> tuple[dict[str, Column], Column]:
+    """The sets by the names of their columns, and whether one of a document's aligned blocks is one of the benchmark's.
+    made: _block_set or _block_map."""
+    sets, out = {}, F.lit(False)
     for b in sorted({_block(s) for s in sizes}):
-        own = grams.filter(F.col("size").isin([s for s in sizes if _block(s) == b])).select(F.explode(_hashes(F.split("gram", " "), b)).alias("h")).distinct().collect()
-        docs = docs.withColumn(f"_dc_b{b}", _hashes(F.col("_dc_w"), b, b))
-        maybe = maybe | F.coalesce(F.expr(f"exists(_dc_b{b}, h -> h in ({', '.join(str(r['h']) for r in own)}))"), F.lit(False))
-    of = {s: ", ".join(f"'{r['gram']}'" for r in held if r["size"] == s) for s in sizes}
-    each = []
-    for s in sizes:  # words hold neither quotes nor backslashes
-        docs = docs.withColumn(f"_dc_x{s}", F.when(maybe, _windows(F.col("_dc_w"), s)))
-        each.append(F.expr(f"filter(_dc_x{s}, x -> x.gram in ({of[s]}))"))
-    found = F.coalesce(F.concat(*each), F.array().cast(FOUND)) if each else F.array().cast(FOUND)
-    return docs.withColumn("_dc_found", found).drop(*(f"_dc_x{s}" for s in sizes), *(f"_dc_b{_block(s)}" for s in sizes))
+        blocks = written(_blocks_of(grams, b), "benchmark-blocks")
+        sets[f"_dc_s{b}"], test = made(blocks, blocks.count())
+        out = out | F.coalesce(let(F.col(f"_dc_s{b}"), partial(_any_block, b, test)), F.lit(False))
+    return sets, out
+
+
+def _any_block(b: int, test, held: Column) -> Column:
+    return F.exists(_hashes(F.col("_dc_w"), b, b), lambda h: test(held, h))
+
+
+def _looked_up(docs: DataFrame, sets: dict[str, Column], name: str, value: Column) -> DataFrame:
+    """docs with value, which uses each of sets once, so that the optimizer puts the sets into it and no row holds one."""
+    return docs.select("*", *(v.alias(k) for k, v in sets.items())).select(*docs.columns, value.alias(name))
+
+
+def _found_by_set(docs: DataFrame, grams: DataFrame, sizes: list[int], n: int) -> DataFrame:
+    m = max(1, n // 2)
+    own = grams.groupBy(F.pmod(F.xxhash64("gram"), F.lit(m)).alias("at")).agg(F.collect_list(F.struct("gram", "items")).alias("own"))
+    sets, maybe = _maybe(grams, sizes, _block_set)
+    sets["_dc_set"] = _array_of(own, "at", "own", m, F.array().cast("array<struct<gram:string,items:array<string>>>"))
+    windows = F.concat(*(_windows(F.col("_dc_w"), s) for s in sizes))
+    hit = lambda s, x: F.transform(F.filter(F.get(s, F.pmod(F.xxhash64(x["gram"]), F.lit(m)).cast("int")), lambda e: e["gram"] == x["gram"]), lambda e: F.struct(x["start"].alias("start"), x["size"].alias("size"), e["items"].alias("items")))
+    found = let(F.col("_dc_set"), lambda s: F.flatten(F.transform(windows, lambda x: hit(s, x))))
+    return _looked_up(docs, sets, "_dc_found", F.coalesce(F.when(maybe, found), F.array().cast(FOUND)))
 
 
 def _found_by_join(docs: DataFrame, grams: DataFrame, sizes: list[int]) -> DataFrame:
-    """Equal rows (same id and text) have equal hits, so these stand for the row."""
-    key = F.struct(F.col("doc_id"), F.xxhash64("text"), F.xxhash64(F.lit(1), F.col("text")))
-    docs = docs.withColumn("_dc_key", key)
-    blocks = [_b for _b in sorted({_block(s) for s in sizes})]
-    ours = None
-    theirs = None
-    for b in blocks:
-        x = docs.select("_dc_key", F.explode(_hashes(F.col("_dc_w"), b, b)).alias("h"))
-        y = grams.filter(F.col("size").isin([s for s in sizes if _block(s) == b])).select(F.explode(_hashes(F.split("gram", " "), b)).alias("h"))
-        x, y = x.withColumn("b", F.lit(b)), y.withColumn("b", F.lit(b))
-        ours, theirs = (x, y) if ours is None else (ours.unionByName(x), theirs.unionByName(y))
-    maybe = ours.join(theirs.distinct(), ["b", "h"], "left_semi").select("_dc_key").distinct()
-    rows = docs.join(maybe, "_dc_key", "left_semi").select("_dc_key", "_dc_w").dropDuplicates(["_dc_key"])
-    rows = rows.select("_dc_key", F.explode(F.concat(*(_windows(F.col("_dc_w"), s) for s in sizes))).alias("x"))
-    hits = rows.join(grams.select(F.col("gram").alias("_dc_gram"), F.col("size").alias("_dc_size")), (F.col("x.gram") == F.col("_dc_gram")) & (F.col("x.size") == F.col("_dc_size")), "left_semi")
-    hits = hits.groupBy("_dc_key").agg(F.collect_list("x").alias("_dc_found"))
-    return docs.join(hits, "_dc_key", "left").withColumn("_dc_found", F.coalesce("_dc_found", F.array().cast(FOUND))).drop("_dc_key")
-
-
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, set_limit: int = 20_000) -> DataFrame:
-    """docs with `_dc_w` (its words), `_dc_found` (windows of the benchmark: start, size, gram) and `_dc_hit` added.
+    """Equal rows (same id and words) have equal hits, so one stands for all of them."""
+    sets, maybe = _maybe(grams, sizes, _block_map)
+    tested = once(_looked_up(docs, sets, "_dc_maybe", maybe), "_dc_maybe")
+    some = tested.filter("_dc_maybe").withColumn("_dc_key", F.sha2(F.concat_ws(" ", F.col("doc_id").cast("string"), F.array_join("_dc_w", " ")), 256))
+    rows = some.select("_dc_key", "_dc_w").dropDuplicates(["_dc_key"])
+    rows = rows.select("_dc_key", F.explode(F.concat(*(_windows(F.col("_dc_w"), s) for s in sizes))).alias("x")).select("_dc_key", "x.*")
+    hits = rows.join(grams.select("gram", "items"), "gram")
+    hits = written(hits.groupBy("_dc_key").agg(F.collect_list(F.struct("start", "size", "items")).alias("_dc_found")), "benchmark-hits")
+    met = with_key(some, hits, "_dc_key", some.groupBy("_dc_key").agg(F.count("*").alias("n"))).withColumn("_dc_found", F.coalesce("_dc_found", F.array().cast(FOUND))).drop("_dc_key")
+    return tested.filter("NOT _dc_maybe").withColumn("_dc_found", F.array().cast(FOUND)).unionByName(met).drop("_dc_maybe")
+
+
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, set_limit: int = SET_LIMIT) -> DataFrame:
+    """docs with `_dc_w` (its words), `_dc_found` (windows of the benchmark: start, size, items that hold it) and `_dc_hit`
+    added.
 
     start counts words from 0; _dc_hit is the number of words inside found windows.
     """
-    grams = benchmark_windows(benchmark, n)
-    held = grams.select("gram", "size").limit(set_limit + 1).collect()
-    docs = docs.withColumn("_dc_w", words(F.col("text")))
-    if len(held) <= set_limit:
-        docs = _found_by_sets(docs, held)
+    grams = written(benchmark_windows(benchmark, n), "benchmark-windows")
+    total, sizes = grams.agg(F.count("*"), F.array_sort(F.collect_set("size"))).first()
+    docs = once(docs.withColumn("_dc_w", words(F.col("text"))), "_dc_w")
+    if not total:
+        docs = docs.withColumn("_dc_found", F.array().cast(FOUND))
+    elif total <= set_limit:
+        docs = _found_by_set(docs, grams, sizes, total)
     else:
-        docs = _found_by_join(docs, grams, sorted(r["size"] for r in grams.select("size").distinct().collect()))
+        docs = _found_by_join(docs, grams, sizes)
     covered = F.aggregate(
-        F.array_sort("_dc_found"),
+        F.array_sort(F.transform("_dc_found", lambda x: F.struct(x["start"].alias("start"), x["size"].alias("size")))),
         F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),
-        lambda a, x: F.struct((a.n + F.greatest(F.lit(0), x.start + x.size - F.greatest(a.to, x.start))).alias("n"), F.greatest(a.to, x.start + x.size).alias("to")),
+        lambda a, x: F.struct((a.n + F.greatest(F.lit(0), x["start"] + x["size"] - F.greatest(a.to, x["start"]))).alias("n"), F.greatest(a.to, x["start"] + x["size"]).alias("to")),
         lambda a: a.n,
     )
     return docs.withColumn("_dc_hit", F.when(F.size("_dc_found") > 0, covered).otherwise(0).cast("long"))
@@ -128,11 +175,9 @@ def _drop(df: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = N, **limits) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items (sorted strings), contaminated."""
-    grams = benchmark_windows(benchmark, n)
-    rows = scan(docs.select("doc_id", "text"), benchmark, n, **limits).select("doc_id", F.monotonically_increasing_id().alias("row"), F.size("_dc_w").cast("long").alias("n_words"), F.col("_dc_hit").alias("n_hit"), F.array_distinct(F.col("_dc_found.gram")).alias("grams"))
-    each = rows.select("doc_id", "row", "n_words", "n_hit", F.explode_outer("grams").alias("gram")).join(grams.select("gram", "items"), "gram", "left")
-    found = each.groupBy("row", "doc_id", "n_words", "n_hit").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items", (F.col("n_hit") > 0).alias("contaminated"))
+    found = once(scan(docs.select("doc_id", "text"), benchmark, n, **limits).withColumn("_dc_n", F.size("_dc_w").cast("long")), "_dc_found", "_dc_hit", "_dc_n")
+    items = F.array_sort(F.array_distinct(F.flatten("_dc_found.items")))
+    return found.select("doc_id", F.col("_dc_n").alias("n_words"), F.col("_dc_hit").alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (F.col("_dc_hit") > 0).alias("contaminated"))
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, what: str = "documents", n: int = N, **limits) -> DataFrame:

@@ -68,31 +68,25 @@ def _autocorrelation(frames: np.ndarray) -> np.ndarray:
 
 
 def f0_contour(x: np.ndarray, rate: int = 16000, low: float = 80.0, high: float = 380.0, smooth: bool = True) -> np.ndarray:
-    """Pitch of the voiced 30 ms frames, every 10 ms: the highest interior peak of the autocorrelation, refined by a
-    parabola. Quiet, noisy and weakly periodic frames are left out."""
+    """Pitch of the voiced 30 ms frames, every 10 ms: the highest value of the autocorrelation among the lags of low to high,
+    refined by a parabola. Frames that are quiet (after the window) or noisy are left out, and those whose highest value is
+    weak or lies at an edge of the lags."""
     frames = _framed(np.asarray(x, float), int(0.03 * rate), int(0.01 * rate))
-    if not len(frames):
-        return np.zeros(0)
-    frames = frames - frames.mean(1, keepdims=True)
-    rms = np.sqrt((frames**2).mean(1))
-    crossings = (np.diff(np.signbit(frames), axis=1) != 0).mean(1)
-    frames = frames[(rms >= 0.004) & (crossings <= 0.24)] * np.hamming(frames.shape[1])
+    frames = (frames - frames.mean(1, keepdims=True)) * np.hamming(frames.shape[1])
+    rms = np.sqrt((frames**2).mean(1) + 1e-12)
+    crossings = np.abs(np.diff(np.sign(frames), axis=1)).mean(1) / 2
+    frames = frames[(rms >= 0.004) & (crossings <= 0.24)]
     if not len(frames):
         return np.zeros(0)
     r = _autocorrelation(frames)
-    first, last = int(rate / high), int(rate / low)
-    own = r[:, first:last]
-    peaks = np.zeros(own.shape, bool)
-    peaks[:, 1:-1] = (own[:, 1:-1] > own[:, :-2]) & (own[:, 1:-1] >= own[:, 2:])
-    height = np.where(peaks, own, -np.inf)
-    at = height.argmax(1)
-    row = np.arange(len(at))
-    ok = (r[:, 0] > 0) & np.isfinite(height[row, at]) & (height[row, at] >= 0.42 * np.maximum(r[:, 0], 1e-12))
-    at, row = at[ok] + first, row[ok]
-    before, mid, after = r[row, at - 1], r[row, at], r[row, at + 1]
-    bend = before - 2 * mid + after
-    shift = np.clip(np.where(np.abs(bend) > 1e-12, 0.5 * (before - after) / np.where(bend == 0, 1, bend), 0), -0.5, 0.5)
-    f0 = rate / (at + shift)
+    own = r[:, int(rate / high) : int(rate / low)]
+    at, row = own.argmax(1), np.arange(len(own))
+    inner = np.clip(at, 1, own.shape[1] - 2)
+    before, top, after = own[row, inner - 1], own[row, inner], own[row, inner + 1]
+    ok = (at == inner) & (top > before) & (top > after) & (r[:, 0] > 0) & (top >= 0.42 * r[:, 0])
+    bend = before - 2 * top + after
+    shift = np.where(np.abs(bend) > 1e-12, 0.5 * (before - after) / np.where(bend == 0, 1, bend), 0)
+    f0 = rate / (int(rate / high) + at + np.clip(shift, -0.5, 0.5))[ok]
     f0 = f0[(f0 >= 70) & (f0 <= 400)]
     return median5(f0) if smooth else f0
 
@@ -104,23 +98,37 @@ def median5(x: np.ndarray) -> np.ndarray:
     return np.median(np.lib.stride_tricks.sliding_window_view(np.pad(x, 2), 5), axis=1)
 
 
+def _before_end(x: np.ndarray, size: int, hop: int) -> np.ndarray:
+    """Frames that end before the last sample: one that ends with it is left out."""
+    return _framed(x[:-1], size, hop)
+
+
 def energy_ratio(x: np.ndarray, rate: int = 16000) -> float:
     """Highest over mean energy of 50 ms blocks at every 25 ms; 0 for less than a block."""
-    blocks = _framed(np.asarray(x, float), int(0.05 * rate), int(0.025 * rate))
-    energy = (blocks**2).mean(1) if len(blocks) else np.zeros(0)
-    return float(energy.max() / energy.mean()) if len(energy) and energy.mean() > 0 else 0.0
+    energy = (_before_end(np.asarray(x, float), int(0.05 * rate), int(0.025 * rate)) ** 2).sum(1)
+    return float(energy.max() / (energy.mean() + 1e-12)) if len(energy) else 0.0
+
+
+def _power(x: np.ndarray, rate: int, size: int = 512, hop: int = 256) -> np.ndarray:
+    """Power spectra (a row a frame, density) of tapered frames about their means."""
+    frames = _framed(x, size, hop)
+    window = _tukey(size, 0.25)
+    power = np.abs(np.fft.rfft((frames - frames.mean(1, keepdims=True)) * window, axis=1)) ** 2 / (rate * (window**2).sum())
+    power[:, 1:-1] *= 2
+    return power
 
 
 def overlap_evidence(x: np.ndarray, rate: int = 16000) -> tuple[float, int, int]:
-    """Mean spectral entropy in bits, voiced 30 ms frames, and those whose autocorrelation has two peaks or more."""
-    frames = _framed(np.asarray(x, float), int(0.03 * rate), int(0.03 * rate))
-    frames = frames[np.abs(frames).max(1) >= 0.02] if len(frames) else frames
-    if not len(frames):
+    """Mean spectral entropy in bits over all frames of 512 samples, silent ones too; voiced 30 ms frames, and those whose
+    autocorrelation has two peaks or more."""
+    x = np.asarray(x, float)
+    power = _power(x, rate) + 1e-10
+    if not len(power):
         return 0.0, 0, 0
-    power = np.abs(np.fft.rfft(frames * np.hamming(frames.shape[1]), axis=1)) ** 2
-    share = power / np.maximum(power.sum(1, keepdims=True), 1e-12)
-    entropy = -(share * np.log2(share + 1e-12)).sum(1)
-    r = _autocorrelation(frames - frames.mean(1, keepdims=True))
+    share = power / (power.sum(1, keepdims=True) + 1e-10)
+    entropy = -(share * np.log2(share + 1e-10)).sum(1)
+    frames = _before_end(x, int(0.03 * rate), int(0.03 * rate))
+    r = _autocorrelation(frames[np.abs(frames).max(1) >= 0.02])
     own = r[:, int(rate / 400) : int(rate / 80)]
     peaks = (own[:, 1:-1] > own[:, :-2]) & (own[:, 1:-1] > own[:, 2:]) & (own[:, 1:-1] > 0.35 * r[:, :1])
     n = peaks.sum(1)
@@ -129,12 +137,9 @@ def overlap_evidence(x: np.ndarray, rate: int = 16000) -> tuple[float, int, int]
 
 def mfcc_embedding(x: np.ndarray, rate: int = 16000, dims: int = 192) -> np.ndarray:
     """Means and spreads of 20 cepstral coefficients, centred over time, as a unit vector of `dims` values."""
-    size, hop, bands = 512, 256, 26
+    size, bands = 512, 26
     x = np.asarray(x, float)
-    frames = _framed(np.pad(x, (0, max(0, size - len(x)))), size, hop)
-    frames = frames - frames.mean(1, keepdims=True)
-    power = np.abs(np.fft.rfft(frames * _tukey(size, 0.25), axis=1)) ** 2 / (rate * (_tukey(size, 0.25) ** 2).sum())
-    power[:, 1:-1] *= 2
+    power = _power(np.pad(x, (0, max(0, size - len(x)))), rate)
     mel = lambda f: 2595 * np.log10(1 + f / 700)
     edges = 700 * (10 ** (np.linspace(mel(100), mel(rate / 2), bands + 2) / 2595) - 1)
     f = np.fft.rfftfreq(size, 1 / rate)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -61,19 +61,21 @@ def _from_zero(df: DataFrame) -> DataFrame:
     return df.withColumn("start_time", F.greatest(F.lit(0.0), F.col("start_time")))
 
 
-@registry.add("a5_read_transcript", f"WITH {LABELED_SQL} SELECT session_id, id, speaker_id, text, CASE WHEN session_id % 2 = 0 THEN 'live' ELSE 'archive' END AS origin FROM l WHERE session_id % 2 = 0 OR session_id % 3 = 0")
+@registry.add("a5_read_transcript", f"WITH {LABELED_SQL}, s AS (SELECT session_id, max(seq) % 2 = 0 AS is_live FROM l GROUP BY session_id) SELECT session_id, id, speaker_id, text, CASE WHEN is_live THEN 'live' ELSE 'archive' END AS origin FROM l JOIN s USING (session_id)")
 def a5(spark, sf_dir):
+    """All sessions are in the archive; those with an odd number of turns are in memory as well, and are read from there."""
     rows = labeled(spark, sf_dir)
-    live = rows.filter("session_id % 2 = 0").withColumn("origin", F.lit("live"))
-    archive = rows.filter("session_id % 3 = 0").withColumn("origin", F.lit("archive"))
-    return X.read_transcript(live, archive).select("session_id", "id", "speaker_id", "text", "origin")
+    is_live = F.max("seq").over(Window.partitionBy("session_id")) % 2 == 0
+    live = rows.withColumn("_live", is_live).filter("_live").drop("_live").withColumn("origin", F.lit("live"))
+    return X.read_transcript(live, rows.withColumn("origin", F.lit("archive"))).select("session_id", "id", "speaker_id", "text", "origin")
 
 
-@registry.add("a6_save_utterances", f"WITH {LABELED_SQL}, {SETTINGS_SQL} SELECT session_id, id, text || '!' AS text FROM l JOIN g USING (session_id) WHERE NOT privacy_mode AND save_transcript UNION ALL SELECT session_id, id, text FROM l JOIN g USING (session_id) WHERE (privacy_mode OR NOT save_transcript) AND seq = 0")
+@registry.add("a6_save_utterances", f"WITH {LABELED_SQL}, {SETTINGS_SQL} SELECT session_id, id, text || CASE WHEN NOT privacy_mode AND save_transcript THEN '!' ELSE '' END AS text FROM l JOIN g USING (session_id)")
 def a6(spark, sf_dir):
-    rows = labeled(spark, sf_dir).withColumn("is_final", F.lit(True))
-    archive = rows.filter("seq = 0").drop("is_final")
-    return X.upserted(archive, X.savable(rows.withColumn("text", F.concat("text", F.lit("!"))), settings(spark, sf_dir)).drop("is_final")).select("session_id", "id", "text")
+    """The archive holds all utterances; those that may be saved come in a newer version."""
+    rows = labeled(spark, sf_dir)
+    newer = rows.withColumns({"is_final": F.lit(True), "text": F.concat("text", F.lit("!")), "created_at": F.col("created_at") + 1})
+    return X.upserted(rows, X.savable(newer, settings(spark, sf_dir)).drop("is_final")).select("session_id", "id", "text")
 
 
 @registry.add("a7_clear_session", f"WITH {UTTERANCES_SQL} SELECT session_id, id, text FROM u WHERE session_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system')")
@@ -419,25 +421,25 @@ def j10(spark, sf_dir):
     return u(spark, sf_dir).select("session_id", "id", F.array_join(C.tokenize(F.col("text")), " ").alias("tokens"))
 
 
-_EDIT_SQL = f"""{UTTERANCES_SQL}, k0 AS (SELECT session_id, id, regexp_extract_all(lower(text), '[a-z0-9'']+')[1:40] AS k FROM u),
-k1 AS (SELECT *, [x FOR x, i IN k IF i % 5 <> 0] AS c, list_distinct(k) AS d FROM k0),
-k2 AS (SELECT *, array_to_string([chr((40 + list_position(d, x))::INT) FOR x IN k], '') AS a, array_to_string([chr((40 + list_position(d, x))::INT) FOR x IN c], '') AS b FROM k1)"""
+#: the second text has no fifth word, and "#", which no word is, for each seventh: so many edits are the fewest, at any length
+_EDIT_SQL = f"""{UTTERANCES_SQL}, k0 AS (SELECT session_id, id, regexp_extract_all(lower(text), '[a-z0-9'']+') AS k FROM u),
+k1 AS (SELECT *, len(k) - len([x FOR x, i IN k IF i % 5 = 0]) AS c, len([x FOR x, i IN k IF i % 5 = 0 OR i % 7 = 0]) AS edits FROM k0)"""
+
+
+def _edited_words(spark, sf_dir):
+    other = F.transform(F.filter(F.transform("k", lambda x, i: F.struct(x.alias("x"), (i + 1).alias("i"))), lambda y: y["i"] % 5 != 0), lambda y: F.when(y["i"] % 7 == 0, "#").otherwise(y["x"]))
+    return u(spark, sf_dir).withColumn("k", C.tokenize(F.col("text"))).withColumn("c", other)
 
 
-@registry.add("j11_token_edit_rate", f"WITH {_EDIT_SQL} SELECT session_id, id, CASE WHEN len(k) > 0 THEN round(levenshtein(a, b) / len(k), 3) END AS token_edit_rate FROM k2")
+@registry.add("j11_token_edit_rate", f"WITH {_EDIT_SQL} SELECT session_id, id, CASE WHEN len(k) > 0 THEN round(edits / len(k), 3) END AS token_edit_rate FROM k1")
 def j11(spark, sf_dir):
-    k = F.slice(C.tokenize(F.col("text")), 1, 40)
-    rows = u(spark, sf_dir).withColumn("k", k).withColumn("c", F.filter("k", lambda x, i: (i + 1) % 5 != 0))
-    return rows.select("session_id", "id", C.token_edit_rate(F.col("k"), F.col("c")).alias("token_edit_rate"))
+    return _edited_words(spark, sf_dir).select("session_id", "id", C.token_edit_rate(F.col("k"), F.col("c")).alias("token_edit_rate"))
 
 
-@registry.add("j12_condition_report", f"""WITH {_EDIT_SQL} SELECT id AS clip_id, 'clean' AS condition, 1 AS captions, len(k) AS recognized, CASE WHEN len(k) > 0 THEN 0.0 END AS token_edit_rate FROM k2
-UNION ALL SELECT id, 'pink 10 dB', 1, len(c), CASE WHEN len(k) > 0 THEN round(levenshtein(a, b) / len(k), 3) END FROM k2""")
+@registry.add("j12_condition_report", f"""WITH {_EDIT_SQL} SELECT id AS clip_id, 'clean' AS condition, 1 AS captions, len(k) AS recognized, CASE WHEN len(k) > 0 THEN 0.0 END AS token_edit_rate FROM k1
+UNION ALL SELECT id, 'pink 10 dB', 1, c, CASE WHEN len(k) > 0 THEN round(len([x FOR x, i IN k IF i % 5 = 0]) / len(k), 3) END FROM k1""")
 def j12(spark, sf_dir):
-    k = F.slice(C.tokenize(F.col("text")), 1, 40)
-    rows = u(spark, sf_dir).withColumn("k", k).withColumn("c", F.filter("k", lambda x, i: (i + 1) % 5 != 0))
-    run = lambda name, words: rows.select(F.col("id").alias("clip_id"), F.lit(name).alias("condition"), F.lit(1).alias("captions"), F.size(words).cast("long").alias("recognized"), F.array_join(words, " ").alias("text"))
-    return R.condition_report(run("clean", "k").unionByName(run("pink 10 dB", "c")))
+    return _condition_report(_dropped(spark, sf_dir))
 
 
 def _dropped(spark, sf_dir):
@@ -445,21 +447,24 @@ def _dropped(spark, sf_dir):
     return u(spark, sf_dir).withColumn("k", C.tokenize(F.col("text"))).withColumn("c", F.filter("k", lambda x, i: (i + 1) % 5 != 0))
 
 
-@registry.add("j11b_whole_edit_rate")  # DuckDB's levenshtein counts bytes, which can't number this many tokens
+@registry.add("j11b_whole_edit_rate")
 def j11b(spark, sf_dir):
     return _dropped(spark, sf_dir).select("session_id", "id", C.token_edit_rate(F.col("k"), F.col("c")).alias("token_edit_rate"))
 
 
-@registry.add("j12b_whole_condition_report")
-def j12b(spark, sf_dir):
-    rows = _dropped(spark, sf_dir)
+def _condition_report(rows):
     run = lambda name, words: rows.select(F.col("id").alias("clip_id"), F.lit(name).alias("condition"), F.lit(1).alias("captions"), F.size(words).cast("long").alias("recognized"), F.array_join(words, " ").alias("text"))
     return R.condition_report(run("clean", "k").unionByName(run("pink 10 dB", "c")))
 
 
-@registry.add("j13_privacy_audit", f"WITH {UTTERANCES_SQL}, {SETTINGS_SQL} SELECT session_id, count(*) AS rows FROM u JOIN g USING (session_id) WHERE privacy_mode AND seq % 2 = 0 GROUP BY session_id")
+@registry.add("j12b_whole_condition_report")
+def j12b(spark, sf_dir):
+    return _condition_report(_dropped(spark, sf_dir))
+
+
+@registry.add("j13_privacy_audit", f"WITH {UTTERANCES_SQL}, {SETTINGS_SQL} SELECT session_id, count(*) AS rows FROM u JOIN g USING (session_id) WHERE privacy_mode GROUP BY session_id")
 def j13(spark, sf_dir):
-    return R.privacy_audit(u(spark, sf_dir).filter("seq % 2 = 0"), settings(spark, sf_dir))
+    return R.privacy_audit(u(spark, sf_dir), settings(spark, sf_dir))
 
 
 @registry.add("j14_speaker_word_share", f"WITH {UTTERANCES_SQL} SELECT session_id, speaker_id, sum(dur_ms)::BIGINT AS talk_ms, sum(n_words)::BIGINT AS words, count(*) AS turns FROM u GROUP BY ROLLUP (session_id, speaker_id)")

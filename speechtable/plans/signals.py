@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -298,37 +300,52 @@ def f5(spark, sf_dir):
 
 
 # -- sources, metrics, events -------------------------------------------------------------------------------------
-@registry.add("a4_route_control_messages", "SELECT CASE event_type WHEN 'click' THEN 'rename_speaker' WHEN 'view' THEN 'update_settings' WHEN 'purchase' THEN 'export_transcript' WHEN 'error' THEN 'error' END AS type, count(*) AS n FROM events WHERE event_type <> 'signup' GROUP BY ALL")
+_CONTROL = """CASE event_type WHEN 'click' THEN 'rename_speaker' WHEN 'view' THEN 'update_settings' WHEN 'purchase' THEN 'export_transcript' WHEN 'error' THEN 'error' END"""
+
+
+@registry.add("a4_route_control_messages", f"SELECT event_id AS seq, {_CONTROL} AS type, CASE WHEN event_type <> 'error' THEN user_id::VARCHAR END AS session_id, CASE WHEN event_type = 'click' THEN 'n' || event_id END AS new_name FROM events WHERE event_type <> 'signup'")
 def a4(spark, sf_dir):
-    kind = F.when(F.col("event_type") == "click", "rename_speaker").when(F.col("event_type") == "view", "update_settings").when(F.col("event_type") == "purchase", "export_transcript").otherwise("unheard_of")
-    value = F.when(F.col("event_type") == "error", "{not json").otherwise(F.to_json(F.struct(kind.alias("type"), F.col("user_id").cast("string").alias("session_id"))))
-    return readers.control_counts(read(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), value.alias("value")))
+    """A message an event: three known types, one unknown, one that isn't JSON."""
+    is_ = lambda x: F.col("event_type") == x
+    kind = F.when(is_("click"), "rename_speaker").when(is_("view"), "update_settings").when(is_("purchase"), "export_transcript").otherwise("unheard_of")
+    value = F.when(is_("error"), "{not json").otherwise(F.to_json(F.struct(kind.alias("type"), F.col("user_id").cast("string").alias("session_id"), F.when(is_("click"), F.concat(F.lit("n"), F.col("event_id").cast("string"))).alias("new_name"))))
+    routed = readers.route_control_messages(read(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), value.alias("value")))
+    kinds = ("rename_speaker", "update_settings", "export_transcript", "error")
+    each = [routed[k].select("seq", "type", *(F.col(c) if c in routed[k].columns else F.lit(None).cast("string").alias(c) for c in ("session_id", "new_name"))) for k in kinds]
+    return reduce(DataFrame.unionByName, each)
 
 
-@registry.add("a1_read_pcm_packets", "SELECT event_id AS packet_seq, (2 + event_id % 3 * 2)::INT AS n FROM events WHERE event_id % 4 <> 1")
+@registry.add("a1_read_pcm_packets", "SELECT user_id AS session_id, event_id AS packet_seq, repeat('x', (2 + event_id % 3 * 2)::INT) AS payload FROM events WHERE event_id % 4 <> 1")
 def a1(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     raw = F.encode(F.repeat(F.lit("x"), F.when(F.col("event_id") % 4 == 1, 3).otherwise(2 + F.col("event_id") % 3 * 2).cast("int")), "UTF-8")
     messages = e.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("packet_seq"), F.when(F.col("event_id") % 2 == 0, raw).alias("payload"), F.when(F.col("event_id") % 2 == 1, F.to_json(F.struct(F.base64(raw).alias("pcm16_base64")))).alias("json"))
-    return readers.read_pcm_packets(messages).select("packet_seq", F.octet_length("payload").alias("n"))
+    return readers.read_pcm_packets(messages).select("session_id", "packet_seq", F.decode("payload", "UTF-8").alias("payload"))
+
+
+#: packets of n samples, all 0.5 but for the first of a packet, which tells its number
+_PACKETS_SQL = f"""{FRAMES_SQL}, k AS (SELECT session_id, frame_idx AS seq, CASE WHEN event_id % 3 = 0 THEN 550 ELSE 500 + event_id % 13 END AS n, event_id % 256 AS mark FROM f),
+k1 AS (SELECT *, ceil(n / 512.0)::BIGINT AS own, coalesce(sum(ceil(n / 512.0)) OVER (PARTITION BY session_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM k),
+fr AS (SELECT session_id, first + j AS frame_idx, CASE WHEN j = 0 THEN mark ELSE 64 END / 128.0 - CASE WHEN j = 0 AND mark >= 128 THEN 2 ELSE 0 END AS head, least(512, n - j * 512) AS filled FROM k1, LATERAL (SELECT unnest(range(own)) AS j))"""
 
 
-@registry.add("b1_frame_pcm", f"WITH {FRAMES_SQL} SELECT session_id, sum(CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END)::BIGINT AS frames, sum(CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END)::BIGINT - 1 AS last_frame FROM f GROUP BY session_id")
+@registry.add("b1_frame_pcm", f"WITH {_PACKETS_SQL} SELECT session_id, frame_idx, 512 AS n, round(head, 6)::DOUBLE AS first_sample, round(head + 0.5 * (filled - 1), 6)::DOUBLE AS total FROM fr")
 def b1(spark, sf_dir):
-    size = F.when(F.col("event_id") % 3 == 0, 1100).otherwise(1000 + F.col("event_id") % 13 * 2).cast("int")
-    packets = f(spark, sf_dir).select("session_id", F.col("frame_idx").alias("packet_seq"), F.encode(F.repeat(F.lit("ab"), (size / 2).cast("int")), "UTF-8").alias("payload"))
-    made = FR.frame_pcm(packets)
-    return made.groupBy("session_id").agg(F.count("*").alias("frames"), F.max("frame_idx").alias("last_frame"))
+    n = F.when(F.col("event_id") % 3 == 0, 550).otherwise(500 + F.col("event_id") % 13).cast("int")
+    raw = F.unhex(F.concat(F.lit("00"), F.lpad(F.hex(F.col("event_id") % 256), 2, "0"), F.repeat(F.lit("0040"), n - 1)))  # little-endian: low byte first
+    packets = f(spark, sf_dir).select("session_id", F.col("frame_idx").alias("packet_seq"), raw.alias("payload"))
+    x = F.transform("samples", lambda v: v.cast("double"))
+    return FR.frame_pcm(packets).select("session_id", "frame_idx", F.size("samples").alias("n"), F.round(F.get(x, F.lit(0)), 6).alias("first_sample"), F.round(F.aggregate(x, F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
 
 
-@registry.add("a12_event_fanout", f"WITH {VAD_SQL} SELECT type, count(*) AS n FROM (SELECT 'vad_state' AS type FROM v UNION ALL SELECT 'prosody_state' FROM (SELECT 1 FROM f GROUP BY session_id, frame_idx // 6 HAVING count(*) = 6) UNION ALL SELECT 'speaker_list' FROM g UNION ALL SELECT 'utterance' FROM g UNION ALL SELECT 'debug_metrics' FROM g) GROUP BY type")
+@registry.add("a12_event_fanout", f"""WITH {VAD_SQL} SELECT session_id, frame_idx AS "at", 0 AS place, 'vad_state' AS type, '{{"is_speaking":' || is_speaking || ',"segment_started":' || segment_started || ',"segment_ended":' || segment_ended || '}}' AS data FROM v
+UNION ALL SELECT session_id, max(frame_idx), 1, 'prosody_state', '{{"window_idx":' || frame_idx // 6 || ',"speech_active":' || max_by(voiced, frame_idx) || '}}' FROM f GROUP BY session_id, frame_idx // 6 HAVING count(*) = 6
+UNION ALL SELECT session_id, end_frame, place, type, '{{"segment_no":' || segment_no || '}}' FROM g, (SELECT unnest([2, 3, 4]) AS place, unnest(['speaker_list', 'utterance', 'debug_metrics']) AS type)""")
 def a12(spark, sf_dir):
     rows = vad(spark, sf_dir)
-    segments = G.speech_segments(rows, SILENCE).withColumn("at", F.col("end_frame"))
-    live = A.live_windows(f(spark, sf_dir)).withColumn("at", F.col("last_frame"))
-    own = segments.select("session_id", "at", "segment_no")
-    fan = X.event_fanout(rows.select("session_id", F.col("frame_idx").alias("at"), "is_speaking", "segment_started", "segment_ended"), live, own, segments, own)
-    return fan.groupBy("type").agg(F.count("*").alias("n"))
+    own = G.speech_segments(rows, SILENCE).select("session_id", F.col("end_frame").alias("at"), "segment_no")
+    live = A.live_windows(f(spark, sf_dir)).select("session_id", F.col("last_frame").alias("at"), "window_idx", "speech_active")
+    return X.event_fanout(rows.select("session_id", F.col("frame_idx").alias("at"), "is_speaking", "segment_started", "segment_ended"), live, own, own, own)
 
 
 _METRICS = "m AS (SELECT user_id AS session_id, event_id, event_type AS stage, floor(value) AS ms, event_id % 4 = 0 AS simulated FROM events)"
@@ -359,18 +376,14 @@ def j4(spark, sf_dir):
     return R.exclude_simulated(metrics(spark, sf_dir)).select("session_id", "event_id")
 
 
-@registry.add("g2_median_filter", f"""WITH {SAMPLES_SQL}, y AS (SELECT event_id, list_concat([0.0, 0.0], list_concat(x[1:12], [0.0, 0.0])) AS p FROM s)
-SELECT event_id, round(list_sum([list_sort(p[i:i + 4])[3] * i FOR i IN range(1, 13)]), 6) AS moment FROM y""")
+@registry.add("g2_median_filter", f"""WITH {SAMPLES_SQL}, y AS (SELECT event_id, len(x) AS n, list_concat([0.0, 0.0], list_concat(x, [0.0, 0.0])) AS p FROM s)
+SELECT event_id, round(list_sum([list_sort(p[i:i + 4])[3] * i FOR i IN range(1, n + 1)]), 6) AS moment FROM y""")
 def g2(spark, sf_dir):
-    rows = samples(spark, sf_dir).withColumn("y", C.median_filter5(F.slice("x", 1, 12)))
+    rows = samples(spark, sf_dir).withColumn("y", C.median_filter5(F.col("x")))
     return rows.select("event_id", F.round(F.aggregate(F.transform("y", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v), 6).alias("moment"))
 
 
-@registry.add("g2b_whole_median_filter", f"""WITH {SAMPLES_SQL}, y AS (SELECT event_id, len(x) AS n, list_concat([0.0, 0.0], list_concat(x, [0.0, 0.0])) AS p FROM s)
-SELECT event_id, round(list_sum([list_sort(p[i:i + 4])[3] * i FOR i IN range(1, n + 1)]), 6) AS moment FROM y""")
-def g2b(spark, sf_dir):
-    rows = samples(spark, sf_dir).withColumn("y", C.median_filter5(F.col("x")))
-    return rows.select("event_id", F.round(F.aggregate(F.transform("y", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v), 6).alias("moment"))
+registry.add("g2b_whole_median_filter", registry.sql["g2_median_filter"])(g2)  # the same under its other name
 
 
 _CONTOUR = f"{FRAMES_SQL}, k AS (SELECT session_id, frame_idx // 8 AS clip, list(pitch_hz ORDER BY frame_idx) FILTER (pitch_hz IS NOT NULL) AS v FROM f GROUP BY ALL), h AS (SELECT *, greatest(2, floor(len(v) * 0.6)::INT) AS cut FROM k WHERE v IS NOT NULL)"
@@ -398,11 +411,22 @@ def g5(spark, sf_dir):
 
 # -- signal kernels: no SQL gives these ----------------------------------------------------------------------------
 def clips(spark, sf_dir):
-    """Tones of 0.6 s whose pitch glides; one a distinct (user, event type)."""
+    """Clips of 0.6 s, one a distinct (user, event type): gliding tones, tones in noise, pulses of a high and of a low voice,
+    and quiet tones that end in a loud high one."""
     e = read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    user, n = F.col("user_id") % 10, F.col("n")
+    sine = lambda amp, hz, i: amp * F.sin(2 * 3.141592653589793 * hz * i / 16000.0)
+    noise = lambda i: (F.pmod(F.xxhash64("user_id", i), F.lit(2001)) - 1000) / 1000.0
+    glide = lambda i: sine(0.25, 110 + user * 12 + (n % 9 - 4) * 20 * i / 16000.0, i)
+    kinds = {
+        "click": glide,
+        "view": lambda i: sine(0.25, 130 + user * 9, i) + 0.2 * noise(i),
+        "purchase": lambda i: F.when(i % (84 + user) == 0, 0.6).otherwise(0.0) + 0.08 * noise(i),
+        "signup": lambda i: F.when(i % (110 + user) == 0, 0.6).otherwise(0.0),
+        "error": lambda i: F.when(i < 7200, sine(0.02, 110, i)).otherwise(sine(0.5, 200 + user, i)),
+    }
     t = F.sequence(F.lit(0), F.lit(9599))
-    low, glide = 110 + (F.col("user_id") % 10) * 12, (F.col("n") % 9 - 4) * 20
-    x = F.transform(t, lambda i: (0.25 * F.sin(2 * 3.141592653589793 * (low + glide * i / 16000.0) * i / 16000.0)).cast("float"))
+    x = reduce(lambda a, k: a.when(F.col("event_type") == k, F.transform(t, lambda i: kinds[k](i).cast("float"))), kinds, F).otherwise(F.transform(t, lambda i: glide(i).cast("float")))
     return e.select(F.concat_ws("-", "user_id", "event_type").alias("clip_id"), x.alias("samples"))
 
 

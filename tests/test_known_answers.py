@@ -202,7 +202,9 @@ def test_unknown_noise(spark):
 def test_overlap_evidence(spark):
     one = spark.createDataFrame([(0.6, 7.5, 10, 6), (0.6, 7.5, 10, 4), (0.3, 7.5, 10, 9), (0.6, 6.0, 10, 9)], "seconds double, mean_entropy double, n_voiced int, n_dual int")
     assert [x.acoustic_overlap for x in FR.acoustic_overlap(one).collect()] == [True, False, False, False]
-    assert K.overlap_evidence(np.zeros(8000)) == (0.0, 0, 0)
+    entropy, voiced, dual = K.overlap_evidence(np.zeros(8000))
+    assert entropy == pytest.approx(7.98, abs=0.01) and (voiced, dual) == (0, 0)  # silence has a flat spectrum
+    assert K.overlap_evidence(np.zeros(100)) == (0.0, 0, 0)
 
 
 def test_transcribe_and_turns(spark):

@@ -18,11 +18,14 @@ def frame_pcm(packets: DataFrame, frame: int = FRAME) -> DataFrame:
     """packets (session_id, packet_seq, payload) -> session_id, frame_idx, samples: 16-bit little-endian samples in frames;
     each packet's last frame is filled up with zeros.
 
-    Frames are numbered by a running sum over packets, so the audio itself isn't moved to number them.
+    Frames are numbered by a running sum over the packets' lengths, which are shuffled without the audio; the numbers meet
+    the packets again by (session_id, packet_seq), which must be unique. Spark broadcasts them below its size limit, and else
+    the audio is shuffled this once.
     """
     n = F.ceil(F.octet_length("payload") / 2 / frame).cast("long")
     before = F.sum("_n").over(Window.partitionBy("session_id").orderBy("packet_seq").rowsBetween(Window.unboundedPreceding, -1))
-    numbered = packets.withColumn("_n", n).withColumn("_first", F.coalesce(before, F.lit(0)))
+    first = packets.select("session_id", "packet_seq", n.alias("_n")).select("session_id", "packet_seq", F.coalesce(before, F.lit(0)).alias("_first"))
+    numbered = packets.join(first, ["session_id", "packet_seq"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -37,6 +40,13 @@ def frame_pcm(packets: DataFrame, frame: int = FRAME) -> DataFrame:
     return numbered.select("session_id", "_first", "payload").mapInPandas(run, f"session_id {kind}, frame_idx long, samples array<float>")
 
 
+def event_time(frames: DataFrame, epochs: DataFrame, sample_rate: int = 16000, frame: int = FRAME) -> DataFrame:
+    """frames (session_id, frame_idx) and epochs (session_id, epoch: when its audio began) with event_ts: when the frame's
+    last sample was heard. A session without an epoch has none."""
+    heard = ((F.col("frame_idx") + 1) * frame * 1_000_000 / sample_rate).cast("long")
+    return frames.join(epochs.select("session_id", "epoch"), "session_id", "left").withColumn("event_ts", F.timestamp_micros(F.unix_micros("epoch") + heard)).drop("epoch")
+
+
 def condition_audio(clips: DataFrame, sample_rate: int = 16000) -> DataFrame:
     """samples through a 75 Hz high-pass and a limiter."""
 

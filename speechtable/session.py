@@ -10,6 +10,21 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: dict[str, str] = {}
+_LOCAL: list[str] = []
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir. Where that is unset, a temporary one of this machine, for a
+    local master alone: on a cluster each executor would write to a disk of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local"):
+        raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
+    if not _LOCAL:
+        _LOCAL.append("file://" + tempfile.mkdtemp(prefix="speechtable-"))
+    return _LOCAL[0]
 
 
 def ship(spark: SparkSession) -> SparkSession:

@@ -61,9 +61,10 @@ f AS (SELECT user_id AS session_id, (row_number() OVER (PARTITION BY user_id ORD
   CASE WHEN event_type IN ('click', 'view') THEN (80 + (event_id * 37) % 300)::DOUBLE END AS pitch_hz, -60 + value / 10 AS level_dbfs FROM events)"""
 
 
-def turn_embeddings(embeddings: DataFrame, sessions: int = 10) -> DataFrame:
-    """embeddings (vec_id, embedding, label) -> session_id, seq, embedding, label."""
-    return embeddings.select((F.col("vec_id") % sessions).alias("session_id"), F.col("vec_id").alias("seq"), "embedding", "label")
+def turn_embeddings(embeddings: DataFrame, turns: int = 50) -> DataFrame:
+    """embeddings (vec_id, embedding, label) -> session_id, seq, embedding, label; so many turns a session, so a larger table
+    has more sessions, not longer ones."""
+    return embeddings.select(F.expr(f"vec_id div {turns}").alias("session_id"), F.col("vec_id").alias("seq"), "embedding", "label")
 
 
-TURNS_SQL = "t AS (SELECT vec_id % 10 AS session_id, vec_id AS seq, embedding, label FROM embeddings)"
+TURNS_SQL = "t AS (SELECT vec_id // 50 AS session_id, vec_id AS seq, embedding, label FROM embeddings)"

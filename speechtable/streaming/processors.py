@@ -1,7 +1,12 @@
 """Stateful processors: one session's state is what the next rows need, never the session's history.
 
-Rows of a micro-batch come in no order, so each processor sorts what it gets by frame or sequence number. A trigger must
-not overtake a session's own order: sources partition by session, and late rows are cut off by the watermark in front.
+Rows of a micro-batch come in no order, so each processor sorts what it gets of a session by frame or sequence number; the
+source's maxFilesPerTrigger bounds how much that is. A trigger must not overtake a session's own order: sources partition by
+session, and late rows are cut off by the watermark in front.
+
+Rows may say `control`: "start" makes the session anew, and the row is its first; "end" deletes the session's state, and the
+row itself gives nothing. With `ttl_ms`, state that no row has touched for so long is deleted as well. Such a query looks for
+expired state as long as it runs, so it needs a trigger by time or by batch; with availableNow it would never end.
 """
 
 from __future__ import annotations
@@ -25,17 +30,29 @@ class _State(StatefulProcessor):
 
     schema = ""
     start: tuple = ()
+    order = "frame_idx"
     ttl_ms: int | None = None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._held = handle.getValueState("held", self.schema, self.ttl_ms) if self.ttl_ms else handle.getValueState("held", self.schema)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True)
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable", ignore_index=True)
         state = tuple(self._held.get()) if self._held.exists() else self.start
-        state, out = self.step(key[0], list(state), pdf)
-        self._held.update(tuple(state))
-        yield out
+        ended, begin = False, 0
+        says = pdf.pop("control")
+        for at in [*np.flatnonzero(says.isin(["start", "end"])), len(pdf)]:
+            if at > begin:
+                state, out = self.step(key[0], list(state), pdf.iloc[begin:at])
+                ended = False
+                yield out
+            if at < len(pdf):
+                ended = says[at] == "end"
+                state, begin = self.start, at + int(ended)
+        if ended:
+            self._held.clear()
+        else:
+            self._held.update(tuple(state))
 
     def step(self, session, state: list, pdf: pd.DataFrame):
         raise NotImplementedError
@@ -56,7 +73,7 @@ class Vad(_State):
     def step(self, session, state, pdf):
         last, collected, segment = state
         out = []
-        for i, voiced in pdf.sort_values("frame_idx")[["frame_idx", "voiced"]].itertuples(index=False):
+        for i, voiced in pdf[["frame_idx", "voiced"]].itertuples(index=False):
             started = bool(voiced) and (last < 0 or i - last > self.min_silence)
             if started:
                 segment, collected = segment + 1, 0
@@ -73,19 +90,28 @@ VAD = "session_id long, frame_idx long, is_speaking boolean, segment_started boo
 
 
 class Live(_State):
-    """Pitch direction and relative level from the last known pitches and active levels."""
+    """Pitch direction and relative level from the last known pitches and active levels, for each frame or for each `width`
+    frames in turn: mean power and median pitch of the window, speech as in its last frame."""
 
-    schema = "pitches array<double>, levels array<double>"
-    start = ([], [])
+    schema = "pitches array<double>, levels array<double>, seen int, power double, known array<double>"
+    start = ([], [], 0, 0.0, [])
 
-    def __init__(self, n_pitch: int = 12, n_level: int = 30, least: int = 4) -> None:
-        self.n_pitch, self.n_level, self.least = n_pitch, n_level, least
+    def __init__(self, n_pitch: int = 12, n_level: int = 30, least: int = 4, width: int = 1) -> None:
+        self.n_pitch, self.n_level, self.least, self.width = n_pitch, n_level, least, width
 
     def step(self, session, state, pdf):
-        pitches, levels = list(state[0]), list(state[1])
+        pitches, levels, seen, power, known = list(state[0]), list(state[1]), state[2], state[3], list(state[4])
         out = []
-        for i, voiced, pitch, level in pdf.sort_values("frame_idx")[["frame_idx", "voiced", "pitch_hz", "level_dbfs"]].itertuples(index=False):
+        for i, voiced, pitch, level in pdf[["frame_idx", "voiced", "pitch_hz", "level_dbfs"]].itertuples(index=False):
             pitch = None if pd.isna(pitch) else float(pitch)
+            if self.width > 1:
+                seen, power = seen + 1, power + 10 ** (level / 10)
+                known = known if pitch is None else [*known, pitch]
+                if seen < self.width:
+                    continue
+                level = 10 * float(np.log10(max(power / seen, 1e-12)))
+                pitch = float(np.median(known)) if voiced and known else None
+                seen, power, known = 0, 0.0, []
             before = float(np.median(pitches)) if pitches else None
             change = 12 * float(np.log2(pitch / before)) if pitch is not None and before else None
             direction = "unavailable" if pitch is None else "steady" if change is None or abs(change) < 1.2 else "rising" if change > 0 else "falling"
@@ -95,7 +121,7 @@ class Live(_State):
                 pitches = [*pitches, pitch][-self.n_pitch :]
             if voiced and level > -55:
                 levels = [*levels, float(level)][-self.n_level :]
-        return (pitches, levels), pd.DataFrame(out, columns=["session_id", "frame_idx", "pitch_direction", "pitch_change", "relative_level_db", "emphasis_candidate"])
+        return (pitches, levels, int(seen), float(power), known), pd.DataFrame(out, columns=["session_id", "frame_idx", "pitch_direction", "pitch_change", "relative_level_db", "emphasis_candidate"])
 
 
 LIVE = "session_id long, frame_idx long, pitch_direction string, pitch_change double, relative_level_db double, emphasis_candidate boolean"
@@ -104,6 +130,7 @@ LIVE = "session_id long, frame_idx long, pitch_direction string, pitch_change do
 class Speakers(_State):
     """Greedy clustering, and overlap with the last five utterances: centroids (flat), counts, and the ring."""
 
+    order = "seq"
     schema = "centroids array<double>, counts array<long>, ends array<double>, speakers array<long>"
     start = ([], [], [], [])
 
@@ -120,7 +147,7 @@ class Speakers(_State):
             registry.counts = counts
         ends, speakers = list(state[2]), [int(x) for x in state[3]]
         out = []
-        for r in pdf.sort_values("seq").itertuples(index=False):
+        for r in pdf.itertuples(index=False):
             no, similarity, confidence = registry.assign(r.embedding)
             over = sorted({s for e, s in zip(ends, speakers) if r.start_time < e - self.slack_s and s != no})
             out.append((session, r.seq, no, similarity, confidence, over))
@@ -141,20 +168,23 @@ def deduplicated(frames: DataFrame, late: str = "10 minutes") -> DataFrame:
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _run(df: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
-    return df.groupBy("session_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None")
+def _run(df: DataFrame, columns: str, processor: _State, schema: str, ttl_ms: int | None) -> DataFrame:
+    control = F.col("control").cast("string") if "control" in df.columns else F.lit(None).cast("string")
+    processor.ttl_ms = ttl_ms
+    mode = "ProcessingTime" if ttl_ms else "None"
+    return df.select(*columns.split(), control.alias("control")).groupBy("session_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=mode)
 
 
-def stream_vad(frames: DataFrame, min_silence: int = MIN_SILENCE, every: int = 38) -> DataFrame:
-    return _run(frames.select("session_id", "frame_idx", "voiced"), Vad(min_silence, every), VAD)
+def stream_vad(frames: DataFrame, min_silence: int = MIN_SILENCE, every: int = 38, ttl_ms: int | None = None) -> DataFrame:
+    return _run(frames, "session_id frame_idx voiced", Vad(min_silence, every), VAD, ttl_ms)
 
 
-def stream_live_prosody(frames: DataFrame, **how) -> DataFrame:
-    return _run(frames.select("session_id", "frame_idx", "voiced", "pitch_hz", "level_dbfs"), Live(**how), LIVE)
+def stream_live_prosody(frames: DataFrame, ttl_ms: int | None = None, **how) -> DataFrame:
+    return _run(frames, "session_id frame_idx voiced pitch_hz level_dbfs", Live(**how), LIVE, ttl_ms)
 
 
-def stream_speakers(turns: DataFrame, **how) -> DataFrame:
-    return _run(turns.select("session_id", "seq", "start_time", "end_time", "embedding"), Speakers(**how), SPEAKERS)
+def stream_speakers(turns: DataFrame, ttl_ms: int | None = None, **how) -> DataFrame:
+    return _run(turns, "session_id seq start_time end_time embedding", Speakers(**how), SPEAKERS, ttl_ms)
 
 
 def stream_live_levels(frames: DataFrame, width: str = "192 milliseconds", late: str = "10 minutes") -> DataFrame:
@@ -170,16 +200,20 @@ def stream_segments(frames: DataFrame, gap: str = "432 milliseconds", late: str
 
 
 def stream_upsert(captions: DataFrame, path: str, checkpoint: str):
-    """Interim and final captions to a table in which the later of an id stays. Starts the query and gives it back."""
-    from ..operators.exports import upserted
+    """Interim and final captions to a table of which `current` reads the later of each id. Starts the query and gives it back.
+
+    An epoch writes the ids that it changes and nothing else; one that runs again writes the same folder again.
+    """
     from ..operators.utterances import upsert_captions
 
-    def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        new = upsert_captions(batch).withColumn("created_at", F.col("seq"))
-        target = f"{path}/epoch={epoch}"
-        if epoch:
-            new = upserted(spark.read.parquet(f"{path}/epoch={epoch - 1}"), new)
-        new.write.mode("overwrite").parquet(target)
+    def write(batch: DataFrame, epoch: int) -> None:
+        upsert_captions(batch).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return captions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
-    return captions.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def current(changes: DataFrame) -> DataFrame:
+    """What stream_upsert wrote (or a part of it) -> the latest row of each id, at the place of the id's first."""
+    others = [c for c in changes.columns if c not in ("session_id", "id", "position", "epoch")]
+    latest = changes.groupBy("session_id", "id").agg(F.min("position").alias("position"), F.max_by(F.struct(*others), "seq").alias("x"))
+    return latest.select("session_id", "id", "position", "x.*")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir
 
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,11 +39,20 @@ def export_json(u: DataFrame) -> DataFrame:
 FORMATS = {"txt": export_txt, "vtt": export_vtt, "json": export_json}
 
 
-def write_exports(u: DataFrame, path: str, formats: tuple[str, ...] = ("txt", "vtt", "json")) -> None:
-    """A folder for each format and session, with its file in it."""
+def exported(u: DataFrame, formats: tuple[str, ...] = ("txt", "vtt", "json")) -> DataFrame:
+    """format, session_id, content: a row for each session and format; an unknown format means plain text."""
+    each = [FORMATS.get(f, export_txt)(u).select(F.lit(f).alias("format"), "session_id", "content") for f in formats]
+    return reduce(DataFrame.unionByName, each)
+
+
+def write_exports(u: DataFrame, path: str, formats: tuple[str, ...] = ("txt", "vtt", "json"), as_table: bool = False) -> None:
+    """A folder for each format and session, with its file in it. as_table: Parquet by format instead, for so many sessions
+    that a file for each would be too many."""
+    if as_table:
+        exported(u, formats).write.mode("append").partitionBy("format").parquet(path)
+        return
     for f in formats:
-        own = FORMATS.get(f, export_txt)(u)  # an unknown format means plain text
-        own.select("content", F.lit(f).alias("format"), "session_id").write.mode("append").partitionBy("format", "session_id").text(path)
+        exported(u, (f,)).select("content", "format", "session_id").write.mode("append").partitionBy("format", "session_id").text(path)
 
 
 def savable(u: DataFrame, settings: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from ..operators import reports as R
 from ..operators import speakers as S
 from ..operators import utterances as U
 from ..operators import words as W
+from ..session import shared_dir
 from ..sources.derive import UTTERANCES_SQL, read, utterances
 from .registry import Registry
 
@@ -102,6 +105,14 @@ def a10(spark, sf_dir):
     return X.export_json(rows)
 
 
+@registry.add("a15_write_exports", f"SELECT 'txt' AS format, * FROM ({registry.sql['a8_export_txt']}) UNION ALL SELECT 'vtt', * FROM ({registry.sql['a9_export_vtt']})")
+def a15(spark, sf_dir):
+    """Written as a table and read again."""
+    path = f"{shared_dir(spark)}/exports-{uuid.uuid4().hex}"
+    X.write_exports(_from_zero(labeled(spark, sf_dir)), path, ("txt", "vtt"), as_table=True)
+    return spark.read.parquet(path).select("format", "session_id", "content")
+
+
 @registry.add("a11_list_speakers", f"WITH {LABELED_SQL} SELECT session_id, speaker_id, speaker_no, label, color_index, count(*) AS total_utterances, max_by(end_ms, seq) AS last_heard_ms FROM l GROUP BY ALL")
 def a11(spark, sf_dir):
     d = S.speaker_dimension(u(spark, sf_dir).withColumn("end_time", F.col("end_ms")))
@@ -199,6 +210,13 @@ def f10u(spark, sf_dir):
     return S.unknown_renames(u(spark, sf_dir).filter("seq % 2 = 1"), _renames(spark, sf_dir)).select("session_id", "speaker_id", "seq", "new_name")
 
 
+@registry.add("f15_reset_speakers", f"WITH {UTTERANCES_SQL}, e AS (SELECT *, seq // 3 AS part FROM u), x AS (SELECT *, min(seq) OVER (PARTITION BY session_id, part, speaker_id) AS first_seq FROM e) SELECT session_id, seq, dense_rank() OVER (PARTITION BY session_id, part ORDER BY first_seq) AS speaker_no FROM x")
+def f15(spark, sf_dir):
+    """A new session at every third turn: its speakers are numbered from 1 again."""
+    parts = u(spark, sf_dir).withColumn("_session", F.col("session_id")).withColumn("session_id", F.struct("_session", F.floor(F.col("seq") / 3).alias("part")))
+    return S.assign_labels(parts).select(F.col("_session").alias("session_id"), "seq", "speaker_no")
+
+
 @registry.add("f9_display_name", f"WITH {LABELED_SQL} SELECT session_id, id, CASE WHEN seq % 3 = 0 THEN 'Dr. ' || speaker_id || ' (' || label || ')' ELSE label END AS display_name FROM l")
 def f9(spark, sf_dir):
     return labeled(spark, sf_dir).select("session_id", "id", C.display_name(F.col("label"), F.when(F.col("seq") % 3 == 0, F.concat(F.lit("Dr. "), "speaker_id"))).alias("display_name"))

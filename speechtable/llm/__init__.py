@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, merkle, mixing, pii, quality, recompress, secrets, simhash, tokens, urls
+from . import chat, decontaminate, fingerprint, merkle, mixing, periodic, pii, quality, recompress, secrets, simhash, tokens, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_substring_dedup": recompress.query,
         "op10_document_fingerprints": fingerprint.query,
         "op11_merkle_manifest": merkle.query,
+        "op12_periodic_runs": periodic.query,
+        "op13_chat_formatting": chat.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": decontaminate.SQL, "op7_source_mixing": mixing.SQL, "op11_merkle_manifest": merkle.SQL}
+    return {"op2_benchmark_decontamination": decontaminate.SQL, "op7_source_mixing": mixing.SQL, "op11_merkle_manifest": merkle.SQL, "op13_chat_formatting": chat.SQL}

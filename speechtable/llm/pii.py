@@ -51,7 +51,6 @@ LOGIN = re.compile(r"[^\s/?#@:]++(?::[^\s/?#@]*+)?@(?=[A-Za-z0-9])")
 PROFILE = re.compile(r"[^\s/?#]++/(?:~|@|u/|users?/|profiles?/|people/)[A-Za-z0-9_.-]*[A-Za-z0-9_]")
 ACCOUNT = re.compile(r"(?:\s{1,3}(?:number|no|nr))?[\s.:#=-]{1,3}([A-Za-z0-9]++)", re.I)
 GROUP = re.compile(r"[ -]([A-Za-z0-9]++)")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 _AUTOMATON: list = []
 
@@ -141,7 +140,7 @@ def more_spans(text: str, hits: list[tuple[int, str | int]], emails: list[tuple[
 def spans(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans, by start and kind."""
     text = text or ""
-    hits = [*_automaton().iter(text.translate(_LOWER))]
+    hits = [*_automaton().iter(text.encode().lower().decode())]
     base = sorted(base_spans(text, [at for at, what in hits if what == "@"], [at for at, what in hits if what == "+"]))
     more = more_spans(text, hits, [(a, b) for a, k, b in base if k == 0]) if hits else []
     return base, sorted({*base, *more})

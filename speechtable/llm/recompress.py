@@ -12,22 +12,28 @@ starts earlier (in a document with a smaller id, or earlier in its own). Windows
 2. Shared symbols. Anchors are counted over the corpus. Only windows whose anchor occurs twice can repeat. These anchors
    are put in a bit map of bounded size (`MAP_BITS_MOST`) that every task can hold; where it fills up, more windows go on
    to the next step, and beyond a fill of half all do. It never loses a window.
-3. Verification. The remaining windows meet by a 64-bit hash of their words and are compared by that and a 32-bit hash of
-   another kind. A task first settles repeats among its own rows and sends on one of each kind, so what meets at a hash is
-   bounded by the number of batches, not by how often a passage occurs. Later ones are marked.
+3. Verification. Names and symbols only tell which windows may repeat: they can be made to collide. The remaining windows meet by a cryptographic digest
+   of the words themselves (BLAKE2, 128 bits) and are alike only if all of it agrees; the words of two windows, which lie in
+   different tasks, are never brought together. A task first settles repeats among its own rows and sends on one of each
+   kind, so what meets at a digest is bounded by the number of batches, not by how often a passage occurs. Later ones are
+   marked.
 4. Marks and texts meet by document, and marked words go.
 
-The corpus is read three times and its text shuffled once. Rows are packed by hash bucket, so a shuffled window costs
-about 16 bytes and a task holds a bucket at a time; the number of buckets follows the number of windows.
+The corpus is read four times (sizes, anchors, windows, texts) and its text shuffled once. Rows are packed by bucket, so a
+shuffled window costs 36 bytes before compression and a task holds a bucket at a time; the number of buckets follows the
+number of windows.
 
-Cases: null or empty text has no words and keeps nothing; fewer than WINDOW words: all are kept; rows that repeat a
-doc_id and text are one document (neither is earlier), rows that share only the id are compared by position and keep
-apart; a null doc_id is the last of all (with the largest long); an empty table gives no rows; other columns aren't read.
+Cases: null or empty text has no words and keeps nothing; fewer than WINDOW words: all are kept; very long texts are worked
+on whole, and a task's memory follows the longest; rows that repeat a doc_id and text are one document (neither is
+earlier), rows that share only the id are compared by position and keep apart; a null doc_id is the last of all: it takes
+the place of the largest long, and such a row and one that has that id and the same text are one document; an empty table
+gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -77,7 +83,8 @@ class Words:
     """The words of some documents as one row of names with a separator, alike to nothing, around each document."""
 
     def __init__(self, texts: list[str | None]) -> None:
-        names = [word_names((t or "").encode()) for t in texts]
+        plain = [b" ".join((t or "").encode().split()) for t in texts]
+        names = [word_names(t) for t in plain]
         sizes = np.array([len(x) for x in names], np.int64)
         self.begins = np.cumsum(sizes + 1) - sizes  # of each document
         n = int(sizes.sum()) + len(texts) + 1
@@ -92,15 +99,26 @@ class Words:
         self.starts = np.zeros(n, bool)  # where a window starts
         at = np.arange(n - 1)
         self.starts[:-1] = self.is_word[:-1] & (at + WINDOW <= ends)
-
-    def hashes(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of the window that starts at each place."""
-        h, g = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+        # words with one space after each: a space starts no word, so each word ends one before the next or the separator starts
+        self.raw = b" ".join([*plain, b""])
+        b = np.frombuffer(self.raw, np.uint8) == 32
+        self.at = np.empty(n, np.int64)
+        self.at[seps] = np.cumsum([0, *(len(t) + 1 for t in plain)])
+        self.at[self.is_word] = np.flatnonzero(~b & np.concatenate(([True], b[:-1])))
+
+    def hashes(self, at: np.ndarray) -> np.ndarray:
+        """A hash of the names in the window that starts at each place."""
+        h = np.zeros(len(at), np.uint64)
         for k in range(WINDOW):
-            own = self.name[at + k]
-            h = h * _A + own
-            g = (g ^ (own >> np.uint64(7))) * _C
-        return mixed(h), (mixed(g) >> np.uint64(33)).astype(np.int32)
+            h = h * _A + self.name[at + k]
+        return mixed(h)
+
+    def digests(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both halves of a digest of the words in the window that starts at each place."""
+        raw = self.raw
+        out = b"".join([blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(self.at[at].tolist(), (self.at[at + WINDOW] - 1).tolist())])
+        h, g = np.frombuffer(out, np.uint64).reshape(-1, 2).T.copy()
+        return h, g
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places where windows start, each window's anchor, and where the anchor's words begin."""
@@ -117,7 +135,7 @@ class Words:
             where[ok] = a
         best = mixed(best)
         rest = np.flatnonzero(where < 0)
-        best[rest] = self.hashes(at[rest])[0]
+        best[rest] = self.hashes(at[rest])
         where[rest] = at[rest]
         return at, best, where
 
@@ -219,12 +237,12 @@ def _packed(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]].astype(np.int32)), *(pa.ListArray.from_arrays(cuts, pa.array(c[order])) for c in columns)], names=["bucket", *"abcde"[: len(columns)]])
 
 
-WINDOWS = "bucket int, a array<long>, b array<int>, c array<long>, d array<int>, e array<int>"
-MARKS = "bucket int, a array<long>, b array<int>, c array<int>"
+WINDOWS = "bucket int, a array<long>, b array<long>, c array<long>, d array<long>, e array<int>"
+MARKS = "bucket int, a array<long>, b array<long>, c array<int>"
 
 
 def _doc_bucket(doc: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
-    return (mixed(doc.astype(np.uint64) * _A + text.astype(np.int64).view(np.uint64)) % np.uint64(n)).astype(np.int32)
+    return (mixed(doc.astype(np.uint64) * _A + text.view(np.uint64)) % np.uint64(n)).astype(np.int32)
 
 
 def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[str | None]]:
@@ -233,7 +251,7 @@ def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[str |
 
 
 def windows(docs: DataFrame, held: np.ndarray | None, buckets: int, doc_buckets: int) -> DataFrame:
-    """docs (doc_id, text_id, text) -> WINDOWS: windows that may repeat (hash, other hash, doc, text_id, position), the
+    """docs (doc_id, text_id, text) -> WINDOWS: windows that may repeat (digest in two halves, doc, text_id, position), the
     first of each content in a batch; and, in buckets below zero, marks of the others (doc, text_id, position)."""
     sent = docs.sparkSession.sparkContext.broadcast(held)
 
@@ -248,15 +266,15 @@ def windows(docs: DataFrame, held: np.ndarray | None, buckets: int, doc_buckets:
                 if held is not None:
                     at = at[_in_map(held, key)]
                 doc = w.doc[at]
-                found.append((*w.hashes(at), first + doc, (at - w.begins[doc]).astype(np.int32)))
+                found.append((*w.digests(at), first + doc, (at - w.begins[doc]).astype(np.int32)))
                 del w
             h, g, doc, pos = (np.concatenate(c) for c in zip(*found))
             ids, tids = doc_id[doc], text_id[doc]
             order, later = _later(h, g, ids, pos)
             keep, mark = order[~later], order[later]
-            no = np.zeros(len(mark), np.int32)
-            yield from _packed((h[keep] % np.uint64(buckets)).astype(np.int32), [h[keep].view(np.int64), g[keep], ids[keep], tids[keep], pos[keep]])
-            yield from _packed(-1 - _doc_bucket(ids[mark], tids[mark], doc_buckets), [no.astype(np.int64), no, ids[mark], tids[mark], pos[mark]])
+            no = np.zeros(len(mark), np.int64)
+            yield from _packed((h[keep] % np.uint64(buckets)).astype(np.int32), [h[keep].view(np.int64), g[keep].view(np.int64), ids[keep], tids[keep], pos[keep]])
+            yield from _packed(-1 - _doc_bucket(ids[mark], tids[mark], doc_buckets), [no, no, ids[mark], tids[mark], pos[mark]])
 
     return docs.select("doc_id", "text_id", "text").mapInArrow(run, WINDOWS)
 
@@ -303,7 +321,7 @@ def marks(found: DataFrame, doc_buckets: int) -> DataFrame:
 
 def removals(docs: DataFrame) -> DataFrame:
     """docs -> doc_id, n_words, n_removed, kept (the words that stay, joined by one space)."""
-    docs = docs.select("doc_id", F.hash("text").alias("text_id"), "text")
+    docs = docs.select("doc_id", F.xxhash64("text").alias("text_id"), "text")
     sizes = docs.agg(F.count("*"), F.sum(F.char_length("text"))).first()
     chars = sizes[1] or 0
     buckets, doc_buckets = 1 + chars // 6 // BUCKET_WINDOWS, 1 + chars // BUCKET_BYTES
@@ -316,10 +334,10 @@ def removals(docs: DataFrame) -> DataFrame:
             ids, tids, _ = _columns(b)
             yield pa.RecordBatch.from_arrays([pa.array(_doc_bucket(ids, tids, doc_buckets)), *b.columns], names=["bucket", "doc_id", "text_id", "text"])
 
-    numbered = docs.mapInArrow(number, "bucket int, doc_id long, text_id int, text string")
+    numbered = docs.mapInArrow(number, "bucket int, doc_id long, text_id long, text string")
     none = lambda kind: F.lit(None).cast(kind)
-    texts = numbered.select("bucket", F.lit(True).alias("is_text"), "doc_id", "text_id", "text", none("array<long>").alias("a"), none("array<int>").alias("b"), none("array<int>").alias("c"))
-    rows = marked.select("bucket", F.lit(False).alias("is_text"), none("long").alias("doc_id"), none("int").alias("text_id"), none("string").alias("text"), "a", "b", "c")
+    texts = numbered.select("bucket", F.lit(True).alias("is_text"), "doc_id", "text_id", "text", none("array<long>").alias("a"), none("array<long>").alias("b"), none("array<int>").alias("c"))
+    rows = marked.select("bucket", F.lit(False).alias("is_text"), none("long").alias("doc_id"), none("long").alias("text_id"), none("string").alias("text"), "a", "b", "c")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, got, ready = None, [], None
@@ -356,7 +374,7 @@ def removals(docs: DataFrame) -> DataFrame:
 
 def _index(got: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not got:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
     ids, tids, pos = (np.concatenate(c) for c in zip(*got))
     order = np.lexsort((tids, ids))
     return ids[order], tids[order], pos[order]

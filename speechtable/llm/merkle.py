@@ -129,7 +129,7 @@ def manifest(rows: DataFrame, group: str, order: str) -> DataFrame:
     upper, top = _pivots(above, ["sub", "tall"])
     top = top.select("grp", "height", F.col("digest").alias("root"), F.array().cast(PATH).alias("path"))
     subs = _paths(above, ["sub", "tall"], upper, top, ["root"])
-    subs = subs.select(F.col("sub").alias("grp"), F.col("tall").alias("height"), F.col("digest").alias("subroot"), "root", "path")
+    subs = written(subs.select(F.col("sub").alias("grp"), F.col("tall").alias("height"), F.col("digest").alias("subroot"), "root", "path"), "merkle-tops")
     return _paths(nodes, payload, levels, subs, ["subroot", "root"]).drop("grp")
 
 

@@ -42,7 +42,7 @@ def folder(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", sorted(llm.queries()))
+@pytest.mark.parametrize("name", sorted(k for k in llm.queries() if not k.startswith("op13_")))  # a row for each conversation: test_chat.py
 def test_a_row_for_each_row(spark, folder, name):
     table = PAGES if name.startswith("op1_") else DOCS
     got = llm.queries()[name](spark, folder).toPandas()

@@ -451,7 +451,7 @@ def _edited_words(spark, sf_dir):
 
 @registry.add("j11_token_edit_rate", f"WITH {_EDIT_SQL} SELECT session_id, id, CASE WHEN len(k) > 0 THEN round(edits / len(k), 3) END AS token_edit_rate FROM k1")
 def j11(spark, sf_dir):
-    return _edited_words(spark, sf_dir).select("session_id", "id", C.token_edit_rate(F.col("k"), F.col("c")).alias("token_edit_rate"))
+    return _edited_words(spark, sf_dir).select("session_id", "id", R.token_edit_rate(F.col("k"), F.col("c")).alias("token_edit_rate"))
 
 
 @registry.add("j12_condition_report", f"""WITH {_EDIT_SQL} SELECT id AS clip_id, 'clean' AS condition, 1 AS captions, len(k) AS recognized, CASE WHEN len(k) > 0 THEN 0.0 END AS token_edit_rate FROM k1
@@ -467,7 +467,7 @@ def _dropped(spark, sf_dir):
 
 @registry.add("j11b_whole_edit_rate")
 def j11b(spark, sf_dir):
-    return _dropped(spark, sf_dir).select("session_id", "id", C.token_edit_rate(F.col("k"), F.col("c")).alias("token_edit_rate"))
+    return _dropped(spark, sf_dir).select("session_id", "id", R.token_edit_rate(F.col("k"), F.col("c")).alias("token_edit_rate"))
 
 
 def _condition_report(rows):

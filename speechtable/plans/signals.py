@@ -96,12 +96,16 @@ def b11(spark, sf_dir):
 
 
 # -- segmentation -------------------------------------------------------------------------------------------------
-VAD_SQL = f"""{FRAMES_SQL},
+def vad_sql(frames_sql: str = FRAMES_SQL, silence: int = SILENCE) -> str:
+    return f"""{frames_sql},
 v0 AS (SELECT *, max(CASE WHEN voiced THEN frame_idx END) OVER (PARTITION BY session_id ORDER BY frame_idx) AS last_voiced, max(CASE WHEN voiced THEN frame_idx END) OVER (PARTITION BY session_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM f),
-v1 AS (SELECT *, coalesce(frame_idx - last_voiced < {SILENCE}, false) AS is_speaking, coalesce(frame_idx - last_voiced = {SILENCE}, false) AS segment_ended, voiced AND (prev IS NULL OR frame_idx - prev > {SILENCE}) AS segment_started FROM v0),
+v1 AS (SELECT *, coalesce(frame_idx - last_voiced < {silence}, false) AS is_speaking, coalesce(frame_idx - last_voiced = {silence}, false) AS segment_ended, voiced AND (prev IS NULL OR frame_idx - prev > {silence}) AS segment_started FROM v0),
 v AS (SELECT *, sum(segment_started::INT) OVER (PARTITION BY session_id ORDER BY frame_idx)::BIGINT AS segment_no FROM v1),
 g0 AS (SELECT session_id, segment_no, min(frame_idx) FILTER (voiced) AS first_frame, max(frame_idx) FILTER (voiced) AS lv, max(frame_idx) AS seen, count(*) FILTER (voiced) AS voiced_frames FROM v WHERE segment_no > 0 GROUP BY ALL),
-g AS (SELECT session_id, segment_no, first_frame, lv + {SILENCE} - 1 AS last_frame, lv + {SILENCE} AS end_frame, voiced_frames FROM g0 WHERE seen >= lv + {SILENCE})"""
+g AS (SELECT session_id, segment_no, first_frame, lv + {silence} - 1 AS last_frame, lv + {silence} AS end_frame, voiced_frames FROM g0 WHERE seen >= lv + {silence})"""
+
+
+VAD_SQL = vad_sql()
 
 
 def vad(spark, sf_dir):

@@ -83,19 +83,6 @@ def partial_wpm(words: Column, text: Column, voiced_s: Column) -> Column:
     return F.when(voiced_s > 0.4, F.when(words > 0, words).otherwise(own) * 60.0 / voiced_s)
 
 
-def token_edit_rate(reference: Column, candidate: Column) -> Column:
-    """Edits between two token arrays for each token of the first, 3 places; null for an empty first.
-
-    Each distinct token becomes one character above U+FFFF (no surrogates, no byte order mark), so the engine's own edit
-    distance does the work. More distinct tokens than there are such characters (1,048,575) are an error.
-    """
-    number = lambda tokens, known: F.transform(tokens, lambda t: F.lpad(F.hex(F.array_position(known, t).cast("long") + 0xFFFF), 8, "0"))
-    as_text = lambda tokens, known: F.decode(F.unhex(F.array_join(number(tokens, known), "")), "UTF-32")
-    distance = lambda known: F.when(F.size(known) > 0xFFFFF, F.raise_error("more than 1,048,575 distinct tokens").cast("int")).otherwise(F.levenshtein(as_text(reference, known), as_text(candidate, known)))
-    edits = let(F.array_distinct(F.concat(reference, candidate)), distance)
-    return F.when(F.size(reference) > 0, F.round(edits / F.size(reference), 3))
-
-
 # -- display ------------------------------------------------------------------------------------------------------
 def format_mmss(seconds: Column) -> Column:
     s = F.when(F.isnan(seconds) | (seconds < 0) | seconds.isNull(), 0.0).otherwise(seconds)

@@ -209,3 +209,80 @@ def encode_pcm16(x: np.ndarray, symmetric: bool = False) -> bytes:
     """16-bit little-endian samples; below zero times 32768 unless symmetric."""
     x = np.clip(np.asarray(x, float), -1, 1)
     return np.where((x < 0) & (not symmetric), x * 32768, x * 32767).astype("<i2").tobytes()
+
+
+#: beyond so many items the walk along diagonals is tried first, up to so many edits
+LONG, FEW = 1000, 150
+
+
+def _few_edits(a: list, b: list, most: int) -> int | None:
+    """The edit distance if it is at most `most`: how far each diagonal is reached with 0, 1, 2... edits. A step along a
+    diagonal costs nothing where items agree, so the time is the length, and the square of the edits."""
+    number: dict = {}
+    x, y = (np.array([number.setdefault(v, len(number)) for v in w], np.int64) for w in (a, b))
+    n, m = len(x), len(y)
+
+    def slide(i: int, k: int) -> int:
+        step = 16
+        while True:
+            to = min(step, n - i, m - i - k)
+            if to <= 0:
+                return i
+            differ = np.flatnonzero(x[i : i + to] != y[i + k : i + k + to])
+            if len(differ):
+                return i + int(differ[0])
+            i, step = i + to, step * 4
+
+    reached = {0: slide(0, 0)}  # items of a, by items of b less items of a
+    for edits in range(most + 1):
+        if reached.get(m - n, -1) >= n:
+            return edits
+        furthest = {}
+        for k in range(-edits - 1, edits + 2):
+            i = max(reached.get(k, -2) + 1, reached.get(k - 1, -1), reached.get(k + 1, -2) + 1)
+            i = min(i, n, m - k)
+            if i >= max(0, -k):
+                furthest[k] = slide(i, k)
+        reached = furthest
+    return None
+
+
+def edit_distance(a: list, b: list) -> int:
+    """Fewest insertions, deletions and replacements that make b of a.
+
+    Long lists with few edits are walked along diagonals. The others are done bit-parallel: the differences between neighbours of a column of the table are the bits of two long integers, and an item
+    of b moves them all at once, so n x m table entries cost n x m / 64 word operations; what both begin or end with is left out.
+    """
+    lo, end = 0, min(len(a), len(b))
+    while lo < end and a[lo] == b[lo]:
+        lo += 1
+    hi = 0
+    while hi < end - lo and a[-1 - hi] == b[-1 - hi]:
+        hi += 1
+    a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
+    if len(a) > len(b):
+        a, b = b, a
+    m = len(a)
+    if not m:
+        return len(b)
+    if m > LONG and (few := _few_edits(a, b, FEW)) is not None:
+        return few
+    places: dict = {}
+    for i, x in enumerate(a):
+        places.setdefault(x, []).append(i)
+    where = {}
+    for x in set(b) & set(places):
+        bits = bytearray(m // 8 + 1)
+        for i in places[x]:
+            bits[i >> 3] |= 1 << (i & 7)
+        where[x] = int.from_bytes(bits, "little")
+    all_, last = (1 << m) - 1, m - 1
+    up, down, score = all_, 0, m  # where a column's entries rise and fall by one
+    for x in b:
+        same = where.get(x, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        rise, fall = down | (all_ & ~(diagonal | up)), up & diagonal
+        score += (rise >> last & 1) - (fall >> last & 1)
+        rise, fall = (rise << 1 | 1) & all_, (fall << 1) & all_
+        up, down = fall | (all_ & ~(diagonal | rise)), rise & diagonal
+    return score

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.kernels import edit_distance
 
 UNHEARD = "[Speech detected]"
 
@@ -66,11 +68,21 @@ def domain_checks(u: DataFrame, min_speakers: int = 2, min_transitions: int = 3)
     return own.withColumn("passed", F.col("rates_ok") & F.col("volumes_ok") & (F.col("speakers") >= min_speakers) & (F.col("transitions") >= min_transitions))
 
 
+def token_edit_rate(reference: Column, candidate: Column) -> Column:
+    """Edits between two token arrays for each token of the first, 3 places; null where it is empty or either is null."""
+
+    @F.pandas_udf("long")
+    def edits(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else edit_distance(list(x), list(y)) for x, y in zip(a, b)], dtype="Int64")
+
+    return F.when(F.size(reference) > 0, F.round(edits(reference, candidate) / F.size(reference), 3))
+
+
 def condition_report(runs: DataFrame) -> DataFrame:
     """runs (clip_id, condition, captions, recognized, text) -> each condition against the same clip's clean run."""
     clean = runs.filter("condition = 'clean'").select("clip_id", F.col("text").alias("_clean"))
     joined = runs.join(clean, "clip_id")
-    return joined.select("clip_id", "condition", "captions", "recognized", C.token_edit_rate(C.tokenize(F.col("_clean")), C.tokenize(F.col("text"))).alias("token_edit_rate"))
+    return joined.select("clip_id", "condition", "captions", "recognized", token_edit_rate(C.tokenize(F.col("_clean")), C.tokenize(F.col("text"))).alias("token_edit_rate"))
 
 
 def privacy_audit(archive: DataFrame, settings: DataFrame) -> DataFrame:

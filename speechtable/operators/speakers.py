@@ -122,8 +122,9 @@ def active_speaker(turns: DataFrame) -> DataFrame:
 
 
 def rename_speakers(speakers: DataFrame, renames: DataFrame) -> DataFrame:
-    """Latest rename of a speaker wins; white space around goes, a blank name clears, unknown speakers change nothing."""
-    last = renames.groupBy("session_id", "speaker_id").agg(F.max_by(F.struct(F.trim("new_name").alias("name")), "seq").alias("r"))
+    """Latest rename of a speaker wins; white space around goes, a blank name clears, a null one and unknown speakers change
+    nothing."""
+    last = renames.filter("new_name is not null").groupBy("session_id", "speaker_id").agg(F.max_by(F.struct(F.trim("new_name").alias("name")), "seq").alias("r"))
     joined = speakers.join(last, ["session_id", "speaker_id"], "left")
     name = F.nullif(F.col("r.name"), F.lit(""))
     return joined.withColumn("custom_name", name).withColumn("display_name", C.display_name(F.col("label"), F.col("custom_name"))).drop("r")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -188,13 +189,14 @@ def f8(spark, sf_dir):
     return labeled(spark, sf_dir).select("session_id", "id", "speaker_no", "label", "color_index")
 
 
-_RENAMES_SQL = """n AS (SELECT conv_id AS session_id, role AS speaker_id, turn AS seq, CASE WHEN turn % 4 = 3 THEN '  ' ELSE ' Guest ' || turn || ' ' END AS new_name FROM conversations WHERE conv_id % 2 = 0 AND turn % 3 <> 1),
-r AS (SELECT session_id, speaker_id, trim(max_by(new_name, seq), ' ') AS name FROM n GROUP BY ALL)"""
+_RENAMES_SQL = """n AS (SELECT conv_id AS session_id, role AS speaker_id, turn AS seq, CASE WHEN turn % 4 = 3 THEN '  ' WHEN (conv_id + turn) % 3 <> 1 THEN ' Guest ' || turn || ' ' END AS new_name FROM conversations),
+r AS (SELECT session_id, speaker_id, trim(max_by(new_name, seq) FILTER (new_name IS NOT NULL), ' ') AS name FROM n GROUP BY ALL)"""
 
 
 def _renames(spark, sf_dir):
-    name = F.when(F.col("turn") % 4 == 3, "  ").otherwise(F.concat(F.lit(" Guest "), F.col("turn").cast("string"), F.lit(" ")))
-    return read(spark, sf_dir, "conversations").filter("conv_id % 2 = 0 and turn % 3 <> 1").select(F.col("conv_id").alias("session_id"), F.col("role").alias("speaker_id"), F.col("turn").alias("seq"), name.alias("new_name"))
+    """One a turn; null says nothing of the name."""
+    name = F.when(F.col("turn") % 4 == 3, "  ").when((F.col("conv_id") + F.col("turn")) % 3 != 1, F.concat(F.lit(" Guest "), F.col("turn").cast("string"), F.lit(" ")))
+    return read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("role").alias("speaker_id"), F.col("turn").alias("seq"), name.alias("new_name"))
 
 
 _DISPLAY = "CASE WHEN coalesce(name, '') <> '' THEN name || ' (' || label || ')' ELSE label END"
@@ -205,9 +207,11 @@ def f10(spark, sf_dir):
     return S.rename_speakers(S.speaker_dimension(u(spark, sf_dir)), _renames(spark, sf_dir)).select("session_id", "speaker_id", "color_index", "custom_name", "display_name")
 
 
-@registry.add("f10_unknown_renames", f"WITH {UTTERANCES_SQL}, {_RENAMES_SQL} SELECT session_id, speaker_id, seq, new_name FROM n WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.session_id = n.session_id AND u.speaker_id = n.speaker_id AND u.seq % 2 = 1)")
+@registry.add("f10_unknown_renames", f"WITH {UTTERANCES_SQL}, {_RENAMES_SQL} SELECT session_id, CASE WHEN seq % 3 = 0 THEN speaker_id || '?' ELSE speaker_id END AS speaker_id, seq, new_name FROM n WHERE seq % 3 = 0")
 def f10u(spark, sf_dir):
-    return S.unknown_renames(u(spark, sf_dir).filter("seq % 2 = 1"), _renames(spark, sf_dir)).select("session_id", "speaker_id", "seq", "new_name")
+    """Renames of which each third names a speaker that nobody has heard of."""
+    wrong = _renames(spark, sf_dir).withColumn("speaker_id", F.when(F.col("seq") % 3 == 0, F.concat("speaker_id", F.lit("?"))).otherwise(F.col("speaker_id")))
+    return S.unknown_renames(u(spark, sf_dir), wrong).select("session_id", "speaker_id", "seq", "new_name")
 
 
 @registry.add("f15_reset_speakers", f"WITH {UTTERANCES_SQL}, e AS (SELECT *, seq // 3 AS part FROM u), x AS (SELECT *, min(seq) OVER (PARTITION BY session_id, part, speaker_id) AS first_seq FROM e) SELECT session_id, seq, dense_rank() OVER (PARTITION BY session_id, part ORDER BY first_seq) AS speaker_no FROM x")
@@ -457,7 +461,7 @@ def j11(spark, sf_dir):
 @registry.add("j12_condition_report", f"""WITH {_EDIT_SQL} SELECT id AS clip_id, 'clean' AS condition, 1 AS captions, len(k) AS recognized, CASE WHEN len(k) > 0 THEN 0.0 END AS token_edit_rate FROM k1
 UNION ALL SELECT id, 'pink 10 dB', 1, c, CASE WHEN len(k) > 0 THEN round(len([x FOR x, i IN k IF i % 5 = 0]) / len(k), 3) END FROM k1""")
 def j12(spark, sf_dir):
-    return _condition_report(_dropped(spark, sf_dir))
+    return _condition_report(_dropped(spark, sf_dir), pink_10_dB="c")
 
 
 def _dropped(spark, sf_dir):
@@ -465,19 +469,28 @@ def _dropped(spark, sf_dir):
     return u(spark, sf_dir).withColumn("k", C.tokenize(F.col("text"))).withColumn("c", F.filter("k", lambda x, i: (i + 1) % 5 != 0))
 
 
+def _heard_again(spark, sf_dir):
+    """The tokens of each turn, and as what was heard in its place those of the turn after it in its session: unlike texts
+    of unlike lengths, so the fewest edits are any number of any kind."""
+    own = u(spark, sf_dir).withColumn("k", C.tokenize(F.col("text")))
+    return own.withColumn("c", F.coalesce(F.lead("k").over(Window.partitionBy("session_id").orderBy("seq")), F.array().cast("array<string>")))
+
+
 @registry.add("j11b_whole_edit_rate")
 def j11b(spark, sf_dir):
-    return _dropped(spark, sf_dir).select("session_id", "id", R.token_edit_rate(F.col("k"), F.col("c")).alias("token_edit_rate"))
+    return _heard_again(spark, sf_dir).select("session_id", "id", R.token_edit_rate(F.col("k"), F.col("c")).alias("token_edit_rate"))
 
 
-def _condition_report(rows):
+def _condition_report(rows, **conditions):
+    conditions = {"clean": "k"} | {k.replace("_", " "): v for k, v in conditions.items()}
     run = lambda name, words: rows.select(F.col("id").alias("clip_id"), F.lit(name).alias("condition"), F.lit(1).alias("captions"), F.size(words).cast("long").alias("recognized"), F.array_join(words, " ").alias("text"))
-    return R.condition_report(run("clean", "k").unionByName(run("pink 10 dB", "c")))
+    return R.condition_report(reduce(DataFrame.unionByName, (run(name, c) for name, c in conditions.items())))
 
 
 @registry.add("j12b_whole_condition_report")
 def j12b(spark, sf_dir):
-    return _condition_report(_dropped(spark, sf_dir))
+    """The turn after in place of a turn's own words, and both one after the other."""
+    return _condition_report(_heard_again(spark, sf_dir).withColumn("both", F.concat("k", "c")), crosstalk="c", echo="both")
 
 
 @registry.add("j13_privacy_audit", f"WITH {UTTERANCES_SQL}, {SETTINGS_SQL} SELECT session_id, count(*) AS rows FROM u JOIN g USING (session_id) WHERE privacy_mode GROUP BY session_id")

@@ -387,7 +387,13 @@ def g2(spark, sf_dir):
     return rows.select("event_id", F.round(F.aggregate(F.transform("y", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v), 6).alias("moment"))
 
 
-registry.add("g2b_whole_median_filter", registry.sql["g2_median_filter"])(g2)  # the same under its other name
+@registry.add("g2b_whole_median_filter", f"""WITH {FRAMES_SQL}, s AS (SELECT session_id, coalesce(list(pitch_hz ORDER BY frame_idx) FILTER (pitch_hz IS NOT NULL), []) AS x FROM f GROUP BY session_id), y AS (SELECT session_id, x, len(x) AS n, list_concat([0.0, 0.0], list_concat(x, [0.0, 0.0])) AS p FROM s)
+SELECT session_id, n, round(CASE WHEN n = 0 THEN 0 WHEN n < 5 THEN list_sum([x[i] * i FOR i IN range(1, n + 1)]) ELSE list_sum([list_sort(p[i:i + 4])[3] * i FOR i IN range(1, n + 1)]) END, 6)::DOUBLE AS moment FROM y""")
+def g2b(spark, sf_dir):
+    """The pitch contour of a whole session; short ones stay as they are."""
+    known = F.array_sort(F.collect_list(F.when(F.col("pitch_hz").isNotNull(), F.struct("frame_idx", "pitch_hz"))))
+    rows = f(spark, sf_dir).groupBy("session_id").agg(known.alias("k")).withColumn("x", F.transform("k", lambda p: p["pitch_hz"])).withColumn("y", C.median_filter5(F.col("x")))
+    return rows.select("session_id", F.size("x").cast("long").alias("n"), F.round(F.aggregate(F.transform("y", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v), 6).alias("moment"))
 
 
 _CONTOUR = f"{FRAMES_SQL}, k AS (SELECT session_id, frame_idx // 8 AS clip, list(pitch_hz ORDER BY frame_idx) FILTER (pitch_hz IS NOT NULL) AS v FROM f GROUP BY ALL), h AS (SELECT *, greatest(2, floor(len(v) * 0.6)::INT) AS cut FROM k WHERE v IS NOT NULL)"

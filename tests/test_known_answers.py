@@ -1,6 +1,8 @@
 """Known answers of the operators, on rows and signals made here."""
 
 import json
+import random
+import time
 import wave
 
 import numpy as np
@@ -12,6 +14,7 @@ from speechtable.functions import kernels as K
 from speechtable.operators import acoustics as A
 from speechtable.operators import exports as X
 from speechtable.operators import frames as FR
+from speechtable.operators import reports as R
 from speechtable.operators import segments as G
 from speechtable.operators import speakers as S
 from speechtable.operators import utterances as U
@@ -248,29 +251,55 @@ def test_stream_upsert(spark, tmp_path):
 
 def test_ranges_of_token_edits(spark):
     df = spark.createDataFrame([("a b c d e", "a x c"), ("", "a"), ("a", "a")], "r string, c string")
-    assert [x[0] for x in df.select(C.token_edit_rate(C.tokenize(F.col("r")), C.tokenize(F.col("c")))).collect()] == [0.6, None, 0.0]
-
-
-def test_edit_rate_of_whole_and_very_different_texts(spark, tmp_path):
-    def brute(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return round(row[-1] / len(a), 3)
-
-    # nothing agrees; the last tokens have numbers above 35,000, where one UTF-16 unit from 0x4E00 is a surrogate
-    r = [f"a{i}" for i in range(36_000)]
-    df = spark.createDataFrame([(r, [f"b{i}" for i in range(60)]), (r[:100], r[50:120])], "r array<string>, c array<string>")
-    assert [x[0] for x in df.select(C.token_edit_rate(F.col("r"), F.col("c"))).collect()] == [1.0, brute(r[:100], r[50:120])]
-    # utterances of more than 40 tokens, all of them
+    assert [x[0] for x in df.select(R.token_edit_rate(C.tokenize(F.col("r")), C.tokenize(F.col("c")))).collect()] == [0.6, None, 0.0]
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_edit_distance_of_random_lists(monkeypatch):
+    rng = random.Random(1)
+    monkeypatch.setattr(K, "LONG", 5)
+    for most in (3, 40):
+        monkeypatch.setattr(K, "FEW", most)
+        for _ in range(600):
+            a = [rng.choice("abcd"[: rng.randint(1, 4)]) for _ in range(rng.randint(0, 20))]
+            b = [rng.choice("abcd") for _ in range(rng.randint(0, 20))] if rng.random() < 0.5 else [x for x in a if rng.random() < 0.8] + ["e"]
+            assert K.edit_distance(a, b) == edits(a, b)
+
+
+def test_edit_distance_of_very_long_lists():
+    rng = random.Random(2)
+    a = [f"w{i}" for i in range(100_000)]  # as many distinct tokens
+    b = list(a)
+    for k in range(50):
+        b[1000 * k + 7] = "#"
+        del b[1000 * k + 500]
+    began = time.time()
+    assert K.edit_distance(a, b) == 100 and time.time() - began < 30
+    c, d = ([str(rng.randrange(50)) for _ in range(n)] for n in (700, 900))
+    assert K.edit_distance(c, d) == edits(c, d)
+    assert K.edit_distance([f"a{i}" for i in range(36_000)], [f"b{i}" for i in range(60)]) == 36_000
+
+
+def test_edit_rate_and_condition_report_of_whole_texts(spark, tmp_path, sf_dir):
+    rng = random.Random(3)
     words = [f"w{i * i % 71}" for i in range(300)]
-    spark.createDataFrame([(1, 0, "user", " ".join(words)), (1, 1, "user", " ".join(words[:7])), (1, 2, "user", None)], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    texts = [(1, 0, " ".join(words)), (1, 1, " ".join(words[:7])), (1, 2, None), (2, 0, "b a"), *((3, k, " ".join(rng.choice(words[:9]) for _ in range(rng.randint(0, 60)))) for k in range(20))]
+    spark.createDataFrame([(i, k, "user", t) for i, k, t in texts], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     from speechtable import catalog
 
+    own = {(i, k): (t or "").split() for i, k, t in texts}
+    rate = lambda a, b: (2000 * edits(a, b) + len(a)) // (2 * len(a)) / 1000 if a else None  # halves go up
+    heard = {k: own.get((k[0], k[1] + 1), []) for k in own}
     rates = {r.id: r.token_edit_rate for r in catalog.queries()["j11b_whole_edit_rate"](spark, str(tmp_path)).collect()}
-    cut = lambda k: [x for i, x in enumerate(k, 1) if i % 5]
-    assert rates == {"1-0": brute(words, cut(words)), "1-1": brute(words[:7], cut(words[:7])), "1-2": None}
+    assert rates == {f"{i}-{k}": rate(own[i, k], heard[i, k]) for i, k in own}
     report = {(r.clip_id, r.condition): (r.recognized, r.token_edit_rate) for r in catalog.queries()["j12b_whole_condition_report"](spark, str(tmp_path)).collect()}
-    assert report["1-0", "clean"] == (300, 0.0) and report["1-0", "pink 10 dB"] == (240, rates["1-0"])
+    made = {"clean": own, "crosstalk": heard, "echo": {k: own[k] + heard[k] for k in own}}
+    assert report == {(f"{i}-{k}", name): (len(w[i, k]), rate(own[i, k], w[i, k])) for name, w in made.items() for i, k in own}

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import conversation, long_sessions, signals, streams
+from .plans import conversation, files, long_sessions, signals, stream_sessions, streams
 
 FLAGSHIP = "a9_export_vtt"
-_REGISTRIES = (conversation.registry, signals.registry, long_sessions.registry, streams.registry)
+_REGISTRIES = (conversation.registry, signals.registry, long_sessions.registry, streams.registry, stream_sessions.registry, files.registry)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -40,6 +40,29 @@ def frame_pcm(packets: DataFrame, frame: int = FRAME) -> DataFrame:
     return numbered.select("session_id", "_first", "payload").mapInPandas(run, f"session_id {kind}, frame_idx long, samples array<float>")
 
 
+def speech_prob(frames: DataFrame, fn=None, frame: int = FRAME) -> DataFrame:
+    """frames (..., samples) with speech_prob by a user's fn(float32 samples of one frame) -> probability. Frames are cut or
+    filled up to `frame` samples first; without fn, and where it fails, the frame's energy decides."""
+
+    def by_energy(x: np.ndarray) -> float:
+        db = 20 * np.log10(np.sqrt((x.astype(float) ** 2).mean() + 1e-12) + 1e-12)
+        return float(1 / (1 + np.exp(-(db + 38.0) / 5.0)))
+
+    @F.pandas_udf("double")
+    def run(samples: pd.Series) -> pd.Series:
+        out = []
+        for s in samples:
+            x = np.asarray(s if s is not None else [], np.float32)[:frame]
+            x = np.pad(x, (0, frame - len(x)))
+            try:
+                out.append(float(fn(x)) if fn else by_energy(x))
+            except Exception:  # a model that fails on a frame must not end the job
+                out.append(by_energy(x))
+        return pd.Series(out)
+
+    return frames.withColumn("speech_prob", run("samples"))
+
+
 def event_time(frames: DataFrame, epochs: DataFrame, sample_rate: int = 16000, frame: int = FRAME) -> DataFrame:
     """frames (session_id, frame_idx) and epochs (session_id, epoch: when its audio began) with event_ts: when the frame's
     last sample was heard. A session without an epoch has none."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -53,52 +53,12 @@ def nearest_speaker(turns: DataFrame, centroids: DataFrame) -> DataFrame:
     return scored.withColumn("speaker_id", best["speaker_id"]).withColumn("similarity", best["similarity"]).drop("known", "_s")
 
 
-class Registry:
-    """The speakers of one session: centroids, counts, and levels and pitches lately heard."""
-
-    def __init__(self, threshold: float = THRESHOLD) -> None:
-        self.threshold = threshold
-        self.centroids: list[np.ndarray] = []
-        self.counts: list[int] = []
-
-    def assign(self, embedding) -> tuple[int, float, float]:
-        """Number of the speaker from 1, similarity to the best known (-1: none), confidence."""
-        e = np.asarray(embedding, float)
-        best, at = -1.0, -1
-        for i, c in enumerate(self.centroids):
-            s = float(e @ c)
-            if s > best:
-                best, at = s, i
-        if at >= 0 and best >= self.threshold:
-            n = self.counts[at]
-            mean = (self.centroids[at] * n + e) / (n + 1)
-            self.centroids[at] = mean / (np.linalg.norm(mean) + 1e-8)
-            self.counts[at] = n + 1
-            return at + 1, best, float(min(1.0, max(0.0, (best + 0.2) / 0.8)))
-        self.centroids.append(e)
-        self.counts.append(1)
-        return len(self.centroids), best, 1.0 if len(self.centroids) == 1 else 0.85
-
-
-CLUSTERED = "session_id long, seq long, speaker_no int, similarity double, confidence double"
-
-
 def cluster_speakers(turns: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """turns (session_id, seq, embedding) -> CLUSTERED: greedy, in order of seq. The result depends on the order, so a
-    session is worked on in one place; what is kept meanwhile is its speakers, not its turns."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        session, registry = None, Registry(threshold)
-        for pdf in batches:
-            out = []
-            for s, q, e in zip(pdf.session_id, pdf.seq, pdf.embedding):
-                if s != session:
-                    session, registry = s, Registry(threshold)
-                out.append((s, q, *registry.assign(e)))
-            yield pd.DataFrame(out, columns=["session_id", "seq", "speaker_no", "similarity", "confidence"])
-
-    ordered = turns.filter("session_id is not null and embedding is not null").select(F.col("session_id").cast("long").alias("session_id"), F.col("seq").cast("long").alias("seq"), "embedding")
-    return ordered.repartition("session_id").sortWithinPartitions("session_id", "seq").mapInPandas(run, CLUSTERED)
+    """turns (session_id, seq, embedding) -> session_id, seq, speaker_no, similarity, confidence: greedy, in order of seq. The
+    result depends on the order, so a session is worked on in one place; what is kept meanwhile is its speakers, not its turns."""
+    from .diarizers import Greedy, diarize
+
+    return diarize(turns, partial(Greedy, threshold))
 
 
 def assign_labels(turns: DataFrame) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import wav
+
 CONTROL = "type string, session_id string, speaker_id string, new_name string, format string, pcm16_base64 string, settings map<string,string>"
 TYPES = ("start_session", "audio_frame", "rename_speaker", "update_settings", "clear_history", "export_transcript", "start_demo", "stop_demo")
 SCRIPT = """delay_ms long, speaker_id string, speaker_label string, speaker_color_index int, text string, overlap boolean,
@@ -43,27 +43,13 @@ def control_counts(messages: DataFrame) -> DataFrame:
     return out.groupBy("type").agg(F.count("*").alias("n"))
 
 
-def read_wav_clips(spark: SparkSession, path: str, start_s: float = 20.0, end_s: float = 40.0, sample_rate: int = 16000) -> DataFrame:
-    """WAV files -> path, samples: mean of the channels, cropped. Other rates are an error."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-        import wave
-
-        import numpy as np
-
-        for pdf in batches:
-            rows = []
-            for p, content in zip(pdf.path, pdf.content):
-                with wave.open(io.BytesIO(content)) as w:
-                    if w.getframerate() != sample_rate or w.getsampwidth() != 2:
-                        raise ValueError(f"{p}: 16-bit samples at {sample_rate} Hz are needed")
-                    x = np.frombuffer(w.readframes(w.getnframes()), "<i2").reshape(-1, w.getnchannels()).mean(1) / 32768
-                rows.append((p, x[int(start_s * sample_rate) : int(end_s * sample_rate)].astype(np.float32)))
-            yield pd.DataFrame(rows, columns=["path", "samples"])
-
-    return files.select("path", "content").mapInPandas(run, "path string, samples array<float>")
+def read_wav_clips(spark: SparkSession, path: str, start_s: float = 20.0, end_s: float = 40.0, sample_rate: int = 16000, block: int = wav.BLOCK) -> DataFrame:
+    """WAV files -> path, samples: mean of the channels, cropped. Other rates are an error. Of each file only the bytes of the
+    crop are read; a file that ends before it gives no row."""
+    wav.register(spark)
+    pieces = spark.read.format("wav").option("start_s", start_s).option("end_s", end_s).option("rate", sample_rate).option("block", block).load(path)
+    whole = pieces.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start_s", "samples"))).alias("p"))
+    return whole.select("path", F.flatten(F.transform("p", lambda x: x["samples"])).alias("samples"))
 
 
 def read_conversation_json(spark: SparkSession, path: str) -> DataFrame:

@@ -138,22 +138,22 @@ class Speakers(_State):
         self.threshold, self.lookback, self.slack_s = threshold, lookback, slack_s
 
     def step(self, session, state, pdf):
-        from speechtable.operators.speakers import Registry
+        from speechtable.operators.diarizers import Greedy
 
-        registry = Registry(self.threshold)
+        diarizer = Greedy(self.threshold)
         counts = [int(x) for x in state[1]]
         if counts:
-            registry.centroids = list(np.asarray(state[0], float).reshape(len(counts), -1))
-            registry.counts = counts
+            diarizer.load({i: (c, n) for i, (c, n) in enumerate(zip(np.asarray(state[0], float).reshape(len(counts), -1), counts), 1)})
         ends, speakers = list(state[2]), [int(x) for x in state[3]]
         out = []
         for r in pdf.itertuples(index=False):
-            no, similarity, confidence = registry.assign(r.embedding)
+            no, similarity, confidence = diarizer.diarize_segment(r)
             over = sorted({s for e, s in zip(ends, speakers) if r.start_time < e - self.slack_s and s != no})
             out.append((session, r.seq, no, similarity, confidence, over))
             ends, speakers = [*ends, float(r.end_time)][-self.lookback :], [*speakers, no][-self.lookback :]
-        flat = np.concatenate(registry.centroids).tolist() if registry.centroids else []
-        return (flat, registry.counts, ends, speakers), pd.DataFrame(out, columns=["session_id", "seq", "speaker_no", "similarity", "confidence", "overlapping"])
+        known = [diarizer.speakers[i] for i in sorted(diarizer.speakers)]
+        flat = np.concatenate([c for c, _ in known]).tolist() if known else []
+        return (flat, [n for _, n in known], ends, speakers), pd.DataFrame(out, columns=["session_id", "seq", "speaker_no", "similarity", "confidence", "overlapping"])
 
 
 SPEAKERS = "session_id long, seq long, speaker_no int, similarity double, confidence double, overlapping array<int>"

@@ -1,15 +1,24 @@
 """Streaming forms: state that expires, state over many triggers, and speakers and overlap against loops."""
 
 import time
+from functools import partial
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from speechtable import catalog
+from speechtable.functions import columns as C
+from speechtable.operators import acoustics as A
+from speechtable.operators import diarizers as D
+from speechtable.operators import segments as G
+from speechtable.operators import speakers as S
+from speechtable.operators import utterances as U
 from speechtable.operators.speakers import THRESHOLD
-from speechtable.plans import streams
+from speechtable.plans import stream_sessions, streams
 from speechtable.session import shared_dir
 from speechtable.streaming import processors as P
+from speechtable.streaming import sessions as SS
 
 
 def frames(spark, pattern, first=0):
@@ -76,3 +85,64 @@ def test_local_folders_are_for_local_masters():
         shared_dir(Session)
     Session.conf.get = staticmethod(lambda name, default=None: "/shared/")
     assert shared_dir(Session) == "/shared"
+
+
+def test_a_captions_query_does_what_the_batch_operators_do(spark, sf_dir):
+    """Frames to segments, speakers, baselines, pauses and overlap, each by its batch operator."""
+    frames = stream_sessions.with_vectors(streams._clocked(spark, sf_dir))
+    vad = G.vad_state(frames, stream_sessions.SILENCE)
+    closed = G.speech_segments(vad, stream_sessions.SILENCE).withColumn("seq", F.col("segment_no"))
+    own = vad.filter("voiced").join(closed.select("session_id", "segment_no", "seq", "end_frame", "first_frame"), ["session_id", "segment_no"])
+    total = [F.sum(F.get("vector", F.lit(i))).alias(f"x{i}") for i in range(4)]
+    turns = own.groupBy("session_id", "seq", "end_frame").agg(
+        F.min("frame_idx").alias("a"), F.max("frame_idx").alias("b"), (10 * F.log10(F.avg(F.pow(F.lit(10.0), F.col("level_dbfs") / 10)))).alias("rms_db"), F.avg("pitch_hz").alias("mean_pitch_hz"), *total
+    )
+    norm = F.sqrt(sum(F.col(f"x{i}") * F.col(f"x{i}") for i in range(4))) + 1e-8
+    at = lambda c: (F.col(c) + 1) * G.FRAME / float(G.RATE)
+    turns = turns.withColumns({"embedding": F.array(*(F.col(f"x{i}") / norm for i in range(4))), "start_time": at("a"), "end_time": at("b")})
+    said = turns.join(D.diarize(turns, partial(D.Greedy, threshold=0.9)), ["session_id", "seq"]).withColumn("speaker_id", F.col("speaker_no"))
+    said = U.temporal_overlap(U.long_pause_before(A.rms_baseline(S.assign_labels(said).withColumn("label", C.speaker_label(F.col("speaker_id"))))))
+    want = said.select("session_id", "seq", F.col("end_frame").alias("closed_frame"), "label", F.round("start_time", 6), F.round("end_time", 6), F.round("pause_s", 6), "long_pause_before", C.relative_volume(F.col("rms_db"), F.col("rms_baseline")), "overlapping_speakers")
+    got = catalog.queries()["k12_stream_captions"](spark, sf_dir)
+    got = got.select("session_id", "seq", "closed_frame", "label", F.round("start_time", 6), F.round("end_time", 6), F.round("pause_s", 6), "long_pause_before", "relative_volume", "overlapping")
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(map(tuple, want.collect())) and len({r[3] for r in rows}) > 2 and len(rows) > 50
+
+
+@pytest.mark.parametrize("most", [None, 3])
+def test_diarizers_row_by_row(spark, sf_dir, most):
+    turns = stream_sessions.heard(spark, sf_dir)
+    got = {(r.session_id, r.seq): r for r in D.diarize(turns, partial(D.Greedy, most=most)).collect()}
+    streamed = {(r.session_id, r.seq): r for r in streams.drained(turns, "seq % 250", lambda s: SS.stream_diarized(s, partial(D.Greedy, most=most))).collect()}
+    session = None
+    for t in turns.orderBy("session_id", "seq").collect():
+        if t.session_id != session:
+            session, means, counts = t.session_id, [], []
+        e = np.array(t.embedding, float)
+        sims = [float(e @ m) for m in means]
+        best = max(range(len(sims)), key=sims.__getitem__) if sims else None
+        if best is not None and (sims[best] >= THRESHOLD or len(means) == most):
+            mean = (means[best] * counts[best] + e) / (counts[best] + 1)
+            means[best], counts[best], no = mean / (np.linalg.norm(mean) + 1e-8), counts[best] + 1, best + 1
+        else:
+            means.append(e), counts.append(1)
+            no = len(means)
+        key = (t.session_id, t.seq)
+        assert got[key].speaker_no == streamed[key].speaker_no == no
+        assert got[key].similarity == pytest.approx(sims[best] if sims else -1.0, abs=1e-9)
+    if most:
+        assert max(r.speaker_no for r in got.values()) == most
+
+
+def test_ended_sessions_leave_no_state(spark, sf_dir, tmp_path):
+    rows = streams._clocked(spark, sf_dir)
+    made = {}
+
+    def start(stream, top):
+        made["top"] = top
+        return SS.stream_idle_end(stream, stream_sessions.IDLE_MS).writeStream.format("parquet").option("path", f"{top}/out").option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start()
+
+    top = streams._run(rows, "frame_idx", start, None)
+    ended = {r.session_id for r in spark.read.parquet(f"{top}/out").collect()}
+    held = {r[0] for r in spark.read.format("statestore").option("stateVarName", "held").load(f"{top}/state").select("key.session_id").collect()}
+    assert ended and held and not ended & held and ended | held == {r[0] for r in rows.select("session_id").distinct().collect()}

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 NOISES = ("white", "pink", "fan", "babble")
+#: fixed values: frequency, weight and phase of a fan's tones
+HUM = ((60, 0.8, 0.0), (120, 0.35, 0.2), (240, 0.18, 0.7))
 
 
 def _butterworth_highpass(cutoff: float, rate: int, order: int = 4) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -141,13 +143,15 @@ def mfcc_embedding(x: np.ndarray, rate: int = 16000, dims: int = 192) -> np.ndar
     x = np.asarray(x, float)
     power = _power(np.pad(x, (0, max(0, size - len(x)))), rate)
     mel = lambda f: 2595 * np.log10(1 + f / 700)
-    edges = 700 * (10 ** (np.linspace(mel(100), mel(rate / 2), bands + 2) / 2595) - 1)
-    f = np.fft.rfftfreq(size, 1 / rate)
-    rise, fall = (f - edges[:-2, None]) / np.diff(edges)[:-1, None], (edges[2:, None] - f) / np.diff(edges)[1:, None]
-    bank = np.clip(np.minimum(rise, fall), 0, None)
+    hz = 700 * (10 ** (np.linspace(mel(100), mel(rate / 2), bands + 2) / 2595) - 1)
+    edges = np.floor((size + 1) * hz / rate)  # bands begin and end at whole bins
+    low, mid, high = (edges[i : i + bands, None] for i in range(3))
+    bin_ = np.arange(size // 2 + 1)
+    rise, fall = (bin_ - low) / np.maximum(mid - low, 1), (high - bin_) / np.maximum(high - mid, 1)
+    bank = np.clip(np.where(bin_ < mid, rise, fall), 0, None)
     k, n = np.arange(1, 21)[:, None], np.arange(bands)
     cosines = np.sqrt(2 / bands) * np.cos(np.pi * k * (2 * n + 1) / (2 * bands))
-    cepstrum = np.log(power @ bank.T + 1e-6) @ cosines.T
+    cepstrum = np.log((power + 1e-10) @ bank.T + 1e-6) @ cosines.T
     cepstrum = cepstrum - cepstrum.mean(0)
     v = np.zeros(dims)
     v[:40] = np.concatenate((cepstrum.mean(0), cepstrum.std(0)))
@@ -182,10 +186,10 @@ def noise(kind: str, n: int, rate: int, seed: int, speech: np.ndarray) -> np.nda
     if kind == "white":
         x = rng.standard_normal(n)
     elif kind == "pink":
-        spectrum = np.fft.rfft(rng.standard_normal(n))
-        x = np.fft.irfft(spectrum / np.sqrt(np.maximum(np.arange(len(spectrum)), 1)), n)
+        hz = np.fft.rfftfreq(n, 1 / rate)
+        x = np.fft.irfft(np.fft.rfft(rng.standard_normal(n)) / np.sqrt(np.where(hz > 0, hz, 1)), n)
     elif kind == "fan":
-        x = 0.6 * rng.standard_normal(n) + sum(np.sin(2 * np.pi * f * t) for f in (60, 120, 240))
+        x = 0.6 * rng.standard_normal(n) + sum(a * np.sin(2 * np.pi * f * t + p) for f, a, p in HUM)
     elif kind == "babble":
         x = np.roll(speech, int(7.3 * rate)) + 0.015 * rng.standard_normal(n)
     else:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..session import remove
 from .utterances import with_settings
 
 _ORDER = ("start_time", "created_at", "id")
@@ -67,29 +69,36 @@ def upserted(archive: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("_rn", F.row_number().over(newest)).filter("_rn = 1").drop("_rn", "_v")
 
 
-def save_utterances(u: DataFrame, settings: DataFrame, path: str) -> None:
-    """Write what may be saved to a Parquet archive partitioned by session; only the sessions in u are rewritten."""
+BUCKETS = 256
+
+
+def save_utterances(u: DataFrame, settings: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Write what may be saved to a Parquet archive, partitioned by `bucket` (a hash of the session, so that any number of
+    sessions makes so many folders); only the buckets of u's sessions are rewritten.
+
+    Each call stages its rows in a folder of its own beside the archive and deletes it at the end. Calls that save the same
+    buckets at the same time must follow one another.
+    """
     spark = u.sparkSession
-    new = savable(u, settings).cache()
+    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    new = savable(u, settings).withColumn("bucket", F.pmod(F.xxhash64(F.col("session_id").cast("string")), F.lit(buckets)).cast("int"))
     try:
+        new.write.parquet(f"{staged}/new")
+        new = spark.read.schema(new.schema).parquet(f"{staged}/new")
+        touched = [r[0] for r in new.select("bucket").distinct().collect()]  # at most `buckets`
         try:
-            old = spark.read.option("mergeSchema", "true").parquet(path)
+            old = spark.read.option("mergeSchema", "true").parquet(path).filter(F.col("bucket").isin(touched))
         except Exception as e:  # no archive yet
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
             old = None
+        merged = new
         if old is not None:
-            kind = new.schema["session_id"].dataType
-            old = old.withColumn("session_id", F.col("session_id").cast(kind)).join(new.select("session_id").distinct(), "session_id", "left_semi")
-            merged = upserted(old, new)
-            staged = f"{path.rstrip('/')}.staged"
-            merged.write.mode("overwrite").parquet(staged)  # what is rewritten can't be read meanwhile
-            merged = spark.read.parquet(staged)
-        else:
-            merged = new
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(path)
+            upserted(old, new).write.parquet(f"{staged}/merged")  # what is rewritten can't be read meanwhile
+            merged = spark.read.parquet(f"{staged}/merged")
+        merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
     finally:
-        new.unpersist()
+        remove(spark, staged)
 
 
 def read_transcript(live: DataFrame, archive: DataFrame, session_id=None) -> DataFrame:

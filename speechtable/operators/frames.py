@@ -19,12 +19,14 @@ def frame_pcm(packets: DataFrame, frame: int = FRAME) -> DataFrame:
     each packet's last frame is filled up with zeros.
 
     Frames are numbered by a running sum over the packets' lengths, which are shuffled without the audio; the numbers meet
-    the packets again by (session_id, packet_seq), which must be unique. Spark broadcasts them below its size limit, and else
+    the packets again by (session_id, packet_seq), of which two alike are an error. Spark broadcasts them below its size limit, and else
     the audio is shuffled this once.
     """
     n = F.ceil(F.octet_length("payload") / 2 / frame).cast("long")
     before = F.sum("_n").over(Window.partitionBy("session_id").orderBy("packet_seq").rowsBetween(Window.unboundedPreceding, -1))
-    first = packets.select("session_id", "packet_seq", n.alias("_n")).select("session_id", "packet_seq", F.coalesce(before, F.lit(0)).alias("_first"))
+    twice = F.lag("packet_seq").over(Window.partitionBy("session_id").orderBy("packet_seq")) == F.col("packet_seq")
+    at = F.when(twice, F.raise_error(F.lit("a packet was given twice")).cast("long")).otherwise(F.coalesce(before, F.lit(0)))
+    first = packets.select("session_id", "packet_seq", n.alias("_n")).select("session_id", "packet_seq", at.alias("_first"))
     numbered = packets.join(first, ["session_id", "packet_seq"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

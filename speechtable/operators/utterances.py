@@ -33,17 +33,39 @@ def temporal_overlap(u: DataFrame, lookback: int = 5, slack_s: float = 0.2) -> D
     return u.withColumn("overlapping_speakers", F.array_sort(F.array_distinct(F.transform(over, lambda p: p["label"])))).withColumn("overlap", F.size("overlapping_speakers") > 0)
 
 
+def _cover(first: Column, last: Column) -> Column:
+    """The bins [first, last] as the fewest nodes of a binary tree over all bins: structs of level and node, at most two a level.
+
+    At level k what is left to cover is from ceil(first / 2^k) to floor((last + 1) / 2^k); an odd begin or end is a node.
+    """
+    levels = F.sequence(F.lit(0), F.ceil(F.log2((last - first + 2).cast("double"))).cast("int"))
+
+    def nodes(k: Column) -> Column:
+        width = F.pow(F.lit(2.0), k).cast("long")
+        begin, end = F.ceil(first / width).cast("long"), F.floor((last + 1) / width).cast("long")
+        left = (begin < end) & (begin % 2 != 0)
+        after = begin + left.cast("long")
+        node = lambda n: F.struct(k.alias("level"), n.alias("node"))
+        return F.array(F.when(left, node(begin)), F.when((after < end) & (end % 2 != 0), node(end - 1)))
+
+    return F.filter(F.flatten(F.transform(levels, nodes)), lambda x: x.isNotNull())
+
+
 def interval_overlap_join(u: DataFrame, slack_ms: int = 200, bin_ms: int = 10_000) -> DataFrame:
     """All pairs of a session's utterances by different speakers that overlap by more than slack_ms: a, b (a starts first).
 
-    Utterances meet in the time bins that they touch, and a pair counts in the bin in which the later one starts, so a
-    long session spreads over many keys.
+    An utterance covers its time bins with the nodes of a binary tree, about twice the logarithm of their number, however
+    wrong its end; the later one of a pair looks from the bin in which it starts up to the levels that its session uses. Each
+    pair meets once, and a long session spreads over many keys.
     """
-    bins = F.sequence(F.floor(F.col("start_ms") / bin_ms), F.floor(F.greatest(F.col("end_ms"), F.col("start_ms")) / bin_ms))
-    a = u.select("session_id", F.explode(bins).alias("bin"), F.col("id").alias("a"), F.col("seq").alias("a_seq"), F.col("speaker_id").alias("a_speaker"), F.col("start_ms").alias("a_start"), F.col("end_ms").alias("a_end"))
-    b = u.select("session_id", F.floor(F.col("start_ms") / bin_ms).alias("bin"), F.col("id").alias("b"), F.col("seq").alias("b_seq"), F.col("speaker_id").alias("b_speaker"), F.col("start_ms").alias("b_start"), F.col("end_ms").alias("b_end"))
-    first = (F.col("a_start") < F.col("b_start")) | ((F.col("a_start") == F.col("b_start")) & (F.col("a_seq") < F.col("b_seq")))
-    return a.join(b, ["session_id", "bin"]).filter(first & (F.col("a_speaker") != F.col("b_speaker")) & (F.col("b_start") < F.col("a_end") - slack_ms) & (F.col("a_start") < F.col("b_end") - slack_ms)).select("session_id", "a", "b", (F.least("a_end", "b_end") - F.col("b_start")).alias("shared_ms"))
+    first, last = F.floor(F.col("start_ms") / bin_ms), F.floor(F.greatest(F.col("end_ms"), F.col("start_ms")) / bin_ms)
+    a = u.select("session_id", F.explode(_cover(first, last)).alias("n"), F.col("id").alias("a"), F.col("seq").alias("a_seq"), F.col("speaker_id").alias("a_speaker"), F.col("start_ms").alias("a_start"), F.col("end_ms").alias("a_end"))
+    a = a.select("session_id", "n.level", "n.node", "a", "a_seq", "a_speaker", "a_start", "a_end")
+    b = u.select("session_id", first.alias("bin"), F.col("id").alias("b"), F.col("seq").alias("b_seq"), F.col("speaker_id").alias("b_speaker"), F.col("start_ms").alias("b_start"), F.col("end_ms").alias("b_end"))
+    used = a.groupBy("session_id").agg(F.collect_set("level").alias("levels"))  # some 60 numbers at most
+    b = b.join(used, "session_id").withColumn("level", F.explode("levels")).withColumn("node", F.floor(F.col("bin") / F.pow(F.lit(2.0), "level").cast("long"))).drop("levels", "bin")
+    before = (F.col("a_start") < F.col("b_start")) | ((F.col("a_start") == F.col("b_start")) & (F.col("a_seq") < F.col("b_seq")))
+    return a.join(b, ["session_id", "level", "node"]).filter(before & (F.col("a_speaker") != F.col("b_speaker")) & (F.col("b_start") < F.col("a_end") - slack_ms) & (F.col("a_start") < F.col("b_end") - slack_ms)).select("session_id", "a", "b", (F.least("a_end", "b_end") - F.col("b_start")).alias("shared_ms"))
 
 
 def overlap_flag(u: DataFrame) -> DataFrame:

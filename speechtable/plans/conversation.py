@@ -82,6 +82,17 @@ def a6(spark, sf_dir):
     return X.upserted(rows, X.savable(newer, settings(spark, sf_dir)).drop("is_final")).select("session_id", "id", "text")
 
 
+@registry.add("a6b_archive_sink", f"WITH {LABELED_SQL}, {SETTINGS_SQL} SELECT session_id, id, text || CASE WHEN seq > 0 THEN '!' ELSE '' END AS text FROM l JOIN g USING (session_id) WHERE NOT privacy_mode AND save_transcript")
+def a6b(spark, sf_dir):
+    """Saved twice: the second time all but the first utterance of a session come in a newer version."""
+    path = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
+    rows = labeled(spark, sf_dir).withColumn("is_final", F.lit(True))
+    X.save_utterances(rows, settings(spark, sf_dir), path)
+    X.save_utterances(rows.filter("seq > 0").withColumns({"text": F.concat("text", F.lit("!")), "created_at": F.col("created_at") + 1}), settings(spark, sf_dir), path)
+    schema = rows.schema.add("bucket", "integer")  # also where nothing may be saved
+    return spark.read.schema(schema).parquet(path).select("session_id", "id", "text")
+
+
 @registry.add("a7_clear_session", f"WITH {UTTERANCES_SQL} SELECT session_id, id, text FROM u WHERE session_id NOT IN (SELECT conv_id FROM conversations WHERE role = 'system')")
 def a7(spark, sf_dir):
     rows = u(spark, sf_dir)

@@ -364,6 +364,17 @@ def j2(spark, sf_dir):
     return R.latency_stats(metrics(spark, sf_dir), by=["session_id"])
 
 
+@registry.add("j2b_merged_latency", f"WITH {_METRICS} SELECT count(*) AS n, round(max(ms), 2) AS max_ms, true AS median_within, true AS p95_within FROM m")
+def j2b(spark, sf_dir):
+    """A sketch a session, merged into one for all; whether the ranks of its quantiles are within 1 % of what they should be."""
+    rows = metrics(spark, sf_dir)
+    own = R.merged_latency(R.latency_sketches(rows, by=["session_id"]))
+    ms = F.col("pipeline_processing_ms")
+    apart = lambda c, q: F.greatest(F.count_if(ms < F.col(c)) / F.count("*") - q, q - F.count_if(ms <= F.col(c)) / F.count("*")) < 0.01
+    ranks = rows.join(F.broadcast(own)).groupBy("n", "max_ms").agg(apart("median_ms", 0.5).alias("median_within"), apart("p95_ms", 0.95).alias("p95_within"))  # one row is joined
+    return ranks.select("n", F.round("max_ms", 2).alias("max_ms"), "median_within", "p95_within")
+
+
 _STAGE = "CASE event_id % 4 WHEN 0 THEN 'vad' WHEN 1 THEN 'asr' WHEN 2 THEN 'diarization' ELSE 'prosody' END"
 
 

@@ -27,6 +27,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Give this package to the Python workers of the session's executors, once per application (as --py-files does)."""
     app = spark.sparkContext.applicationId

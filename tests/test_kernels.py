@@ -122,3 +122,65 @@ def test_queries_on_clips_row_by_row(spark, sf_dir):
         assert made["b6_condition_audio"][c].rms_db == pytest.approx(20 * math.log10(math.sqrt(float((y * y).mean()) + 1e-12) + 1e-12), abs=1e-6)
     for n, flag in (("g6_emphasis", "emphasis"), ("f14_acoustic_overlap", "acoustic_overlap")):
         assert {r[flag] for r in made[n].values()} == {True, False}, n
+
+
+def slow_cepstrum(x, rate=RATE):
+    """Bands from one whole bin to another, each coefficient a sum."""
+    power = K._power(np.pad(np.asarray(x, float), (0, max(0, 512 - len(x)))), rate) + 1e-10
+    mel = lambda f: 2595 * math.log10(1 + f / 700)
+    step = (mel(rate / 2) - mel(100)) / 27
+    bins = [math.floor(513 * 700 * (10 ** ((mel(100) + i * step) / 2595) - 1) / rate) for i in range(28)]
+    rows = []
+    for frame in power:
+        logs = []
+        for a, b, c in zip(bins, bins[1:], bins[2:]):
+            total = sum(frame[k] * (k - a) / (b - a) for k in range(a, b)) + sum(frame[k] * (c - k) / (c - b) for k in range(b, c))
+            logs.append(math.log(total + 1e-6))
+        rows.append([math.sqrt(2 / 26) * sum(v * math.cos(math.pi * q * (2 * i + 1) / 52) for i, v in enumerate(logs)) for q in range(1, 21)])
+    table = np.array(rows)
+    table = table - table.mean(0)
+    v = np.concatenate((table.mean(0), table.std(0), np.zeros(152)))
+    return v / (np.linalg.norm(v) + 1e-8)
+
+
+def test_embeddings_of_clips(spark, sf_dir):
+    for x in clips_of_all_kinds()[:12]:
+        assert np.allclose(K.mfcc_embedding(x), slow_cepstrum(x), atol=1e-6)
+    clips = {r.clip_id: np.array(r.samples) for r in signals.clips(spark, sf_dir).collect()}
+    made = {r.clip_id: r.embedding for r in catalog.queries()["f2_mfcc_embedding"](spark, sf_dir).collect()}
+    assert set(made) == set(clips)
+    for c in sorted(clips)[:25]:
+        assert np.allclose(made[c], slow_cepstrum(clips[c]), atol=1e-6)
+
+
+@pytest.mark.parametrize("kind", K.NOISES)
+def test_noise_of_each_kind(kind):
+    rate, n = 2000, 20_000
+    speech = np.sin(np.arange(n) / 5) * (np.arange(n) % 4000 < 2500)
+    normal = np.random.default_rng(11).standard_normal(n)
+    if kind == "white":
+        x = list(normal)
+    elif kind == "fan":
+        turn = 2 * math.pi / rate
+        x = [0.6 * normal[i] + 0.8 * math.sin(60 * turn * i) + 0.35 * math.sin(120 * turn * i + 0.2) + 0.18 * math.sin(240 * turn * i + 0.7) for i in range(n)]
+    elif kind == "babble":
+        x = [speech[(i - int(7.3 * rate)) % n] + 0.015 * normal[i] for i in range(n)]
+    else:
+        spectrum = np.fft.rfft(normal)
+        x = np.fft.irfft([s / (math.sqrt(k * rate / n) if k else 1.0) for k, s in enumerate(spectrum)], n)
+    on = K.active(speech, rate)
+    loud = math.sqrt(sum(v * v for v, a in zip(x, on) if a) / on.sum())
+    assert np.allclose(K.noise(kind, n, rate, 11, speech), np.array(x) / loud, atol=1e-6)
+
+
+def test_query_mixes_each_noise_at_its_level(spark, sf_dir):
+    made = {(r.clip_id, r.kind): r for r in catalog.queries()["b10_make_noise"](spark, sf_dir).collect()}
+    clips = {r.clip_id: np.array(r.samples) for r in signals.clips(spark, sf_dir).collect()}
+    assert len(made) == 4 * len(clips)
+    from pyspark.sql import functions as F
+
+    each = [(c, k, s) for c in sorted(clips)[:10] for k, s in (("white", 10.0), ("pink", 10.0), ("fan", 10.0), ("babble", 5.0))]
+    seeds = spark.createDataFrame(each, "clip_id string, kind string, snr_db double").withColumn("seed", F.xxhash64("clip_id", "kind", "snr_db")).collect()
+    for r in seeds:
+        y = K.mix(clips[r.clip_id], r.kind, r.snr_db, RATE, r.seed)
+        assert made[r.clip_id, r.kind].rms_db == pytest.approx(20 * math.log10(math.sqrt(float((y * y).mean()) + 1e-12) + 1e-12), abs=1e-6)

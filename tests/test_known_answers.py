@@ -303,3 +303,59 @@ def test_edit_rate_and_condition_report_of_whole_texts(spark, tmp_path, sf_dir):
     report = {(r.clip_id, r.condition): (r.recognized, r.token_edit_rate) for r in catalog.queries()["j12b_whole_condition_report"](spark, str(tmp_path)).collect()}
     made = {"clean": own, "crosstalk": heard, "echo": {k: own[k] + heard[k] for k in own}}
     assert report == {(f"{i}-{k}", name): (len(w[i, k]), rate(own[i, k], w[i, k])) for name, w in made.items() for i, k in own}
+
+
+@pytest.mark.parametrize("bin_ms", [1, 50, 10_000])
+def test_overlaps_of_long_and_wrong_intervals(spark, bin_ms):
+    rng = random.Random(8)
+    rows = []
+    for k in range(150):
+        start = rng.randint(-3000, 9000)
+        end = start + rng.choice([0, 40, 300, 2500, 40_000, -500])
+        rows.append((rng.randint(1, 2), k, rng.choice("ab"), f"{k}", start, end))
+    rows.append((1, 900, "c", "900", 10, 36_000_000_000))  # 10,000 hours
+    df = spark.createDataFrame(rows, "session_id long, seq long, speaker_id string, id string, start_ms long, end_ms long")
+    got = sorted(tuple(r) for r in U.interval_overlap_join(df, 200, bin_ms).collect())
+    want = []
+    for a in rows:
+        for b in rows:
+            if a[0] == b[0] and a[2] != b[2] and (a[4], a[1]) < (b[4], b[1]) and b[4] < a[5] - 200 and a[4] < b[5] - 200:
+                want.append((a[0], a[3], b[3], min(a[5], b[5]) - b[4]))
+    assert got == sorted(want) and got
+    nodes = df.select(F.size(U._cover(F.floor(F.col("start_ms") / bin_ms), F.floor(F.greatest("end_ms", "start_ms") / bin_ms))).alias("n")).agg(F.max("n")).first()[0]
+    assert nodes <= 72
+
+
+def test_sketches_of_sessions_merge(spark):
+    rng = random.Random(3)
+    rows = [(k % 40, rng.lognormvariate(3, 1)) for k in range(40_000)] + [(99, None)]
+    df = spark.createDataFrame(rows, "session_id long, pipeline_processing_ms double").repartition(5)
+    sketches = R.latency_sketches(df, by=["session_id"])
+    assert sketches.count() == 41
+    r = R.merged_latency(sketches).first()
+    values = sorted(v for _, v in rows if v is not None)
+    assert r.n == 40_000 and r.max_ms == values[-1]
+    for q, got in ((0.5, r.median_ms), (0.95, r.p95_ms)):
+        assert abs(sum(v <= got for v in values) / len(values) - q) < 0.01
+    by = {x.session_id: x for x in R.merged_latency(sketches, ["session_id"]).collect()}
+    assert by[99].n == 0 and by[99].median_ms is None and by[0].n == 1000
+
+
+def test_a_packet_given_twice_is_an_error(spark):
+    p = spark.createDataFrame([(1, 0, bytearray(4)), (1, 0, bytearray(4)), (2, 0, bytearray(4))], "session_id long, packet_seq long, payload binary")
+    with pytest.raises(Exception, match="given twice"):
+        FR.frame_pcm(p).collect()
+
+
+def test_archive_has_so_many_folders(spark, tmp_path):
+    s = spark.createDataFrame([(k, False, True) for k in range(50)], "session_id long, privacy_mode boolean, save_transcript boolean")
+    rows = spark.createDataFrame([(f"{k}-{v}", k, True, f"t{v}", 0.0, 1.0) for k in range(50) for v in range(3)], "id string, session_id long, is_final boolean, text string, start_time double, created_at double")
+    path = tmp_path / "archive"
+    X.save_utterances(rows, s, str(path), 4)
+    before = {str(p) for p in path.rglob("*.parquet")}
+    X.save_utterances(rows.filter("session_id = 7").withColumn("text", F.lit("new")).withColumn("created_at", F.lit(2.0)), s, str(path), 4)
+    after = {str(p) for p in path.rglob("*.parquet")}
+    assert len([p for p in path.iterdir() if p.is_dir()]) <= 4 and len(before - after) == 1
+    got = {(r.session_id, r.id): r.text for r in spark.read.parquet(str(path)).collect()}
+    assert got == {(k, f"{k}-{v}"): "new" if k == 7 else f"t{v}" for k in range(50) for v in range(3)}
+    assert not [p for p in tmp_path.iterdir() if "staged" in p.name]

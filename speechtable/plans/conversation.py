@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,7 +14,7 @@ from ..operators import reports as R
 from ..operators import speakers as S
 from ..operators import utterances as U
 from ..operators import words as W
-from ..session import shared_dir
+from ..session import scratch
 from ..sources.derive import UTTERANCES_SQL, read, utterances
 from .registry import Registry
 
@@ -85,7 +84,7 @@ def a6(spark, sf_dir):
 @registry.add("a6b_archive_sink", f"WITH {LABELED_SQL}, {SETTINGS_SQL} SELECT session_id, id, text || CASE WHEN seq > 0 THEN '!' ELSE '' END AS text FROM l JOIN g USING (session_id) WHERE NOT privacy_mode AND save_transcript")
 def a6b(spark, sf_dir):
     """Saved twice: the second time all but the first utterance of a session come in a newer version."""
-    path = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
+    path = scratch(spark, "archive")
     rows = labeled(spark, sf_dir).withColumn("is_final", F.lit(True))
     X.save_utterances(rows, settings(spark, sf_dir), path)
     X.save_utterances(rows.filter("seq > 0").withColumns({"text": F.concat("text", F.lit("!")), "created_at": F.col("created_at") + 1}), settings(spark, sf_dir), path)
@@ -120,7 +119,7 @@ def a10(spark, sf_dir):
 @registry.add("a15_write_exports", f"SELECT 'txt' AS format, * FROM ({registry.sql['a8_export_txt']}) UNION ALL SELECT 'vtt', * FROM ({registry.sql['a9_export_vtt']})")
 def a15(spark, sf_dir):
     """Written as a table and read again."""
-    path = f"{shared_dir(spark)}/exports-{uuid.uuid4().hex}"
+    path = scratch(spark, "exports")
     X.write_exports(_from_zero(labeled(spark, sf_dir)), path, ("txt", "vtt"), as_table=True)
     return spark.read.parquet(path).select("format", "session_id", "content")
 

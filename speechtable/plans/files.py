@@ -3,8 +3,6 @@ user plugs in."""
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import frames as FR
 from ..operators import speakers as S
 from ..operators import words as W
-from ..session import shared_dir
+from ..session import scratch
 from ..sources import packets, readers, wav
 from ..sources.derive import FRAMES_SQL, frames, read
 from .registry import Registry
@@ -21,10 +19,6 @@ from .signals import _SAMPLE_SQL, SAMPLES_SQL, N, samples
 registry = Registry()
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 # -- recordings: a file a session, 64 samples an event, at 1 kHz ----------------------------------------------------
 RATE, START, END = 1000, 1.0, 3.0
 
@@ -32,7 +26,7 @@ RATE, START, END = 1000, 1.0, 3.0
 def recordings(spark: SparkSession, sf_dir: str) -> str:
     """Write them and give the folder."""
     rows = samples(spark, sf_dir).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "x"))).alias("f"))
-    folder = _folder(spark, "recordings")
+    folder = scratch(spark, "recordings")
     wav.register(spark)
     rows.select(F.col("session_id").cast("string").alias("name"), F.lit(RATE).alias("rate"), F.flatten(F.transform("f", lambda y: y["x"])).alias("samples")).write.format("wav").mode("append").save(folder)
     return folder
@@ -59,7 +53,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a1b(spark, sf_dir):
     """The log grows while no query runs, twice; each time the query goes on where it stopped."""
     spark.dataSource.register(packets.PacketLog)
-    rows, top = messages(spark, sf_dir), _folder(spark, "packets")
+    rows, top = messages(spark, sf_dir), scratch(spark, "packets")
     last = rows.agg(F.max("packet_seq")).first()[0]
     cuts = [-1, *(last * k // 3 for k in (1, 2)), last] if last is not None else []
     for a, b in zip(cuts, cuts[1:]):
@@ -79,7 +73,7 @@ def a3(spark, sf_dir):
         F.when(turn % 2 == 1, F.lit(True)).alias("overlap"), F.when(turn % 2 == 1, F.array(F.lit("Speaker Z"))).alias("overlapping_speakers"),
     )
     scripts = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("turn", row.alias("r")))), lambda x: x["r"])).alias("value"))
-    folder = _folder(spark, "scripts")
+    folder = scratch(spark, "scripts")
     scripts.select("value").write.option("maxRecordsPerFile", 1).text(folder)
     return readers.read_conversation_json(spark, folder).select("speaker_id", "text", "delay_ms", "overlap", F.size("overlapping_speakers").alias("others"))
 

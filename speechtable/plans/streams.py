@@ -5,7 +5,6 @@ Each step adds files and runs the query until they are read, so state lives over
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import acoustics as A
 from ..operators import frames as FR
-from ..session import shared_dir
+from ..session import scratch
 from ..sources.derive import FRAMES_SQL, frames, read, turn_embeddings, utterances
 from ..streaming import processors as P
 from .registry import Registry
@@ -26,7 +25,10 @@ STEPS, FILES = 3, 64
 
 
 def _steps(source: DataFrame, order: str, folder: str) -> Iterator[int]:
-    """Append the rows in the order of an expression, a third at a time, each session's rows of a step to one file."""
+    """Append the rows in the order of an expression, a third at a time, each session's rows of a step to one file. The source
+    is computed once."""
+    source.write.parquet(f"{folder}-all")
+    source = source.sparkSession.read.schema(source.schema).parquet(f"{folder}-all")
     at = F.expr(order).cast("double")
     cuts = source.agg(F.percentile_approx(at, [k / STEPS for k in range(1, STEPS)], 1000)).first()[0] or []
     step = sum((F.when(at > c, 1).otherwise(0) for c in cuts), F.lit(0))
@@ -38,7 +40,7 @@ def _steps(source: DataFrame, order: str, folder: str) -> Iterator[int]:
 def _run(source: DataFrame, order: str, start: Callable[[DataFrame, str], object], files: int | None = FILES) -> str:
     """start(stream, folder) -> a started query; run for each step. The folder, in which the query may write."""
     spark = source.sparkSession
-    top = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    top = scratch(spark, "stream")
     was = spark.conf.get(_PROVIDER, None)
     spark.conf.set(_PROVIDER, _STORE)
     try:

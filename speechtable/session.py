@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -27,6 +28,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[0]
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path for an intermediate table of this application, in the shared folder. clean() deletes all of them."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete the application's intermediate tables, once the results that rest on them are written."""
+    remove(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder in whatever store it lies."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

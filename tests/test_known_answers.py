@@ -359,3 +359,14 @@ def test_archive_has_so_many_folders(spark, tmp_path):
     got = {(r.session_id, r.id): r.text for r in spark.read.parquet(str(path)).collect()}
     assert got == {(k, f"{k}-{v}"): "new" if k == 7 else f"t{v}" for k in range(50) for v in range(3)}
     assert not [p for p in tmp_path.iterdir() if "staged" in p.name]
+
+
+def test_intermediate_tables_are_cleaned_up(spark):
+    from speechtable.session import clean, scratch, shared_dir
+
+    path = scratch(spark, "x")
+    spark.range(3).write.parquet(path)
+    assert path.startswith(shared_dir(spark)) and spark.read.parquet(path).count() == 3
+    clean(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)

@@ -31,6 +31,37 @@ def test_no_row_holds_a_set_and_no_text_is_shuffled(spark, sf_dir):
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     for made in (decontaminate.query(spark, sf_dir), decontaminate.remove(docs, bench), decontaminate.remove(docs, bench, "spans")):
         plan = made._jdf.queryExecution().executedPlan().toString()
-        assert "AS _dc_s" not in plan
+        assert "AS _dc_s" not in plan and "AS _dc_held" not in plan
         outside = plan.split("Subquery")[0]
         assert "Exchange" not in outside and "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("set_limit", [500_000, 1])
+def test_a_passage_that_many_items_and_documents_share(spark, set_limit):
+    """The hits of one document don't bring along the items of each."""
+    shared = " ".join(f"legal{i}" for i in range(30))
+    items = [(k, shared if k % 3 else f"{shared} own{k}") for k in range(1200)] + [(5000, "another " * 12)]
+    docs = [f"w{k} {shared} v{k}" for k in range(300)] + [f"w{k}" for k in range(20)] + [shared * 1 + (" " + shared) * 400]
+    df = spark.createDataFrame([(i, t, None, "s", 0) for i, t in enumerate(docs)], DOCS).repartition(6)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert decontaminate.item_sets(decontaminate.benchmark_windows(bench)).count() < 450
+    got = {r.doc_id: r for r in decontaminate.report(df, bench, set_limit=set_limit).collect()}
+    every = sorted(str(k) for k in range(1200))
+    for i, t in enumerate(docs):
+        hit = "legal0" in t
+        words = len(t.split())
+        assert (got[i].n_words, got[i].n_items, got[i]["items"]) == (words, 1200 if hit else 0, every if hit else [])
+        assert got[i].n_hit == (0 if not hit else words - 2 if i < 300 else words)
+
+
+def test_hot_keys_keep_all_rows(spark):
+    from speechtable.llm.common import with_key
+
+    rows = spark.createDataFrame([(1 if k % 2 else k, k) for k in range(9000)] + [(None, -1)] * 2000, "key long, n_row long").repartition(5)
+    own = spark.createDataFrame([(k, f"v{k}") for k in range(1, 6000)], "key long, value string")
+    from pyspark.sql import functions as F
+
+    met = with_key(rows, own, "key", rows.groupBy("key").agg(F.count("*").alias("n")))
+    got = sorted(((r.key, r.n_row, r.value) for r in met.collect()), key=repr)
+    want = [(k, i, f"v{k}" if k is not None and 1 <= k < 6000 else None) for k, i in [(1 if k % 2 else k, k) for k in range(9000)] + [(None, -1)] * 2000]
+    assert got == sorted(want, key=repr)

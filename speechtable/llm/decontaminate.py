@@ -9,10 +9,14 @@ of a benchmark item, or the whole of an item that has fewer. A document is scann
 2. Documents that pass have all their windows looked up, as whole strings, in the set of the benchmark's windows. That is
    the verification: no hit rests on a hash alone.
 
+Windows that the same items hold share one number for these items, and only that travels with a hit: the items of a document are
+looked up once for each number in it, however often a passage that many items share occurs.
+
 The sets are values of scalar subqueries (an array of hash buckets), which Spark gives to every task; their size is checked
 first. Up to `set_limit` windows nothing is shuffled at all. For a larger benchmark the blocks become a bit map of at most
-`MAP_BITS` bits, documents are tested on it where they lie, and only the windows of those that pass are joined with the
-benchmark's, and only these documents with what was found; the others' text never moves.
+`MAP_BITS` bits, documents are tested on it where they lie, windows of those that pass on a map of whole windows, and what
+is left is joined with the benchmark's, and only these documents with what was found; the others' text never moves. A window that a large share of the
+documents holds is dealt out over all partitions.
 
 Cases: null or empty text has no words; an item without words has no window; a null item_id counts as the item "";
 repeated rows and repeated ids are documents of their own; an empty benchmark hits nothing; other columns are kept as
@@ -35,7 +39,7 @@ SEPARATOR_ANY_CASE = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 N = 10
 #: windows of a benchmark that are held as a set, and the bits of the map of a larger one
 SET_LIMIT, MAP_BITS = 500_000, 1 << 28
-FOUND = "array<struct<start:int,size:int,items:array<string>>>"
+FOUND = "array<struct<start:int,size:int,set_no:long>>"
 
 
 def words(text: Column) -> Column:
@@ -69,6 +73,11 @@ def benchmark_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
     return items.select("item", F.least(F.size("w"), F.lit(n)).alias("size"), F.explode(grams).alias("gram")).groupBy("gram", "size").agg(F.collect_set("item").alias("items"))
 
 
+def item_sets(windows: DataFrame) -> DataFrame:
+    """Distinct lists of items of benchmark_windows, numbered: items, set_no. Numbers are fixed once this is written."""
+    return windows.select(F.array_sort("items").alias("items")).distinct().withColumn("set_no", F.monotonically_increasing_id())
+
+
 def _array_of(rows: DataFrame, at: str, value: str, n: int, empty: Column) -> Column:
     """rows (at: 0 .. n-1, a row each; value) as one array of n values, a scalar subquery."""
     all_ = rows.sparkSession.range(n).join(rows, F.col("id") == F.col(at), "left").select("id", F.coalesce(value, empty).alias("v"))
@@ -123,11 +132,11 @@ def _looked_up(docs: DataFrame, sets: dict[str, Column], name: str, value: Colum
 
 def _found_by_set(docs: DataFrame, grams: DataFrame, sizes: list[int], n: int) -> DataFrame:
     m = max(1, n // 2)
-    own = grams.groupBy(F.pmod(F.xxhash64("gram"), F.lit(m)).alias("at")).agg(F.collect_list(F.struct("gram", "items")).alias("own"))
+    own = grams.groupBy(F.pmod(F.xxhash64("gram"), F.lit(m)).alias("at")).agg(F.collect_list(F.struct("gram", "set_no")).alias("own"))
     sets, maybe = _maybe(grams, sizes, _block_set)
-    sets["_dc_set"] = _array_of(own, "at", "own", m, F.array().cast("array<struct<gram:string,items:array<string>>>"))
+    sets["_dc_set"] = _array_of(own, "at", "own", m, F.array().cast("array<struct<gram:string,set_no:long>>"))
     windows = F.concat(*(_windows(F.col("_dc_w"), s) for s in sizes))
-    hit = lambda s, x: F.transform(F.filter(F.get(s, F.pmod(F.xxhash64(x["gram"]), F.lit(m)).cast("int")), lambda e: e["gram"] == x["gram"]), lambda e: F.struct(x["start"].alias("start"), x["size"].alias("size"), e["items"].alias("items")))
+    hit = lambda s, x: F.transform(F.filter(F.get(s, F.pmod(F.xxhash64(x["gram"]), F.lit(m)).cast("int")), lambda e: e["gram"] == x["gram"]), lambda e: F.struct(x["start"].alias("start"), x["size"].alias("size"), e["set_no"].alias("set_no")))
     found = let(F.col("_dc_set"), lambda s: F.flatten(F.transform(windows, lambda x: hit(s, x))))
     return _looked_up(docs, sets, "_dc_found", F.coalesce(F.when(maybe, found), F.array().cast(FOUND)))
 
@@ -137,21 +146,31 @@ def _found_by_join(docs: DataFrame, grams: DataFrame, sizes: list[int]) -> DataF
     sets, maybe = _maybe(grams, sizes, _block_map)
     tested = once(_looked_up(docs, sets, "_dc_maybe", maybe), "_dc_maybe")
     some = tested.filter("_dc_maybe").withColumn("_dc_key", F.sha2(F.concat_ws(" ", F.col("doc_id").cast("string"), F.array_join("_dc_w", " ")), 256))
-    rows = some.select("_dc_key", "_dc_w").dropDuplicates(["_dc_key"])
-    rows = rows.select("_dc_key", F.explode(F.concat(*(_windows(F.col("_dc_w"), s) for s in sizes))).alias("x")).select("_dc_key", "x.*")
-    hits = rows.join(grams.select("gram", "items"), "gram")
-    hits = written(hits.groupBy("_dc_key").agg(F.collect_list(F.struct("start", "size", "items")).alias("_dc_found")), "benchmark-hits")
+    held, test = _block_map(grams.select(F.xxhash64("gram").alias("h")), grams.count())
+    windows = F.concat(*(_windows(F.col("_dc_w"), s) for s in sizes))
+    likely = let(F.col("_dc_held"), lambda s: F.filter(windows, lambda x: test(s, F.xxhash64(x["gram"]))))
+    rows = _looked_up(some.select("_dc_key", "_dc_w").dropDuplicates(["_dc_key"]), {"_dc_held": held}, "_dc_x", likely)
+    rows = written(rows.select("_dc_key", F.explode("_dc_x").alias("x")).select("_dc_key", "x.*"), "benchmark-likely")
+    hits = with_key(rows, grams.select("gram", "set_no"), "gram", rows.groupBy("gram").agg(F.count("*").alias("n"))).filter("set_no is not null")
+    hits = written(hits.groupBy("_dc_key").agg(F.collect_list(F.struct("start", "size", "set_no")).alias("_dc_found")), "benchmark-hits")
     met = with_key(some, hits, "_dc_key", some.groupBy("_dc_key").agg(F.count("*").alias("n"))).withColumn("_dc_found", F.coalesce("_dc_found", F.array().cast(FOUND))).drop("_dc_key")
     return tested.filter("NOT _dc_maybe").withColumn("_dc_found", F.array().cast(FOUND)).unionByName(met).drop("_dc_maybe")
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, set_limit: int = SET_LIMIT) -> DataFrame:
-    """docs with `_dc_w` (its words), `_dc_found` (windows of the benchmark: start, size, items that hold it) and `_dc_hit`
-    added.
+    """docs with `_dc_w` (its words), `_dc_found` (windows of the benchmark: start, size, number of the items that hold it) and
+    `_dc_hit` added.
 
     start counts words from 0; _dc_hit is the number of words inside found windows.
     """
-    grams = written(benchmark_windows(benchmark, n), "benchmark-windows")
+    return _scan(docs, benchmark, n, set_limit)[0]
+
+
+def _scan(docs: DataFrame, benchmark: DataFrame, n: int, set_limit: int) -> tuple[DataFrame, DataFrame, bool]:
+    """scan(), the items by number, and whether the benchmark is small enough to be held as a set."""
+    windows = written(benchmark_windows(benchmark, n), "benchmark-windows")
+    sets = written(item_sets(windows), "benchmark-items")
+    grams = written(windows.withColumn("items", F.array_sort("items")).join(sets, "items").select("gram", "size", "set_no"), "benchmark-numbered")
     total, sizes = grams.agg(F.count("*"), F.array_sort(F.collect_set("size"))).first()
     docs = once(docs.withColumn("_dc_w", words(F.col("text"))), "_dc_w")
     if not total:
@@ -166,7 +185,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = N, set_limit: int = SET
         lambda a, x: F.struct((a.n + F.greatest(F.lit(0), x["start"] + x["size"] - F.greatest(a.to, x["start"]))).alias("n"), F.greatest(a.to, x["start"] + x["size"]).alias("to")),
         lambda a: a.n,
     )
-    return docs.withColumn("_dc_hit", F.when(F.size("_dc_found") > 0, covered).otherwise(0).cast("long"))
+    return docs.withColumn("_dc_hit", F.when(F.size("_dc_found") > 0, covered).otherwise(0).cast("long")), sets, total <= set_limit
 
 
 def _drop(df: DataFrame) -> DataFrame:
@@ -175,11 +194,33 @@ def _drop(df: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = N, **limits) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items (sorted strings), contaminated."""
-    found = once(scan(docs.select("doc_id", "text"), benchmark, n, **limits).withColumn("_dc_n", F.size("_dc_w").cast("long")), "_dc_found", "_dc_hit", "_dc_n")
-    items = F.array_sort(F.array_distinct(F.flatten("_dc_found.items")))
+    found, sets, small = _scan(docs.select("doc_id", "text"), benchmark, n, **{"set_limit": SET_LIMIT} | limits)
+    found = once(found.withColumn("_dc_n", F.size("_dc_w").cast("long")).withColumn("_dc_lists", F.array_distinct("_dc_found.set_no")), "_dc_lists", "_dc_hit", "_dc_n")
+    found = found.select("doc_id", "_dc_n", "_dc_hit", "_dc_lists")
+    if small:
+        m = max(1, sets.count() // 2)
+        buckets = sets.groupBy(F.pmod(F.xxhash64("set_no"), F.lit(m)).alias("at")).agg(F.collect_list(F.struct("set_no", "items")).alias("own"))
+        held = _array_of(buckets, "at", "own", m, F.array().cast("array<struct<set_no:long,items:array<string>>>"))
+        of = lambda s, k: F.flatten(F.transform(F.filter(F.get(s, F.pmod(F.xxhash64(k), F.lit(m)).cast("int")), lambda e: e["set_no"] == k), lambda e: e["items"]))
+        listed = let(F.col("_dc_held"), lambda s: F.flatten(F.transform("_dc_lists", lambda k: of(s, k))))
+        found = _looked_up(found, {"_dc_held": held}, "_dc_items", F.when(F.size("_dc_lists") > 0, listed).otherwise(F.array().cast("array<string>")))
+    else:
+        found = _items_by_join(found, sets)
+    items = F.array_sort(F.array_distinct("_dc_items"))
     return found.select("doc_id", F.col("_dc_n").alias("n_words"), F.col("_dc_hit").alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (F.col("_dc_hit") > 0).alias("contaminated"))
 
 
+def _items_by_join(found: DataFrame, sets: DataFrame) -> DataFrame:
+    """`_dc_lists` (numbers) -> `_dc_items`, for more numbers than are held as a set. Documents with the same numbers share one
+    look-up."""
+    some = found.filter(F.size("_dc_lists") > 0).withColumn("_dc_key", F.sha2(F.array_join(F.transform(F.array_sort("_dc_lists"), lambda k: k.cast("string")), ","), 256))
+    each = some.select("_dc_key", "_dc_lists").dropDuplicates(["_dc_key"]).select("_dc_key", F.explode("_dc_lists").alias("set_no"))
+    met = with_key(each, sets, "set_no", each.groupBy("set_no").agg(F.count("*").alias("n")))
+    lists = met.groupBy("_dc_key").agg(F.flatten(F.collect_list("items")).alias("_dc_items"))
+    out = with_key(some, lists, "_dc_key", some.groupBy("_dc_key").agg(F.count("*").alias("n"))).drop("_dc_key")
+    return found.filter(F.size("_dc_lists") == 0).withColumn("_dc_items", F.array().cast("array<string>")).unionByName(out)
+
+
 def remove(docs: DataFrame, benchmark: DataFrame, what: str = "documents", n: int = N, **limits) -> DataFrame:
     """docs without contaminated documents, or with what="spans" without the words (and the separators before each) that
     lie in a window; clean documents stay as they are, and n_chars, where there is one, follows the text."""

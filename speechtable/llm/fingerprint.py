@@ -34,7 +34,7 @@ from .recompress import mixed, word_names
 
 BITS = 128
 #: words whose terms are counted at once, fingerprints of a key that one group holds, and the query's radius
-SLICE, HOT_BLOCK, WITHIN = 1_000_000, 20_000, 3
+SLICE, HOT_BLOCK, WITHIN = 1_000_000, 20_000, 6
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x94D049BB133111EB))
 _SIGNS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float64) * 2 - 1
 

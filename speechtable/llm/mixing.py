@@ -10,7 +10,9 @@ bucket where the running sum passes the rest is refined by the next bits, and so
 sends at most 2**BITS sums a source and task, whatever the size of the source; a hot source is summed where its rows lie.
 Documents with that last hash are taken if this brings the source nearer to its target.
 
-Cases: null text has size 0 and takes nothing; a null doc_id hashes as ""; repeated ids are taken or left together; an
+Sources are ranked in one task, as their weights follow their order: the number of sources, not of documents, is its bound.
+
+Cases: null text has size 0 and takes nothing; the words of very long texts are counted where they lie; a null doc_id hashes as ""; repeated ids are taken or left together; an
 empty table gives no rows; columns whose names begin with `_mix_` are replaced.
 """
 

@@ -14,7 +14,7 @@ pre-tokens are remembered, up to `REMEMBERED` of them.
 and trees meet by document, and documents without an edit aren't looked at. `edited_counts` does both in one pass over
 documents that carry their edits, and shuffles nothing.
 
-Cases: null or empty text has no tokens; edits apply in order, each to the text that the one before left; offsets beyond
+Cases: null or empty text has no tokens; a very long text's tree is built whole, in memory by the number of its leaves; edits apply in order, each to the text that the one before left; offsets beyond
 the end mean the end, and an end before its start means the start; null edits, or null text in one, change or insert
 nothing; repeated rows stand for themselves (in `update` a doc_id must be unique); an empty table gives no rows; other
 columns aren't read.

@@ -7,12 +7,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..operators import frames as FR
 from ..operators import speakers as S
 from ..operators import words as W
 from ..session import scratch
 from ..sources import packets, readers, wav
-from ..sources.derive import FRAMES_SQL, frames, read
+from ..sources.derive import FRAMES_SQL, UTTERANCES_SQL, read, utterances
 from .registry import Registry
 from .signals import _SAMPLE_SQL, SAMPLES_SQL, N, samples
 
@@ -126,3 +127,26 @@ def d1b(spark, sf_dir):
     n = read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg((3900 + F.count("*") * 37 % 300).cast("int").alias("n"))
     clips = n.select(F.concat_ws("-", "user_id", "event_type").alias("clip_id"), F.array_repeat((F.col("user_id") % 97 / 100).cast("float"), F.col("n")).alias("samples"))
     return W.transcribe(clips, _counted).select("clip_id", "text", F.size("words").alias("words"))
+
+
+def _side(x: np.ndarray, rate: int) -> np.ndarray:
+    """Stands for a voice model: one axis for a voice that begins above zero, the other for one below."""
+    return np.array([1.0, 0.0]) if x[0] > 0 else np.array([0.0, 1.0])
+
+
+@registry.add("e3b_partition_words_of_turns", f"""WITH {UTTERANCES_SQL}, k AS (SELECT session_id, seq, regexp_extract_all(lower(text), '[a-z0-9'']+') AS k FROM u),
+w AS (SELECT session_id, seq, len(k) AS n, i, k[i + 1] AS word, ascii(k[i + 1]) % 2 AS voice FROM k, LATERAL (SELECT unnest(range(len(k))) AS i)),
+c AS (SELECT *, coalesce(voice <> lag(voice) OVER (PARTITION BY session_id, seq ORDER BY i), false) AS change FROM w),
+p AS (SELECT *, coalesce(max(CASE WHEN change THEN i END) OVER (PARTITION BY session_id, seq ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c),
+t AS (SELECT *, sum((change AND n - before >= 4)::INT) OVER (PARTITION BY session_id, seq ORDER BY i) AS turn_idx FROM p)
+SELECT session_id, seq AS segment_id, turn_idx::INT AS turn_idx, string_agg(word, ' ' ORDER BY i) AS text FROM t GROUP BY ALL UNION ALL SELECT session_id, seq, 0, '(nothing)' FROM k WHERE len(k) = 0""")
+def e3b(spark, sf_dir):
+    """The words of each turn, half a second each, in one of two voices by their first letter: a new turn wherever the voice
+    changes, as long as four words are left."""
+    own = utterances(read(spark, sf_dir, "conversations")).withColumn("k", C.tokenize(F.col("text")))
+    voice = lambda i: F.when(F.ascii(F.get("k", i)) % 2 == 1, 0.5).otherwise(-0.5)
+    n = F.size("k")
+    x = F.when(n > 0, F.transform(F.sequence(F.lit(0), n * 8 - 1), lambda j: voice(F.least(F.floor((j + 2) / 8).cast("int"), n - 1)).cast("float"))).otherwise(F.array().cast("array<float>"))
+    words = F.transform("k", lambda w, i: F.struct(w.alias("word"), (i * 0.5).alias("start"), (i * 0.5 + 0.25).alias("end"), F.lit(1.0).alias("probability")))
+    segments = own.select("session_id", F.col("seq").alias("segment_id"), F.lit(0.0).alias("start_time"), (n * 0.5).alias("end_time"), F.lit("(nothing)").alias("text"), x.alias("samples"), words.cast(f"array<{W.WORD}>").alias("words"))
+    return W.partition_turns(segments, _side, sample_rate=16).select("session_id", "segment_id", F.col("turn_idx").cast("int").alias("turn_idx"), "text")

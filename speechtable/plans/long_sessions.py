@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from ..operators import chunks as CH
 from ..operators import segments as G
+from ..operators import utterances as U
 from ..sources.derive import FRAMES_SQL, read
+from ..streaming import processors as P
 from .registry import Registry
 from .signals import LIVE_SQL, vad_sql
+from .streams import drained
 
 registry = Registry()
 #: frames in a chunk; small, so that small tables have many
@@ -70,3 +73,23 @@ def g8b(spark, sf_dir):
     rows = recording(spark, sf_dir).withColumn("r", F.when(F.col("voiced"), F.col("level_dbfs")))
     own = CH.rolling_baseline(rows, "r", "b", ["session_id", "speaker_id"], order="frame_idx", size=SIZE, default=-24.0)
     return own.select("session_id", "frame_idx", F.round("b", 6).alias("level_baseline"))
+
+
+@registry.add("k2b_stream_long_vad", f"WITH {_VAD} SELECT session_id, frame_idx, is_speaking, segment_started, segment_ended, segment_no FROM v")
+def k2b(spark, sf_dir):
+    """The same recording as a stream, in three steps with restarts."""
+    own = recording(spark, sf_dir).select("session_id", "frame_idx", "voiced")
+    return drained(own, "frame_idx", lambda s: P.stream_vad(s)).drop("interim_due")
+
+
+@registry.add("k6b_stream_long_interim", f"WITH {_VAD}, x AS (SELECT session_id, frame_idx, row_number() OVER (PARTITION BY session_id, segment_no ORDER BY frame_idx) AS n FROM v WHERE is_speaking) SELECT session_id, frame_idx FROM x WHERE n % 38 = 0")
+def k6b(spark, sf_dir):
+    own = recording(spark, sf_dir).select("session_id", "frame_idx", "voiced")
+    return drained(own, "frame_idx", lambda s: P.stream_vad(s)).filter("interim_due").select("session_id", "frame_idx")
+
+
+@registry.add("i3b_recent_utterances", "SELECT role AS session_id, conv_id * 1000 + turn AS seq FROM conversations QUALIFY row_number() OVER (PARTITION BY role ORDER BY conv_id * 1000 + turn DESC) <= 50")
+def i3b(spark, sf_dir):
+    """All turns of a role as one session: its last 50."""
+    own = read(spark, sf_dir, "conversations").select(F.col("role").alias("session_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"))
+    return U.recent_utterances(own)

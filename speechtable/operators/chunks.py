@@ -52,10 +52,11 @@ def _carried(df: DataFrame, keys: list[str], order: str, size: int, qualifies: C
     return chunks.select(*keys, "_chunk", F.transform(before, lambda x: x["_row"]).alias("_halo")).filter(F.size("_halo") > 0)
 
 
-def in_chunks(df: DataFrame, operator: Callable[[DataFrame], DataFrame], looks_back: list[tuple[Column, int]], keys: list[str] | None = None, order: str = "frame_idx", size: int = SIZE) -> DataFrame:
+def in_chunks(df: DataFrame, operator: Callable[[DataFrame], DataFrame], looks_back: list[tuple[Column, int]], keys: list[str] | None = None, order: str = "frame_idx", size: int = SIZE, keep: bool = False) -> DataFrame:
     """operator(df), run on each chunk of `size` in `order` with the rows it looks back at: for each (qualifies, n), the last n
     qualifying rows before the chunk. Keys (session_id first) are those by which the operator partitions; they and `order`
-    must be in what it gives out, and each row it gives must belong to one of the rows it got.
+    must be in what it gives out, and each row it gives must belong to one of the rows it got. keep: session_id stays a struct
+    of session and chunk, so that what follows needs no other shuffle.
 
     A null key is a key like any other; rows without a place in order are a chunk of their own, the first.
     """
@@ -71,6 +72,8 @@ def in_chunks(df: DataFrame, operator: Callable[[DataFrame], DataFrame], looks_b
     session = F.struct(F.col("session_id").alias("session"), F.col("_chunk").alias("chunk"))
     others = [F.col(f"_row.{c}").alias(c) for c in df.columns if c != "session_id"]
     made = operator(rows.select(session.alias("session_id"), *others, "_is_halo"))
+    if keep:
+        return made.filter(~F.col("_is_halo")).drop("_is_halo")
     out = [F.col("session_id.session").alias("session_id") if c == "session_id" else F.col(c) for c in made.columns if c != "_is_halo"]
     return made.filter(~F.col("_is_halo")).select(*out)
 
@@ -96,9 +99,15 @@ def _since_start(vad: DataFrame, counted: Column, out: str, size: int) -> DataFr
 
 
 def vad_state(frames: DataFrame, min_silence: int = G.MIN_SILENCE, size: int = SIZE) -> DataFrame:
-    """The rows of segments.vad_state."""
-    own = in_chunks(frames, lambda d: G.vad_state(d, min_silence), [(F.col("voiced"), 1)], size=size)
-    return running_total(own.drop("segment_no"), F.col("segment_started"), "segment_no", size=size)
+    """The rows of segments.vad_state. Segments are counted in each chunk, and a chunk's count goes on from those before it."""
+    own = in_chunks(frames, lambda d: G.vad_state(d, min_silence), [(F.col("voiced"), 1)], size=size, keep=True).drop("segment_no")
+    started = F.col("segment_started").cast("long")
+    sums = own.groupBy("session_id").agg(F.sum(started).alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.partitionBy("session_id.session").orderBy("session_id.chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.sum(started).over(Window.partitionBy("session_id").orderBy("frame_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    met = _met(own.withColumn("_in", within), sums.select("session_id", before.alias("_base")), ["session_id"])
+    rest = [c for c in own.columns if c != "session_id"]
+    return met.select(F.col("session_id.session").alias("session_id"), *rest, (F.col("_in") + F.col("_base")).alias("segment_no"))
 
 
 def speech_duration(vad: DataFrame, size: int = SIZE) -> DataFrame:

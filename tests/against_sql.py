@@ -14,7 +14,8 @@ def sql_rows(sf_dir: str, sql: str) -> pd.DataFrame:
     db.execute("set timezone = 'UTC'")
     for t in TABLES:
         f = f"{sf_dir}/{t}.parquet"
-        db.execute(f"create view {t} as select * from '{f}{'/*.parquet' if os.path.isdir(f) else ''}'")
+        if os.path.exists(f):
+            db.execute(f"create view {t} as select * from '{f}{'/*.parquet' if os.path.isdir(f) else ''}'")
     return db.sql(sql).df()
 
 

@@ -158,7 +158,7 @@ _LEAF = " || ".join("coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
 _CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, x: list_reduce(list_prepend(xor(a, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))), 4294967295)"
 _UP = "SELECT lvl + 1, g, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (any_value(n) + 2) // 3 FROM {0} WHERE n > 1 GROUP BY lvl, g, idx // 3"
 SQL = f"""WITH RECURSIVE
-d AS MATERIALIZED (SELECT *, CASE WHEN coalesce({_CRC} % 2, 1) = 0 THEN replace(text, chr(10), '') ELSE text END AS other FROM documents),
+d AS MATERIALIZED (SELECT *, CASE WHEN doc_id IS NOT NULL AND {_CRC} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS other FROM documents),
 l AS MATERIALIZED (SELECT doc_id, source, sha256({_LEAF}) AS h, sha256({_LEAF.replace("text::", "other::")}) AS t FROM d),
 k AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM l),
 u(lvl, g, idx, h, n) AS (SELECT 0::BIGINT, g, idx, h, n FROM k UNION ALL {_UP.format("u")}),

@@ -54,9 +54,13 @@ def test_a_passage_that_many_items_and_documents_share(spark, set_limit):
         assert got[i].n_hit == (0 if not hit else words - 2 if i < 300 else words)
 
 
-def test_hot_keys_keep_all_rows(spark):
+@pytest.mark.parametrize("most", [0, 16_000_000])
+def test_hot_keys_keep_all_rows(spark, monkeypatch, most):
+    from speechtable.llm import common
     from speechtable.llm.common import with_key
 
+    monkeypatch.setattr(common, "HOT_BYTES", most)
+
     rows = spark.createDataFrame([(1 if k % 2 else k, k) for k in range(9000)] + [(None, -1)] * 2000, "key long, n_row long").repartition(5)
     own = spark.createDataFrame([(k, f"v{k}") for k in range(1, 6000)], "key long, value string")
     from pyspark.sql import functions as F

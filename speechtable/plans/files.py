@@ -53,7 +53,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add("a1b_stream_packets", "SELECT user_id AS session_id, event_id AS packet_seq, repeat('x', (2 + event_id % 3 * 2)::INT) AS payload FROM events WHERE event_id % 4 <> 1")
 def a1b(spark, sf_dir):
     """The log grows while no query runs, twice; each time the query goes on where it stopped."""
-    spark.dataSource.register(packets.PacketLog)
+    packets.register(spark)
     rows, top = messages(spark, sf_dir), scratch(spark, "packets")
     last = rows.agg(F.max("packet_seq")).first()[0]
     cuts = [-1, *(last * k // 3 for k in (1, 2)), last] if last is not None else []

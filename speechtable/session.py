@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
+from pyspark.sql.datasource import DataSource
 
 _SHIPPED: dict[str, str] = {}
 _LOCAL: list[str] = []
+_LOCK = threading.Lock()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,17 +50,25 @@ def remove(spark: SparkSession, path: str) -> None:
 def ship(spark: SparkSession) -> SparkSession:
     """Give this package to the Python workers of the session's executors, once per application (as --py-files does)."""
     app = spark.sparkContext.applicationId
-    if app not in _SHIPPED:
-        root = Path(__file__).resolve().parent
-        path = os.path.join(tempfile.mkdtemp(prefix="speechtable-"), "speechtable.zip")
-        with zipfile.ZipFile(path, "w") as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, str(p.relative_to(root.parent)))
-        spark.sparkContext.addPyFile(path)
-        _SHIPPED[app] = path
+    with _LOCK:
+        if app not in _SHIPPED:
+            root = Path(__file__).resolve().parent
+            path = os.path.join(tempfile.mkdtemp(prefix="speechtable-"), "speechtable.zip")
+            with zipfile.ZipFile(path, "w") as z:
+                for p in sorted(root.rglob("*.py")):
+                    z.write(p, str(p.relative_to(root.parent)))
+            spark.sparkContext.addPyFile(path)
+            _SHIPPED[app] = path
     return spark
 
 
+def register(spark: SparkSession, source: type[DataSource]) -> None:
+    """Make a Python data source known to the session, and the session the active one of this thread: formats in Python are
+    looked up in the active session alone, which only the thread that built the session has."""
+    spark.dataSource.register(source)
+    spark.createDataFrame([], "nothing int")  # makes it active
+
+
 def local_session(cores: str = "*", memory: str = "4g", partitions: int = 8, **conf: str) -> SparkSession:
     """A local session with the settings that the tests and the bench use."""
     builder = (

@@ -1,7 +1,7 @@
 """A log of packets as a stream: messages (session_id, packet_seq, payload or json) in segment files, with packet numbers as
 offsets.
 
-    spark.dataSource.register(PacketLog)
+    packets.register(spark)
     spark.readStream.format("packet_log").option("packets_per_trigger", 100_000).load(folder)
 
 A segment file is named by the first and last packet in it, so the newest offset and the segments of a trigger are known from
@@ -9,13 +9,16 @@ the folder's listing alone; a trigger takes the packets from one number up to an
 as it needs. A query that starts again goes on after the last packet that its checkpoint has. Packets of a number that is
 already past are never read: who writes the log numbers packets upwards.
 
-Writing takes such messages; each task writes one segment, so rows should come in ranges of packet_seq.
+Writing takes such messages; each task writes one segment, so rows should come in ranges of packet_seq. Segments get their
+names once all tasks are done, lower packets first, so a stream that reads meanwhile passes over none; what tasks that failed
+or ran twice have written has no name and is never read.
 """
 
 from __future__ import annotations
 
 import struct
 import sys
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +26,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from .. import session
 from .wav import _store
 
 SCHEMA = "session_id long, packet_seq long, payload binary, json string"
@@ -119,17 +123,30 @@ class PacketWriter(DataSourceWriter):
         self.folder = options["path"]
 
     def write(self, rows) -> WriterCommitMessage:
+        message = WriterCommitMessage()  # of Spark's own class, as the process that commits has no shipped files
         own = sorted(((r["packet_seq"], r["session_id"], r["payload"], r["json"]) for r in rows), key=lambda r: r[0])
-        if own:
-            store, root = _store(self.folder)
-            store.create_dir(root, recursive=True)
-            path = f"{root}/{own[0][0]:020d}-{own[-1][0]:020d}.packets"
-            with store.open_output_stream(f"{path}.part") as f:
-                for packet, session, payload, text in own:
-                    body = bytes(payload) if payload is not None else (text or "").encode()
-                    f.write(struct.pack(RECORD, session, packet, int(payload is None), len(body)) + body)
-            store.move(f"{path}.part", path)  # a reader sees whole segments
-        return WriterCommitMessage()
+        if not own:
+            return message
+        store, root = _store(self.folder)
+        store.create_dir(root, recursive=True)
+        path = f"{root}/{uuid.uuid4().hex}.part"
+        with store.open_output_stream(path) as f:
+            for packet, session_id, payload, text in own:
+                body = bytes(payload) if payload is not None else (text or "").encode()
+                f.write(struct.pack(RECORD, session_id, packet, int(payload is None), len(body)) + body)
+        message.segment = own[0][0], own[-1][0], path
+        return message
+
+    def commit(self, messages) -> None:
+        store, root = _store(self.folder)
+        for first, last, path in sorted(m.segment for m in messages if hasattr(m, "segment")):
+            store.move(path, f"{root}/{first:020d}-{last:020d}.packets")
+
+    def abort(self, messages) -> None:
+        store, _ = _store(self.folder)
+        for m in messages:
+            if hasattr(m, "segment"):  # none of a task that failed
+                store.delete_file(m.segment[2])
 
 
 class PacketLog(DataSource):
@@ -150,5 +167,10 @@ class PacketLog(DataSource):
         return PacketWriter(self.options)
 
 
+def register(spark) -> None:
+    """Make the format known to the session."""
+    session.register(spark, PacketLog)
+
+
 # planning runs in a Python process that has no shipped files
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
 
+from .. import session
+
 SCHEMA = "path string, rate int, start_s double, samples array<float>"
 BLOCK = 8_000_000
 
@@ -164,7 +166,7 @@ class WavFiles(DataSource):
 def register(spark) -> None:
     """Make the format known to the session, with the filters that it takes."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(WavFiles)
+    session.register(spark, WavFiles)
 
 
 # planning runs in a Python process that has no shipped files

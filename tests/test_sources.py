@@ -1,7 +1,9 @@
 """WAV files by ranges of bytes, and a packet log as a stream that starts again."""
 
 import io
+import os
 import struct
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -77,7 +79,7 @@ def test_written_files_come_back(spark, tmp_path):
 
 
 def test_a_stream_of_packets_starts_again(spark, tmp_path):
-    spark.dataSource.register(packets.PacketLog)
+    packets.register(spark)
     schema = packets.SCHEMA
     log, out, state = (str(tmp_path / k) for k in ("log", "out", "state"))
     rows = [(k % 3, k, bytes([k % 256] * (k % 5)) if k % 2 else None, None if k % 2 else f'{{"n":{k}}}') for k in range(0, 900, 3)]
@@ -93,6 +95,37 @@ def test_a_stream_of_packets_starts_again(spark, tmp_path):
     assert spark.read.format("packet_log").load(log).count() == 300
 
 
+def test_segments_appear_in_order_once_all_are_written(tmp_path, monkeypatch):
+    writer = packets.PacketWriter({"path": str(tmp_path)})
+    rows = [{"session_id": 1, "packet_seq": k, "payload": b"x", "json": None} for k in range(30)]
+    first, again, second, none = (writer.write(iter(x)) for x in (rows[:10], rows[:10], rows[10:], []))
+    assert not hasattr(none, "segment") and packets.segments(str(tmp_path)) == []
+    writer.abort([again, None])
+    seen, own = [], packets._store
+
+    class Watched:
+        def move(self, a: str, b: str) -> None:
+            os.rename(a, b)
+            seen.append(sorted(x.name for x in tmp_path.glob("*.packets")))
+
+    monkeypatch.setattr(packets, "_store", lambda path: (Watched(), str(tmp_path)))
+    writer.commit([second, none, first])
+    monkeypatch.setattr(packets, "_store", own)
+    low, high = f"{0:020d}-{9:020d}.packets", f"{10:020d}-{29:020d}.packets"
+    assert seen == [[low], [low, high]] and len(list(tmp_path.iterdir())) == 2
+    assert [x[:2] for x in packets.segments(str(tmp_path))] == [(0, 9), (10, 29)]
+
+
+def test_formats_are_found_from_any_thread(spark, tmp_path):
+    def write(k: int) -> int:
+        wav.register(spark)
+        spark.createDataFrame([(f"f{k}", 500, [0.5] * k)], "name string, rate int, samples array<float>").write.format("wav").mode("append").save(f"{tmp_path}/{k}")
+        return spark.read.format("wav").load(f"{tmp_path}/{k}").select(F.sum(F.size("samples"))).first()[0]
+
+    with ThreadPoolExecutor(3) as threads:
+        assert list(threads.map(write, (1, 2, 3))) == [1, 2, 3]
+
+
 def test_triggers_take_so_many_packets(tmp_path):
     reader = packets.PacketStream({"path": str(tmp_path / "none"), "packets_per_trigger": "10"})
     assert reader.latestOffset() == {"packet": 0}

@@ -48,6 +48,17 @@ def test_rules_spread_to_urls_that_they_do_not_decide(spark, sf_dir):
     assert ((model.block_score >= 0.5) == (model.verdict == "block")).all()
 
 
+def test_verdicts_of_the_rules_on_hosts_left_out(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir.replace('0.001', '0.1')}/pages.parquet").select("page_id", "url")
+    full = urls.with_rules(urls.split(pages)).select("url", "host", "path", (F.col("rule_verdict") == "block").cast("int").alias("blocked")).filter("blocked is not null")
+    said = []
+    for k in range(5):
+        mine = F.pmod(F.xxhash64(F.lit("left out"), F.col("host")), F.lit(5)) == k
+        said.append(urls.fit(full.filter(~mine)).score(full.filter(mine)).select("blocked", (F.col("block_score") >= 0.5).alias("said")).toPandas())
+    rate = {b: sum(x.said[x.blocked == b].sum() for x in said) / sum((x.blocked == b).sum() for x in said) for b in (0, 1)}
+    assert rate[1] >= 0.7 and rate[0] <= 0.02, rate
+
+
 def test_sample_is_bounded_and_weighted(spark, monkeypatch):
     rows = made(4000, 3)
     rows += [(i, "http://hot-1.biz/a/1?b=2&c=3", 1) for i in range(4000, 6000)]  # a third of all rows is one url

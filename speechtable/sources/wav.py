@@ -4,8 +4,10 @@
     spark.read.format("wav").option("start_s", 20).option("end_s", 40).load(folder)
 
 Rows are (path, rate, start_s, samples): 16-bit samples as floats, the mean of the channels, in pieces of at most `block` bytes
-of a file. Partitions are planned from the folder's listing alone; a task reads a file's header and then only the bytes of its
-piece that lie in the crop. Filters on path (equal, in) leave out whole files before anything is read; `rate` asks each file for
+of a file. Partitions are planned from the folder's listing alone: a long file is cut into pieces, and pieces and short files
+are packed into partitions of about `packed` bytes, a file counting as OPEN bytes more, so that millions of short clips aren't
+millions of tasks. A task opens each of its files once, reads the header and then only the bytes of its pieces that lie in the
+crop, a piece at a time. Filters on path (equal, in) leave out whole files before anything is read; `rate` asks each file for
 its rate, which is an error otherwise (option `strict` false: other files are left out). Files lie in any store that
 Arrow's file systems know, by the path's scheme.
 
@@ -18,6 +20,8 @@ import struct
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from .. import session
 
 SCHEMA = "path string, rate int, start_s double, samples array<float>"
-BLOCK = 8_000_000
+#: bytes of a piece and of a partition, and what opening a file counts as
+BLOCK, PACKED, OPEN = 8_000_000, 64_000_000, 1_000_000
 
 
 def _store(path: str):
@@ -36,8 +41,7 @@ def _store(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-@dataclass
-class Piece(InputPartition):
+class Piece(NamedTuple):
     """Bytes [begin, end) of a file's audio."""
 
     path: str
@@ -45,6 +49,13 @@ class Piece(InputPartition):
     end: int
 
 
+@dataclass
+class Pieces(InputPartition):
+    """Those of one task, file by file."""
+
+    pieces: list[Piece]
+
+
 @dataclass
 class Header:
     rate: int
@@ -96,6 +107,7 @@ class WavReader(DataSourceReader):
         self.folder = options["path"]
         self.start, self.end = float(options.get("start_s", 0)), float(options["end_s"]) if "end_s" in options else None
         self.block, self.rate = int(options.get("block", BLOCK)), int(options["rate"]) if "rate" in options else None
+        self.packed = int(options.get("packed", PACKED))
         self.strict = options.get("strict", "true").lower() == "true"
         self.paths: set[str] | None = None
 
@@ -107,30 +119,43 @@ class WavReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Piece]:
+    def partitions(self) -> list[Pieces]:
         from pyarrow import fs
 
         store, root = _store(self.folder)
         info = store.get_file_info(root)
         files = [info] if info.is_file else store.get_file_info(fs.FileSelector(root, recursive=True))
         files = sorted((f.path, f.size) for f in files if f.is_file and f.path.endswith(".wav") and (self.paths is None or f.path in self.paths))
-        return [Piece(p, a, a + self.block) for p, size in files for a in range(0, size, self.block)]  # a header's bytes too many
-
-    def read(self, part: Piece) -> Iterator[pa.RecordBatch]:
+        out: list[Pieces] = []
+        room = 0
+        for path, size in files:
+            for a in range(0, size, self.block):  # a header's bytes too many
+                opened = bool(out) and out[-1].pieces[-1].path == path
+                needed = min(self.block, size - a)
+                if not out or needed + (0 if opened else OPEN) > room:
+                    out.append(Pieces([]))
+                    room, opened = self.packed, False
+                room -= needed + (0 if opened else OPEN)
+                out[-1].pieces.append(Piece(path, a, a + self.block))
+        return out
+
+    def read(self, part: Pieces) -> Iterator[pa.RecordBatch]:
         store, _ = _store(self.folder)
-        with store.open_input_file(part.path) as f:
-            try:
-                h = header(f)
-            except ValueError as e:
-                raise ValueError(f"{part.path}: {e}") from e
-            if self.rate and h.rate != self.rate:
-                if self.strict:
-                    raise ValueError(f"{part.path}: {h.rate} Hz in place of {self.rate}")
-                return
-            first, x = piece(f, h, part.begin, part.end, self.start, self.end)
-        if len(x):
-            samples = pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))
-            yield pa.RecordBatch.from_arrays([pa.array([part.path]), pa.array([h.rate], pa.int32()), pa.array([first / h.rate]), samples], names=["path", "rate", "start_s", "samples"])
+        for path, own in groupby(part.pieces, lambda p: p.path):
+            with store.open_input_file(path) as f:
+                try:
+                    h = header(f)
+                except ValueError as e:
+                    raise ValueError(f"{path}: {e}") from e
+                if self.rate and h.rate != self.rate:
+                    if self.strict:
+                        raise ValueError(f"{path}: {h.rate} Hz in place of {self.rate}")
+                    continue
+                for _, begin, end in own:
+                    first, x = piece(f, h, begin, end, self.start, self.end)
+                    if len(x):
+                        samples = pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x))
+                        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([h.rate], pa.int32()), pa.array([first / h.rate]), samples], names=["path", "rate", "start_s", "samples"])
 
 
 class WavWriter(DataSourceWriter):

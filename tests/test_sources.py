@@ -67,7 +67,24 @@ def test_a_path_filter_leaves_files_out_of_the_plan(tmp_path):
     reader = wav.WavReader({"path": str(tmp_path), "block": "500"})
     left = list(reader.pushFilters([In(("path",), (str(tmp_path / "1.wav"), str(tmp_path / "3.wav"))), EqualTo(("path",), str(tmp_path / "3.wav")), GreaterThan(("start_s",), 0.0)]))
     assert [type(f) for f in left] == [GreaterThan]
-    assert {p.path for p in reader.partitions()} == {str(tmp_path / "3.wav")} and len(reader.partitions()) == 5
+    pieces = [x for p in reader.partitions() for x in p.pieces]
+    assert {x.path for x in pieces} == {str(tmp_path / "3.wav")} and len(pieces) == 5
+
+
+def test_short_files_share_a_task_and_long_ones_are_cut(tmp_path):
+    for k in range(7):
+        (tmp_path / f"{k}.wav").write_bytes(made(range(500)))
+    (tmp_path / "long.wav").write_bytes(made(range(30_000)))
+    for packed, most in ((3 * (wav.OPEN + 1044), 3), (1, 1)):
+        parts = wav.WavReader({"path": str(tmp_path), "block": "20000", "packed": str(packed)}).partitions()
+        assert max(len({x.path for x in p.pieces}) for p in parts) == most
+        pieces = [x for p in parts for x in p.pieces]
+        assert [x.begin for x in pieces if x.path.endswith("long.wav")] == [0, 20_000, 40_000, 60_000]
+        assert len(pieces) == len(set(pieces)) == 11
+    reader = wav.WavReader({"path": str(tmp_path), "block": "20000", "end_s": "0.03"})
+    assert len(reader.partitions()) == 1
+    got = [(b.column(0)[0].as_py(), len(b.column(3)[0])) for p in reader.partitions() for b in reader.read(p)]
+    assert got == [*((str(tmp_path / f"{k}.wav"), 480) for k in range(7)), (str(tmp_path / "long.wav"), 480)]
 
 
 def test_written_files_come_back(spark, tmp_path):

@@ -25,8 +25,17 @@ def mean_square(samples: Column) -> Column:
     return F.aggregate(samples, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")) / F.size(samples)
 
 
+def _db(ms: Column) -> Column:
+    return 20 * F.log10(F.sqrt(ms + 1e-12) + 1e-12)
+
+
 def frame_energy_db(samples: Column) -> Column:
-    return 20 * F.log10(F.sqrt(mean_square(samples) + 1e-12) + 1e-12)
+    return _db(mean_square(samples))
+
+
+def rms_db(ms: Column) -> Column:
+    """segment_rms_db by the mean square, which is null without samples."""
+    return F.when(ms.isNull(), -100.0).otherwise(_db(ms))
 
 
 def segment_rms_db(samples: Column) -> Column:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import kernels as K
 from ..operators import acoustics as A
 from ..operators import exports as X
 from ..operators import frames as FR
@@ -431,24 +435,43 @@ def g5(spark, sf_dir):
 
 
 # -- signal kernels: no SQL gives these ----------------------------------------------------------------------------
+CLIP = 9600
+
+
+def _clip(kind: str | None, user: float, n: int, seed: int) -> np.ndarray:
+    """Samples of one clip. Each number is computed as Spark's expressions would."""
+    i = np.arange(CLIP)
+    sine = lambda amp, hz: amp * np.sin(2 * 3.141592653589793 * hz * i / 16000.0)
+    noise = lambda: (K.xxhash64_ints(i, seed) % 2001 - 1000) / 1000.0
+    if kind == "view":
+        x = sine(0.25, 130 + user * 9) + 0.2 * noise()
+    elif kind == "purchase":
+        x = np.where(i % (84 + user) == 0, 0.6, 0.0) + 0.08 * noise()
+    elif kind == "signup":
+        x = np.where(i % (110 + user) == 0, 0.6, 0.0)
+    elif kind == "error":
+        x = np.where(i < 7200, sine(0.02, 110), sine(0.5, 200 + user))
+    else:
+        x = sine(0.25, 110 + user * 12 + (n % 9 - 4) * 20 * i / 16000.0)
+    return x.astype(np.float32)
+
+
+def _clips_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):  # rows become 38 KB each
+            own = batch.slice(at, 256)
+            made = [_clip(k, np.nan if u is None else u, n, s) for k, u, n, s in zip(*(own.column(c).to_pylist() for c in ("event_type", "user", "n", "seed")))]
+            samples = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1) * CLIP, pa.int32()), pa.array(np.concatenate(made)))
+            yield pa.RecordBatch.from_arrays([own.column("clip_id"), samples], names=["clip_id", "samples"])
+
+
 def clips(spark, sf_dir):
     """Clips of 0.6 s, one a distinct (user, event type): gliding tones, tones in noise, pulses of a high and of a low voice,
-    and quiet tones that end in a loud high one."""
+    and quiet tones that end in a loud high one. Rows are dealt out before they get samples: a thousand of them are few bytes
+    till then, and would be one task."""
     e = read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    user, n = F.col("user_id") % 10, F.col("n")
-    sine = lambda amp, hz, i: amp * F.sin(2 * 3.141592653589793 * hz * i / 16000.0)
-    noise = lambda i: (F.pmod(F.xxhash64("user_id", i), F.lit(2001)) - 1000) / 1000.0
-    glide = lambda i: sine(0.25, 110 + user * 12 + (n % 9 - 4) * 20 * i / 16000.0, i)
-    kinds = {
-        "click": glide,
-        "view": lambda i: sine(0.25, 130 + user * 9, i) + 0.2 * noise(i),
-        "purchase": lambda i: F.when(i % (84 + user) == 0, 0.6).otherwise(0.0) + 0.08 * noise(i),
-        "signup": lambda i: F.when(i % (110 + user) == 0, 0.6).otherwise(0.0),
-        "error": lambda i: F.when(i < 7200, sine(0.02, 110, i)).otherwise(sine(0.5, 200 + user, i)),
-    }
-    t = F.sequence(F.lit(0), F.lit(9599))
-    x = reduce(lambda a, k: a.when(F.col("event_type") == k, F.transform(t, lambda i: kinds[k](i).cast("float"))), kinds, F).otherwise(F.transform(t, lambda i: glide(i).cast("float")))
-    return e.select(F.concat_ws("-", "user_id", "event_type").alias("clip_id"), x.alias("samples"))
+    e = e.select(F.concat_ws("-", "user_id", "event_type").alias("clip_id"), "event_type", (F.col("user_id") % 10).alias("user"), "n", F.xxhash64("user_id").alias("seed"))
+    return e.repartition(4 * spark.sparkContext.defaultParallelism, "clip_id").mapInArrow(_clips_of, "clip_id string, samples array<float>")
 
 
 @registry.add("g1_f0_contour")
@@ -479,13 +502,13 @@ def f2(spark, sf_dir):
 @registry.add("b6_condition_audio")
 def b6(spark, sf_dir):
     made = FR.condition_audio(clips(spark, sf_dir))
-    return made.select("clip_id", C.segment_rms_db(F.col("samples")).alias("rms_db"))
+    return made.select("clip_id", FR.clip_rms_db("samples").alias("rms_db"))
 
 
 @registry.add("b10_make_noise")
 def b10(spark, sf_dir):
-    made = FR.add_noise(clips(spark, sf_dir), [("white", 10.0), ("pink", 10.0), ("fan", 10.0), ("babble", 5.0)])
-    return made.select("clip_id", "kind", "snr_db", C.segment_rms_db(F.col("samples")).alias("rms_db"))
+    made = FR.add_noise(clips(spark, sf_dir), [("white", 10.0), ("pink", 10.0), ("fan", 10.0), ("babble", 5.0)], give=("mean_square",))
+    return made.select("clip_id", "kind", "snr_db", C.rms_db(F.col("mean_square")).alias("rms_db"))
 
 
 @registry.add("a14_encode_pcm16")

@@ -6,8 +6,10 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from speechtable import catalog
+from speechtable.functions import columns as C
 from speechtable.functions import kernels as K
 from speechtable.plans import signals
 
@@ -184,3 +186,25 @@ def test_query_mixes_each_noise_at_its_level(spark, sf_dir):
     for r in seeds:
         y = K.mix(clips[r.clip_id], r.kind, r.snr_db, RATE, r.seed)
         assert made[r.clip_id, r.kind].rms_db == pytest.approx(20 * math.log10(math.sqrt(float((y * y).mean()) + 1e-12) + 1e-12), abs=1e-6)
+
+
+def test_sums_and_hashes_as_spark_has_them(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal(9600)
+    df = spark.createDataFrame([(7, x.tolist())], "u long, x array<double>")
+    got = df.select(C.mean_square(F.col("x")).alias("ms"), F.transform(F.sequence(F.lit(0), F.lit(999)), lambda i: F.xxhash64("u", i)).alias("h"), F.xxhash64("u").alias("seed")).first()
+    assert K.mean_square(x) == got.ms  # to the last bit
+    assert K.xxhash64_ints(np.arange(1000), got.seed).tolist() == got.h
+
+
+def test_few_clips_are_many_tasks(spark, sf_dir):
+    made = signals.clips(spark, sf_dir)
+    used = made.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert used > spark.sparkContext.defaultParallelism  # one task made all of them
+
+
+def test_noise_leaves_python_in_small_pieces(spark):
+    clips = spark.range(300).select(F.col("id").alias("clip_id"), F.array_repeat(F.lit(0.25), 400).alias("samples")).coalesce(1)
+    rows = signals.FR.add_noise(clips, [("white", 10.0), ("babble", 5.0)], RATE, ("samples", "mean_square")).collect()
+    assert len(rows) == 600 and len({(r.clip_id, r.kind, r.snr_db) for r in rows}) == 600
+    assert all(K.mean_square(np.array(r.samples)) == r.mean_square for r in rows[::50])

@@ -6,7 +6,7 @@ tested in the encoding that it looks like (decimal, hex, base32, letters and dig
 
 * Likelihood ratio of a uniform alphabet against the corpus's own way of writing: how classes of characters (upper, lower,
   digit, symbol) follow one another, and which letter follows which, whatever their case. Both are
-  counted over all runs of token characters in the documents that hold a long one. For a token that is written that way the
+  counted over all runs of token characters of all documents. For a token that is written that way the
   chance of a ratio of R or more is at most 1/R, its p-value; a single random token of 20 characters has a tiny one.
 * A battery against the opposite claim, that the token is random: chi-squared of its character counts, Wald-Wolfowitz runs
   above and below the middle of the alphabet, and the serial correlation of neighbouring characters. The three are combined
@@ -136,8 +136,8 @@ def surprise(pairs: dict[tuple[str, str], int]) -> list[float]:
 
 
 def written_way(docs: DataFrame) -> list[float]:
-    """surprise() of the documents that hold a long token."""
-    runs = docs.filter(F.col("text").rlike(CANDIDATE)).select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z0-9+/_-]{2,})"), 1)).alias("run"))
+    """surprise() of all documents. Runs are cut into pairs where they lie; only counts are shuffled."""
+    runs = docs.select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z0-9+/_-]{2,})"), 1)).alias("run"))
     counts = runs.select(F.explode(let(F.split("run", ""), _pairs)).alias("p")).groupBy("p.x", "p.y").count()
     return surprise({(r["x"], r["y"]): r["count"] for r in counts.collect()})  # at most 66 x 66
 

@@ -1,6 +1,7 @@
 """Secret scans: recall a length and encoding, and the share of false discoveries."""
 
 import random
+import re
 import string
 import time
 
@@ -80,3 +81,14 @@ def test_sums_before_each_length(spark, monkeypatch, sizes):
         monkeypatch.setattr(secrets, "BLOCK", block)
         got = spark.createDataFrame([(sizes,)], "v array<int>").select(secrets._before(F.col("v")).alias("x")).first()["x"]
         assert got == [sum(sizes[:i]) for i in range(len(sizes))]
+
+
+def test_the_way_of_writing_is_that_of_all_documents(spark):
+    texts = ["zq zq plain words", None, "", "see get_user_account_value_from_table here", "a b"]
+    df = spark.createDataFrame([(i, t, None, "s", 0) for i, t in enumerate(texts)], DOCS)
+    pairs = {}
+    for t in texts:
+        for run in re.findall(r"[A-Za-z0-9+/_-]{2,}", t or ""):
+            for p in zip(run, run[1:]):
+                pairs[p] = pairs.get(p, 0) + 1
+    assert secrets.written_way(df) == pytest.approx(secrets.surprise(pairs))  # texts without a long token were left out

@@ -25,36 +25,71 @@ from ..operators.segments import MIN_SILENCE
 from ..operators.speakers import THRESHOLD
 
 
+#: rows of a session that are worked on and given out at once
+BLOCK = 100_000
+
+
+def _sorted_columns(rows: Iterator[pd.DataFrame], order: str) -> dict[str, np.ndarray]:
+    """All rows of a session in a trigger, column by column. A table of its own for each session would take longer than the
+    work on it."""
+    parts = [{c: p[c].to_numpy() for c in p.columns} for p in rows]
+    whole = {c: np.concatenate([p.pop(c) for p in parts]) if len(parts) > 1 else parts[0].pop(c) for c in list(parts[0])}
+    at = np.argsort(whole[order], kind="stable")
+    return {c: whole.pop(c)[at] for c in list(whole)}
+
+
+def _median(values: list[float]) -> float:
+    own, n = sorted(values), len(values)
+    return (own[(n - 1) // 2] + own[n // 2]) / 2
+
+
 class _State(StatefulProcessor):
     """A processor whose state is one row of numbers and lists."""
 
     schema = ""
     start: tuple = ()
     order = "frame_idx"
+    columns: tuple[str, ...] = ()
     ttl_ms: int | None = None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._held = handle.getValueState("held", self.schema, self.ttl_ms) if self.ttl_ms else handle.getValueState("held", self.schema)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable", ignore_index=True)
+        own = _sorted_columns(rows, self.order)
+        n = len(own[self.order])
         state = tuple(self._held.get()) if self._held.exists() else self.start
-        ended, begin = False, 0
-        says = pdf.pop("control")
-        for at in [*np.flatnonzero(says.isin(["start", "end"])), len(pdf)]:
+        ended, begin, held, made = False, 0, 0, []
+        says = own.pop("control")
+        marks = np.flatnonzero((says == "start") | (says == "end")).tolist()
+        for at in sorted({*marks, *range(BLOCK, n, BLOCK), n}):
             if at > begin:
-                state, out = self.step(key[0], list(state), pdf.iloc[begin:at])
-                ended = False
-                yield out
-            if at < len(pdf):
+                state, out = self.step(key[0], list(state), {c: v[begin:at] for c, v in own.items()})
+                made.append(out)
+                held += at - begin
+                ended, begin = False, at
+            if at < n and says[at] in ("start", "end"):
                 ended = says[at] == "end"
                 state, begin = self.start, at + int(ended)
+            if held >= BLOCK:
+                yield self.table(key[0], made)
+                held, made = 0, []
+        if made:
+            yield self.table(key[0], made)
         if ended:
             self._held.clear()
         else:
             self._held.update(tuple(state))
 
-    def step(self, session, state: list, pdf: pd.DataFrame):
+    def table(self, session, made: list) -> pd.DataFrame:
+        """What several steps gave, as one table."""
+        if self.columns:
+            return pd.DataFrame([(session, *r) for m in made for r in m], columns=["session_id", *self.columns])
+        whole = made[0] if len(made) == 1 else {c: np.concatenate([m[c] for m in made]) for c in made[0]}
+        return pd.DataFrame({"session_id": session, **whole})
+
+    def step(self, session, state: list, own: dict[str, np.ndarray]):
+        """The state and what it was given of a session, sorted, column by column -> the state, and columns, or tuples where `columns` names theirs."""
         raise NotImplementedError
 
     def close(self) -> None:
@@ -70,20 +105,21 @@ class Vad(_State):
     def __init__(self, min_silence: int = MIN_SILENCE, every: int = 38) -> None:
         self.min_silence, self.every = min_silence, every
 
-    def step(self, session, state, pdf):
+    def step(self, session, state, own):
         last, collected, segment = state
-        out = []
-        for i, voiced in pdf[["frame_idx", "voiced"]].itertuples(index=False):
-            started = bool(voiced) and (last < 0 or i - last > self.min_silence)
-            if started:
-                segment, collected = segment + 1, 0
-            if voiced:
-                last = i
-            speaking = last >= 0 and i - last < self.min_silence
-            ended = last >= 0 and i - last == self.min_silence
-            collected += speaking
-            out.append((session, i, speaking, started, ended, segment, bool(speaking and collected % self.every == 0)))
-        return (int(last), int(collected), int(segment)), pd.DataFrame(out, columns=["session_id", "frame_idx", "is_speaking", "segment_started", "segment_ended", "segment_no", "interim_due"])
+        i, voiced = own["frame_idx"], own["voiced"] == True  # noqa: E712 (null is not)
+        row = np.arange(len(i))
+        latest = np.maximum.accumulate(np.where(voiced, row, -1))  # row of the last voiced frame
+        upto = np.where(latest >= 0, i[latest], last)
+        before = np.concatenate(([last], upto[:-1]))
+        started = voiced & ((before < 0) | (i - before > self.min_silence))
+        speaking = (upto >= 0) & (i - upto < self.min_silence)
+        begun = np.maximum.accumulate(np.where(started, row, -1))
+        counted = np.cumsum(speaking)
+        counted = np.where(begun >= 0, counted - counted[begun] + speaking[begun], counted + collected)
+        segments = segment + np.cumsum(started)
+        out = {"frame_idx": i, "is_speaking": speaking, "segment_started": started, "segment_ended": (upto >= 0) & (i - upto == self.min_silence), "segment_no": segments, "interim_due": speaking & (counted % self.every == 0)}
+        return (int(upto[-1]), int(counted[-1]), int(segments[-1])), out
 
 
 VAD = "session_id long, frame_idx long, is_speaking boolean, segment_started boolean, segment_ended boolean, segment_no long, interim_due boolean"
@@ -95,33 +131,34 @@ class Live(_State):
 
     schema = "pitches array<double>, levels array<double>, seen int, power double, known array<double>"
     start = ([], [], 0, 0.0, [])
+    columns = ("frame_idx", "pitch_direction", "pitch_change", "relative_level_db", "emphasis_candidate")
 
     def __init__(self, n_pitch: int = 12, n_level: int = 30, least: int = 4, width: int = 1) -> None:
         self.n_pitch, self.n_level, self.least, self.width = n_pitch, n_level, least, width
 
-    def step(self, session, state, pdf):
+    def step(self, session, state, own):
         pitches, levels, seen, power, known = list(state[0]), list(state[1]), state[2], state[3], list(state[4])
         out = []
-        for i, voiced, pitch, level in pdf[["frame_idx", "voiced", "pitch_hz", "level_dbfs"]].itertuples(index=False):
-            pitch = None if pd.isna(pitch) else float(pitch)
+        for i, voiced, pitch, level in zip(*(own[c].tolist() for c in ("frame_idx", "voiced", "pitch_hz", "level_dbfs"))):
+            pitch = None if pitch is None or pitch != pitch else float(pitch)
             if self.width > 1:
                 seen, power = seen + 1, power + 10 ** (level / 10)
                 known = known if pitch is None else [*known, pitch]
                 if seen < self.width:
                     continue
                 level = 10 * float(np.log10(max(power / seen, 1e-12)))
-                pitch = float(np.median(known)) if voiced and known else None
+                pitch = _median(known) if voiced and known else None
                 seen, power, known = 0, 0.0, []
-            before = float(np.median(pitches)) if pitches else None
+            before = _median(pitches) if pitches else None
             change = 12 * float(np.log2(pitch / before)) if pitch is not None and before else None
             direction = "unavailable" if pitch is None else "steady" if change is None or abs(change) < 1.2 else "rising" if change > 0 else "falling"
-            relative = float(level - np.median(levels)) if voiced and len(levels) >= self.least else None
-            out.append((session, i, direction, change, relative, bool(voiced and relative is not None and change is not None and relative >= 6 and abs(change) >= 1.5)))
+            relative = float(level - _median(levels)) if voiced and len(levels) >= self.least else None
+            out.append((i, direction, change, relative, bool(voiced and relative is not None and change is not None and relative >= 6 and abs(change) >= 1.5)))
             if pitch is not None:
                 pitches = [*pitches, pitch][-self.n_pitch :]
             if voiced and level > -55:
                 levels = [*levels, float(level)][-self.n_level :]
-        return (pitches, levels, int(seen), float(power), known), pd.DataFrame(out, columns=["session_id", "frame_idx", "pitch_direction", "pitch_change", "relative_level_db", "emphasis_candidate"])
+        return (pitches, levels, int(seen), float(power), known), out
 
 
 LIVE = "session_id long, frame_idx long, pitch_direction string, pitch_change double, relative_level_db double, emphasis_candidate boolean"
@@ -133,11 +170,12 @@ class Speakers(_State):
     order = "seq"
     schema = "centroids array<double>, counts array<long>, ends array<double>, speakers array<long>"
     start = ([], [], [], [])
+    columns = ("seq", "speaker_no", "similarity", "confidence", "overlapping")
 
     def __init__(self, threshold: float = THRESHOLD, lookback: int = 5, slack_s: float = 0.2) -> None:
         self.threshold, self.lookback, self.slack_s = threshold, lookback, slack_s
 
-    def step(self, session, state, pdf):
+    def step(self, session, state, own):
         from speechtable.operators.diarizers import Greedy
 
         diarizer = Greedy(self.threshold)
@@ -146,14 +184,14 @@ class Speakers(_State):
             diarizer.load({i: (c, n) for i, (c, n) in enumerate(zip(np.asarray(state[0], float).reshape(len(counts), -1), counts), 1)})
         ends, speakers = list(state[2]), [int(x) for x in state[3]]
         out = []
-        for r in pdf.itertuples(index=False):
+        for r in pd.DataFrame(own).itertuples(index=False):
             no, similarity, confidence = diarizer.diarize_segment(r)
             over = sorted({s for e, s in zip(ends, speakers) if r.start_time < e - self.slack_s and s != no})
-            out.append((session, r.seq, no, similarity, confidence, over))
+            out.append((r.seq, no, similarity, confidence, over))
             ends, speakers = [*ends, float(r.end_time)][-self.lookback :], [*speakers, no][-self.lookback :]
         known = [diarizer.speakers[i] for i in sorted(diarizer.speakers)]
         flat = np.concatenate([c for c, _ in known]).tolist() if known else []
-        return (flat, [n for _, n in known], ends, speakers), pd.DataFrame(out, columns=["session_id", "seq", "speaker_no", "similarity", "confidence", "overlapping"])
+        return (flat, [n for _, n in known], ends, speakers), out
 
 
 SPEAKERS = "session_id long, seq long, speaker_no int, similarity double, confidence double, overlapping array<int>"

@@ -4,6 +4,7 @@ import time
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,3 +147,39 @@ def test_ended_sessions_leave_no_state(spark, sf_dir, tmp_path):
     ended = {r.session_id for r in spark.read.parquet(f"{top}/out").collect()}
     held = {r[0] for r in spark.read.format("statestore").option("stateVarName", "held").load(f"{top}/state").select("key.session_id").collect()}
     assert ended and held and not ended & held and ended | held == {r[0] for r in rows.select("session_id").distinct().collect()}
+
+
+def test_vad_in_blocks_agrees_with_a_walk_over_frames(monkeypatch):
+    from speechtable.streaming import processors as P
+
+    class Held:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    rng = np.random.default_rng(4)
+    voiced = rng.random(3000) < 0.2
+    last, collected, segment, due = -1, 0, 0, []
+    for i, v in enumerate(voiced.tolist()):
+        started = v and (last < 0 or i - last > 3)
+        segment, collected = (segment + 1, 0) if started else (segment, collected)
+        last = i if v else last
+        speaking = last >= 0 and i - last < 3
+        collected += speaking
+        due.append((i, speaking, started, last >= 0 and i - last == 3, segment, speaking and collected % 4 == 0))
+    monkeypatch.setattr(P, "BLOCK", 70)
+    vad, got, sizes = P.Vad(3, 4), [], []
+    vad._held = Held()
+    for a, b in ((0, 900), (900, 901), (901, 3000)):
+        own = pd.DataFrame({"frame_idx": np.arange(a, b), "voiced": voiced[a:b], "control": [None] * (b - a)}).sample(frac=1, random_state=1)
+        for t in vad.handleInputRows((7,), iter([own[: len(own) // 2], own[len(own) // 2 :]]), None):
+            sizes.append(len(t))
+            got += list(t.drop(columns="session_id").itertuples(index=False, name=None))
+    assert got == due and max(sizes) <= 2 * 70  # a trigger's rows left in one table

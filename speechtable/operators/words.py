@@ -6,11 +6,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 
+#: segments that are Python objects at once
+ROWS = 64
 WORD = "struct<word:string,start:double,end:double,probability:double>"
 
 
@@ -97,18 +100,26 @@ def partition_turns(segments: DataFrame, embed_fn: Callable | None, threshold: f
             words = [w | {"start": max(0.0, w["start"] - t), "end": max(0.0, w["end"] - t)} for w in words[i + 1 :]]
             x, start = x[at:], start + t
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples():
-                words = [dict(w) for w in (r.words if r.words is not None else [])]
-                turns = pieces(np.asarray(r.samples, np.float32), words, r.start_time, r.end_time)
-                for k, (a, b, own) in enumerate(turns):
-                    text = " ".join(w["word"].strip() for w in own).strip() if len(turns) > 1 or own else r.text
-                    out.append((r.session_id, r.segment_id, k, a, b, text, own))
-            yield pd.DataFrame(out, columns=["session_id", "segment_id", "turn_idx", "start_time", "end_time", "text", "words"])
-
-    return segments.select("session_id", "segment_id", "start_time", "end_time", "text", "samples", "words").mapInPandas(run, TURN)
+    names = ["session_id", "segment_id", "turn_idx", "start_time", "end_time", "text", "words"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.string(), pa.list_(pa.struct([("word", pa.string()), ("start", pa.float64()), ("end", pa.float64()), ("probability", pa.float64())]))]
+
+    def turned(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        ids = (batch.column(c).to_pylist() for c in ("session_id", "segment_id", "start_time", "end_time", "text", "words"))
+        for session, segment, start, end, text, words, samples in zip(*ids, batch.column("samples")):
+            x = np.asarray(samples.values, np.float32) if samples.is_valid else np.zeros(0, np.float32)
+            turns = pieces(x, words or [], start, end)
+            for k, (a, b, own) in enumerate(turns):
+                said = " ".join(w["word"].strip() for w in own).strip() if len(turns) > 1 or own else text
+                out.append((session, segment, k, a, b, said, own))
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):  # as Python objects, words are many times their bytes
+                yield turned(batch.slice(at, ROWS))
+
+    return segments.select("session_id", "segment_id", "start_time", "end_time", "text", "samples", "words").mapInArrow(run, TURN)
 
 
 def turn_text(words):

@@ -370,3 +370,11 @@ def test_intermediate_tables_are_cleaned_up(spark):
     clean(spark)
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
+
+
+def test_turns_leave_python_in_small_pieces(spark):
+    words = F.array_repeat(F.expr(f"cast(named_struct('word', 'a', 'start', 0.0, 'end', 0.1, 'probability', 1.0) as {W.WORD})"), 3)
+    rows = spark.range(300).coalesce(1).select(F.col("id").alias("session_id"), F.col("id").alias("segment_id"), F.lit(0.0).alias("start_time"), F.lit(1.0).alias("end_time"), F.lit("t").alias("text"), F.when(F.col("id") != 7, F.array(F.lit(0.5))).alias("samples"), F.when(F.col("id") % 2 == 0, words).alias("words"))
+    got = {r.session_id: r for r in W.partition_turns(rows, None).collect()}
+    assert len(got) == 300 > W.ROWS
+    assert all(r.text == ("a a a" if i % 2 == 0 else "t") and len(r.words) == (3 if i % 2 == 0 else 0) for i, r in got.items())

@@ -74,14 +74,27 @@ def event_time(frames: DataFrame, epochs: DataFrame, sample_rate: int = 16000, f
     return frames.join(epochs.select("session_id", "epoch"), "session_id", "left").withColumn("event_ts", F.timestamp_micros(F.unix_micros("epoch") + heard)).drop("epoch")
 
 
-def condition_audio(clips: DataFrame, sample_rate: int = 16000) -> DataFrame:
-    """samples through a 75 Hz high-pass and a limiter."""
+#: clips that are worked on at once in Python, however many an Arrow batch holds
+CLIPS = 64
 
-    @F.pandas_udf("array<double>")
-    def run(s: pd.Series) -> pd.Series:
-        return pd.Series([K.condition(np.asarray(x, float), sample_rate) for x in s])  # lists would be Python objects, 32 bytes a sample
 
-    return clips.withColumn("samples", run("samples"))
+def condition_audio(clips: DataFrame, sample_rate: int = 16000, give: tuple[str, ...] = ("samples",)) -> DataFrame:
+    """samples through a 75 Hz high-pass and a limiter, or what is asked for of samples and mean_square (of these samples, null
+    without any) in their place. Results leave Python a few clips at a time."""
+    types = {"samples": pa.list_(pa.float64()), "mean_square": pa.float64()}
+    others = [c for c in clips.columns if c != "samples"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, CLIPS):
+                own = batch.slice(at, CLIPS)
+                made = [K.condition(np.asarray(x, float), sample_rate) for x in own.column("samples").to_pandas()]
+                columns = {"samples": lambda: made, "mean_square": lambda: [K.mean_square(y) if len(y) else None for y in made]}
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in others), *(pa.array(columns[c](), types[c]) for c in give)], names=[*others, *give])
+
+    names = {"samples": "array<double>", "mean_square": "double"}
+    fields = [f"`{c}` {clips.schema[c].dataType.simpleString()}" for c in others]
+    return clips.select(*others, "samples").mapInArrow(run, ", ".join([*fields, *(f"{c} {names[c]}" for c in give)]))
 
 
 def retain_last(frames: DataFrame, seconds: float = 30.0, sample_rate: int = 16000, frame: int = FRAME) -> DataFrame:
@@ -111,8 +124,8 @@ def add_noise(clips: DataFrame, conditions: list[tuple[str, float]], sample_rate
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                own = batch.slice(at, 64)
+            for at in range(0, batch.num_rows, CLIPS):
+                own = batch.slice(at, CLIPS)
                 of, made = [], []
                 for row, (x, seeds) in enumerate(zip(own.column("samples").to_pandas(), own.column("seeds").to_pandas())):
                     x = np.asarray(x, float)
@@ -129,27 +142,27 @@ def add_noise(clips: DataFrame, conditions: list[tuple[str, float]], sample_rate
     return clips.select("clip_id", "samples", seeds.alias("seeds")).mapInArrow(run, ", ".join([f"clip_id {kind}, kind string, snr_db double", *(f"{c} {columns[c]}" for c in give)]))
 
 
-def clip_rms_db(samples: str) -> Column:
-    """columns.segment_rms_db of whole clips, whose squares are summed in numpy: a function over an array takes 9,600 calls for
-    a clip of 0.6 s. After another pandas UDF it runs in the same Python worker, and the samples stay there."""
-
-    @F.pandas_udf("double")
-    def run(s: pd.Series) -> pd.Series:
-        return pd.Series([K.mean_square(x) if x is not None and len(x) else -1.0 for x in s], dtype=float)
-
-    return C.let(run(samples), lambda ms: F.when(ms < 0, -100.0).when(ms >= 0, C.rms_db(ms)))
+#: what clip_features gives: the columns of each, and what makes them of a clip
+FEATURES = {
+    "f0": ("f0 array<double>", lambda x, rate: (K.f0_contour(x, rate).tolist(),)),
+    "energy_ratio": ("energy_ratio double", lambda x, rate: (K.energy_ratio(x, rate),)),
+    "overlap": ("mean_entropy double, n_voiced int, n_dual int", lambda x, rate: K.overlap_evidence(x, rate)),
+}
 
 
-def clip_features(clips: DataFrame, sample_rate: int = 16000) -> DataFrame:
-    """clips (..., samples) with f0 (contour), energy_ratio, and the three numbers that tell overlapping voices."""
+def clip_features(clips: DataFrame, sample_rate: int = 16000, give: tuple[str, ...] = tuple(FEATURES)) -> DataFrame:
+    """clips (..., samples) with what is asked for of f0 (contour), energy_ratio, and overlap: the three numbers that tell
+    overlapping voices. What isn't asked for isn't computed."""
+    schema = ", ".join(FEATURES[g][0] for g in give)
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    @F.pandas_udf("f0 array<double>, energy_ratio double, mean_entropy double, n_voiced int, n_dual int")
+    @F.pandas_udf(schema)
     def run(s: pd.Series) -> pd.DataFrame:
         rows = []
         for x in s:
             x = np.asarray(x if x is not None else [], float)
-            rows.append((K.f0_contour(x, sample_rate).tolist(), K.energy_ratio(x, sample_rate), *K.overlap_evidence(x, sample_rate)))
-        return pd.DataFrame(rows, columns=["f0", "energy_ratio", "mean_entropy", "n_voiced", "n_dual"])
+            rows.append([v for g in give for v in FEATURES[g][1](x, sample_rate)])
+        return pd.DataFrame(rows, columns=names)
 
     return clips.withColumn("_x", run("samples")).select(*clips.columns, "_x.*")
 

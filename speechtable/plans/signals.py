@@ -435,7 +435,8 @@ def g5(spark, sf_dir):
 
 
 # -- signal kernels: no SQL gives these ----------------------------------------------------------------------------
-CLIP = 9600
+#: samples of a clip, and clips of a task: 60 MB of samples, which Arrow hands to Python at once
+CLIP, TASK = 9600, 1500
 
 
 def _clip(kind: str | None, user: float, n: int, seed: int) -> np.ndarray:
@@ -468,27 +469,28 @@ def _clips_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def clips(spark, sf_dir):
     """Clips of 0.6 s, one a distinct (user, event type): gliding tones, tones in noise, pulses of a high and of a low voice,
     and quiet tones that end in a loud high one. Rows are dealt out before they get samples: a thousand of them are few bytes
-    till then, and would be one task."""
+    till then, and would be one task. They are counted first, so that a task gets no more of a larger table."""
     e = read(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
     e = e.select(F.concat_ws("-", "user_id", "event_type").alias("clip_id"), "event_type", (F.col("user_id") % 10).alias("user"), "n", F.xxhash64("user_id").alias("seed"))
-    return e.repartition(4 * spark.sparkContext.defaultParallelism, "clip_id").mapInArrow(_clips_of, "clip_id string, samples array<float>")
+    tasks = max(4 * spark.sparkContext.defaultParallelism, -(-e.count() // TASK))
+    return e.repartition(tasks, "clip_id").mapInArrow(_clips_of, "clip_id string, samples array<float>")
 
 
 @registry.add("g1_f0_contour")
 def g1(spark, sf_dir):
-    made = A.contour_features(FR.clip_features(clips(spark, sf_dir)).drop("samples"))
+    made = A.contour_features(FR.clip_features(clips(spark, sf_dir), give=("f0",)).drop("samples"))
     return made.select("clip_id", F.size("f0").alias("n"), "mean_pitch_hz", "pitch_semitone_excursion")
 
 
 @registry.add("g6_emphasis")
 def g6(spark, sf_dir):
-    made = FR.clip_features(clips(spark, sf_dir)).drop("samples").withColumn("seconds", F.lit(0.6))
+    made = FR.clip_features(clips(spark, sf_dir), give=("f0", "energy_ratio")).drop("samples").withColumn("seconds", F.lit(0.6))
     return A.emphasis(made).select("clip_id", "energy_ratio", "emphasis")
 
 
 @registry.add("f14_acoustic_overlap")
 def f14(spark, sf_dir):
-    made = FR.clip_features(clips(spark, sf_dir)).drop("samples").withColumn("seconds", F.lit(0.6))
+    made = FR.clip_features(clips(spark, sf_dir), give=("overlap",)).drop("samples").withColumn("seconds", F.lit(0.6))
     return FR.acoustic_overlap(made).select("clip_id", "mean_entropy", "n_voiced", "n_dual", "acoustic_overlap")
 
 
@@ -501,8 +503,8 @@ def f2(spark, sf_dir):
 
 @registry.add("b6_condition_audio")
 def b6(spark, sf_dir):
-    made = FR.condition_audio(clips(spark, sf_dir))
-    return made.select("clip_id", FR.clip_rms_db("samples").alias("rms_db"))
+    made = FR.condition_audio(clips(spark, sf_dir), give=("mean_square",))
+    return made.select("clip_id", C.rms_db(F.col("mean_square")).alias("rms_db"))
 
 
 @registry.add("b10_make_noise")

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import struct
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from speechtable import catalog
 from speechtable.functions import columns as C
 from speechtable.functions import kernels as K
+from speechtable.operators import frames as FR
 from speechtable.plans import signals
 
 RATE = 16000
@@ -126,6 +128,40 @@ def test_queries_on_clips_row_by_row(spark, sf_dir):
         assert {r[flag] for r in made[n].values()} == {True, False}, n
 
 
+@pytest.mark.parametrize("kernel", [K.f0_contour, K.overlap_evidence])
+def test_a_long_clip_is_worked_on_in_blocks(kernel):
+    x = 0.3 * np.sin(2 * np.pi * 150 * np.arange(60 * RATE) / RATE)
+    kernel(x[:RATE])
+    tracemalloc.start()
+    kernel(x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10_000_000
+
+
+def test_clips_of_a_larger_table_are_more_tasks(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(signals, "TASK", 1)
+    clips = signals.clips(spark, sf_dir)
+    n = clips.count()
+    own = clips.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert n > 4 * spark.sparkContext.defaultParallelism and len(own) > 4 * spark.sparkContext.defaultParallelism
+    assert sum(r["count"] for r in own) == n
+
+
+def test_features_that_are_asked_for(spark):
+    clips = spark.createDataFrame([("a", [0.1 * (-1) ** (i // 40) for i in range(9600)])], "clip_id string, samples array<float>")
+    whole = FR.clip_features(clips).drop("samples")
+    assert whole.columns == ["clip_id", "f0", "energy_ratio", "mean_entropy", "n_voiced", "n_dual"]
+    for give, columns in ((("f0",), ["f0"]), (("energy_ratio", "overlap"), ["energy_ratio", "mean_entropy", "n_voiced", "n_dual"])):
+        own = FR.clip_features(clips, give=give).drop("samples")
+        assert own.columns == ["clip_id", *columns] and own.first() == whole.select("clip_id", *columns).first()
+    rows = FR.condition_audio(spark.createDataFrame([(i, [0.01 * i] * 400) for i in range(150)] + [(150, [])], "clip_id long, samples array<float>"), give=("samples", "mean_square")).collect()
+    assert sorted(r.clip_id for r in rows) == list(range(151))
+    for r in rows:
+        assert r.mean_square == (K.mean_square(r.samples) if r.samples else None)
+        assert np.array_equal(r.samples, K.condition(np.array([0.01 * r.clip_id] * 400 if r.samples else [], np.float32).astype(float)))
+
+
 def slow_cepstrum(x, rate=RATE):
     """Bands from one whole bin to another, each coefficient a sum."""
     power = K._power(np.pad(np.asarray(x, float), (0, max(0, 512 - len(x)))), rate) + 1e-10

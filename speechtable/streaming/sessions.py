@@ -2,19 +2,24 @@
 frames to captions.
 
 A trigger's rows of a session come in no order and are sorted here; the sources hand on each session in its own order.
+
+Rows come and go as Row objects: most sessions have a few rows in a trigger, and a pandas table for each of them, in and out of
+every operator, takes longer than the work on it.
 """
 
 from __future__ import annotations
 
 import sys
+from collections import namedtuple
 from collections.abc import Callable, Iterator
+from operator import attrgetter
 
 import numpy as np
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import NumericType
 
 from ..operators.segments import FRAME, MIN_SILENCE, RATE
 
@@ -23,8 +28,12 @@ HISTORY, LEVEL, LEAST_PITCH = 20, -24.0, 50.0
 _SPEAKER = "centroid array<double>, count long, levels array<double>, pitches array<double>"
 
 
-def _sorted(rows: Iterator[pd.DataFrame], order: str) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
+def _sorted(rows: Iterator[Row], order: str) -> list[Row]:
+    return sorted(rows, key=attrgetter(order))
+
+
+def _known(x: float | None) -> bool:
+    return x is not None and x == x
 
 
 class Diarized(StatefulProcessor):
@@ -35,35 +44,41 @@ class Diarized(StatefulProcessor):
 
     columns = ["session_id", "seq", "ts", "speaker_no", "similarity", "confidence", "rms_baseline", "pitch_baseline", "start_time", "end_time", "rms_db", "mean_pitch_hz"]
 
-    def __init__(self, make: Callable[[], object]) -> None:
-        self.make = make
+    def __init__(self, make: Callable[[], object], numbers: frozenset[str] = frozenset()) -> None:
+        self.make, self.numbers = make, numbers
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._speakers = handle.getMapState("speakers", "speaker_no int", _SPEAKER)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _sorted(rows, "seq")
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        turns = _sorted(rows, "seq")
+        names = turns[0].__fields__
+        shape = namedtuple("Turn", names)
         held = {k[0]: v for k, v in self._speakers.iterator()} if self._speakers.exists() else {}
         diarizer = self.make()
         diarizer.load({k: (list(v[0]), int(v[1])) for k, v in held.items()})
         levels = {k: list(v[2]) for k, v in held.items()}
         pitches = {k: list(v[3]) for k, v in held.items()}
-        out = []
-        for turn in pdf.itertuples(index=False):
-            no, similarity, confidence = diarizer.diarize_segment(turn)
+        out, made = Row(*self.columns), []
+        for turn in turns:
+            no, similarity, confidence = diarizer.diarize_segment(shape(*(self._plain(c, v) for c, v in zip(names, turn))))
             level, pitch = levels.setdefault(no, []), pitches.setdefault(no, [])
-            out.append((
+            made.append(out(
                 key[0], turn.seq, turn.ts, no, similarity, confidence, float(np.mean(level)) if level else LEVEL, float(np.median(pitch)) if pitch else None,
                 turn.start_time, turn.end_time, turn.rms_db, turn.mean_pitch_hz,
             ))
-            if not pd.isna(turn.rms_db):
+            if _known(turn.rms_db):
                 levels[no] = [*level, float(turn.rms_db)][-HISTORY:]
-            if not pd.isna(turn.mean_pitch_hz) and turn.mean_pitch_hz > LEAST_PITCH:
+            if _known(turn.mean_pitch_hz) and turn.mean_pitch_hz > LEAST_PITCH:
                 pitches[no] = [*pitch, float(turn.mean_pitch_hz)][-HISTORY:]
         for no in diarizer.changed:
             centroid, count = diarizer.speakers[no]
             self._speakers.updateValue((no,), (centroid, count, levels.get(no, []), pitches.get(no, [])))
-        yield pd.DataFrame(out, columns=self.columns)
+        yield from made
+
+    def _plain(self, name: str, value):
+        """As a diarizer gets it in batch: lists as arrays, and numbers that aren't known as NaN."""
+        return np.asarray(value) if isinstance(value, list) else np.nan if value is None and name in self.numbers else value
 
     def close(self) -> None:
         pass
@@ -84,13 +99,13 @@ class IdleEnd(StatefulProcessor):
         self._handle = handle
         self._held = handle.getValueState("held", "frames long, voiced_frames long, last_frame long, last_ms long, timer_ms long")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         frames, voiced, last, last_ms, timer = tuple(self._held.get()) if self._held.exists() else (0, 0, -1, -1, -1)
-        for pdf in rows:
-            frames += len(pdf)
-            voiced += int(pdf.voiced.sum())
-            last = max(last, int(pdf.frame_idx.max()))
-            last_ms = max(last_ms, int(pdf.ts_ms.max()))
+        for f in rows:
+            frames += 1
+            voiced += bool(f.voiced)
+            last = max(last, f.frame_idx)
+            last_ms = max(last_ms, f.ts_ms)
         due = last_ms + self.idle_ms
         if due != timer:
             if timer >= 0:
@@ -99,10 +114,10 @@ class IdleEnd(StatefulProcessor):
         self._held.update((frames, voiced, last, last_ms, due))
         return iter([])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         frames, voiced, last, _, due = tuple(self._held.get())
         self._held.clear()
-        yield pd.DataFrame([(key[0], frames, voiced, last, due)], columns=self.columns)
+        yield Row(*self.columns)(key[0], frames, voiced, last, due)
 
     def close(self) -> None:
         pass
@@ -119,29 +134,28 @@ class Segments(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._held = handle.getValueState("held", "last_voiced long, first long, segments long, voiced long, power double, pitch double, pitched long, vector array<double>")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = _sorted(rows, "frame_idx")
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         last, first, segments, voiced, power, pitch, pitched, vector = tuple(self._held.get()) if self._held.exists() else (-1, -1, 0, 0, 0.0, 0.0, 0, None)
         vector = np.asarray(vector if vector is not None else [], float)
-        out = []
-        for f in pdf[["frame_idx", "ts", "voiced", "level_dbfs", "pitch_hz", "vector"]].itertuples(index=False):
+        out, made = Row(*self.columns), []
+        for f in _sorted(rows, "frame_idx"):
             if f.voiced:
                 if first < 0:
                     first, voiced, power, pitch, pitched, vector = f.frame_idx, 0, 0.0, 0.0, 0, np.zeros(len(f.vector))
                 last = f.frame_idx
                 voiced += 1
-                power += 10 ** (f.level_dbfs / 10)
+                power += np.nan if f.level_dbfs is None else 10 ** (f.level_dbfs / 10)
                 vector = vector + np.asarray(f.vector, float)
-                if not pd.isna(f.pitch_hz):
+                if _known(f.pitch_hz):
                     pitch, pitched = pitch + f.pitch_hz, pitched + 1
             elif first >= 0 and f.frame_idx - last >= self.min_silence:
                 segments += 1
                 at = lambda i: (i + 1) * FRAME / RATE
-                out.append((key[0], segments, f.ts, at(first), at(last), 10 * float(np.log10(power / voiced)), pitch / pitched if pitched else None, (vector / (np.linalg.norm(vector) + 1e-8)).tolist()))
+                level = 10 * float(np.log10(power / voiced))
+                made.append(out(key[0], segments, f.ts, at(first), at(last), level if _known(level) else None, pitch / pitched if pitched else None, (vector / (np.linalg.norm(vector) + 1e-8)).tolist()))
                 first = -1
         self._held.update((int(last), int(first), int(segments), int(voiced), float(power), float(pitch), int(pitched), vector.tolist()))
-        if out:
-            yield pd.DataFrame(out, columns=self.columns)
+        yield from made
 
     def close(self) -> None:
         pass
@@ -161,19 +175,19 @@ class Captions(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._recent = handle.getListState("recent", "end_time double, speaker_no int")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         recent = [(float(e), int(s)) for e, s in self._recent.get()] if self._recent.exists() else []
         label = lambda n: f"Speaker {chr(64 + n)}" if n <= 8 else f"Speaker {n}"
-        out = []
-        for t in _sorted(rows, "seq").itertuples(index=False):
+        out, made = Row(*self.columns), []
+        for t in _sorted(rows, "seq"):
             pause = max(0.0, t.start_time - (recent[-1][0] if recent else 0.0))
             over = sorted({label(s) for e, s in recent if t.start_time < e - self.slack_s and s != t.speaker_no})
-            above = t.rms_db - t.rms_baseline
+            above = t.rms_db - t.rms_baseline if _known(t.rms_db) else 0.0
             volume = "loud" if above > 4.5 else "quiet" if above < -5 else "normal"
-            out.append((key[0], t.seq, t.ts, t.start_time, t.end_time, label(t.speaker_no), pause, pause >= self.long_pause_s, volume, over))
+            made.append(out(key[0], t.seq, t.ts, t.start_time, t.end_time, label(t.speaker_no), pause, pause >= self.long_pause_s, volume, over))
             recent = [*recent, (float(t.end_time), int(t.speaker_no))][-self.lookback :]
         self._recent.put(recent)
-        yield pd.DataFrame(out, columns=self.columns)
+        yield from made
 
     def close(self) -> None:
         pass
@@ -188,14 +202,16 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 def _stateful(df: DataFrame, processor: StatefulProcessor, schema: str, mode: str = "EventTime", handed_on: bool = True) -> DataFrame:
     """handed_on: ts of what comes out is event time to the next stateful operator."""
     more = {"eventTimeColumnName": "ts"} if handed_on else {}
-    return df.groupBy("session_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=mode, **more)
+    return df.groupBy("session_id").transformWithState(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=mode, **more)
 
 
 def stream_diarized(turns: DataFrame, make: Callable[[], object], needs: tuple[str, ...] = ("embedding",)) -> DataFrame:
     """turns (session_id, seq, ts, start_time, end_time, rms_db, mean_pitch_hz, what the diarizer needs) -> DIARIZED: speakers by
     a diarizer of the user's, and each one's baselines before the turn, kept over all triggers."""
     columns = dict.fromkeys(["session_id", "seq", "ts", "start_time", "end_time", "rms_db", "mean_pitch_hz", *needs])
-    return _stateful(turns.select(*columns), Diarized(make), DIARIZED, "None", False)
+    own = turns.select(*columns)
+    numbers = frozenset(f.name for f in own.schema if isinstance(f.dataType, NumericType))
+    return _stateful(own, Diarized(make, numbers), DIARIZED, "None", False)
 
 
 def stream_idle_end(frames: DataFrame, idle_ms: int, late: str = "0 seconds") -> DataFrame:
@@ -209,7 +225,7 @@ def stream_captions(frames: DataFrame, make: Callable[[], object], min_silence:
     in a row, each handing on event time."""
     own = frames.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     segments = _stateful(own.select("session_id", "frame_idx", "ts", "voiced", "level_dbfs", "pitch_hz", "vector"), Segments(min_silence), SEGMENTS)
-    speakers = _stateful(segments, Diarized(make), DIARIZED)
+    speakers = _stateful(segments, Diarized(make, frozenset(("rms_db", "mean_pitch_hz"))), DIARIZED)
     return _stateful(speakers, Captions(), CAPTIONS, handed_on=False)
 
 

@@ -346,13 +346,20 @@ def b1(spark, sf_dir):
     return FR.frame_pcm(packets).select("session_id", "frame_idx", F.size("samples").alias("n"), F.round(F.get(x, F.lit(0)), 6).alias("first_sample"), F.round(F.aggregate(x, F.lit(0.0), lambda a, v: a + v), 6).alias("total"))
 
 
+#: events that a task of a fan-out sorts
+EVENTS = 250_000
+
+
 @registry.add("a12_event_fanout", f"""WITH {VAD_SQL} SELECT session_id, frame_idx AS "at", 0 AS place, 'vad_state' AS type, '{{"is_speaking":' || is_speaking || ',"segment_started":' || segment_started || ',"segment_ended":' || segment_ended || '}}' AS data FROM v
 UNION ALL SELECT session_id, max(frame_idx), 1, 'prosody_state', '{{"window_idx":' || frame_idx // 6 || ',"speech_active":' || max_by(voiced, frame_idx) || '}}' FROM f GROUP BY session_id, frame_idx // 6 HAVING count(*) = 6
 UNION ALL SELECT session_id, end_frame, place, type, '{{"segment_no":' || segment_no || '}}' FROM g, (SELECT unnest([2, 3, 4]) AS place, unnest(['speaker_list', 'utterance', 'debug_metrics']) AS type)""")
 def a12(spark, sf_dir):
-    rows = vad(spark, sf_dir)
+    """Sessions are dealt out to so many tasks that each sorts about as many events, whatever the table's size."""
+    e = read(spark, sf_dir, "events")
+    dealt = frames(e.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-e.count() // EVENTS)), "user_id"))
+    rows = G.vad_state(dealt, SILENCE)
     own = G.speech_segments(rows, SILENCE).select("session_id", F.col("end_frame").alias("at"), "segment_no")
-    live = A.live_windows(f(spark, sf_dir)).select("session_id", F.col("last_frame").alias("at"), "window_idx", "speech_active")
+    live = A.live_windows(dealt).select("session_id", F.col("last_frame").alias("at"), "window_idx", "speech_active")
     return X.event_fanout(rows.select("session_id", F.col("frame_idx").alias("at"), "is_speaking", "segment_started", "segment_ended"), live, own, own, own)
 
 

@@ -148,6 +148,14 @@ def test_clips_of_a_larger_table_are_more_tasks(spark, sf_dir, monkeypatch):
     assert sum(r["count"] for r in own) == n
 
 
+def test_sessions_of_a_larger_table_are_more_tasks(spark, sf_dir, monkeypatch):
+    want = sorted(map(tuple, catalog.queries()["a12_event_fanout"](spark, sf_dir).collect()))
+    monkeypatch.setattr(signals, "EVENTS", 50)
+    made = catalog.queries()["a12_event_fanout"](spark, sf_dir)
+    first = made.filter("type = 'vad_state'").select(F.spark_partition_id().alias("task")).distinct().count()
+    assert first > int(spark.conf.get("spark.sql.shuffle.partitions")) and sorted(map(tuple, made.collect())) == want
+
+
 def test_features_that_are_asked_for(spark):
     clips = spark.createDataFrame([("a", [0.1 * (-1) ** (i // 40) for i in range(9600)])], "clip_id string, samples array<float>")
     whole = FR.clip_features(clips).drop("samples")

@@ -13,23 +13,27 @@ from ..operators import speakers as S
 from ..operators import words as W
 from ..session import scratch
 from ..sources import packets, readers, wav
-from ..sources.derive import FRAMES_SQL, UTTERANCES_SQL, read, utterances
+from ..sources.derive import FRAMES_SQL, UTTERANCES_SQL, frames, read, utterances
 from .registry import Registry
-from .signals import _SAMPLE_SQL, SAMPLES_SQL, N, samples
+from .signals import _SAMPLE_SQL, SAMPLES_SQL, N, samples, tone
 
 registry = Registry()
 
 
 # -- recordings: a file a session, 64 samples an event, at 1 kHz ----------------------------------------------------
 RATE, START, END = 1000, 1.0, 3.0
+#: events of a task that writes recordings: 15 MB of samples, which Arrow may hand to Python at once
+WRITTEN = 30_000
 
 
 def recordings(spark: SparkSession, sf_dir: str) -> str:
-    """Write them and give the folder."""
-    rows = samples(spark, sf_dir).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "x"))).alias("f"))
+    """Write them and give the folder. Sessions are dealt out by the number of events, and get their samples last."""
+    events = read(spark, sf_dir, "events")
+    tasks = max(4 * spark.sparkContext.defaultParallelism, -(-events.count() // WRITTEN))
+    rows = frames(events.repartition(tasks, "user_id")).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("frame_idx", "event_id"))).alias("f"))
     folder = scratch(spark, "recordings")
     wav.register(spark)
-    rows.select(F.col("session_id").cast("string").alias("name"), F.lit(RATE).alias("rate"), F.flatten(F.transform("f", lambda y: y["x"])).alias("samples")).write.format("wav").mode("append").save(folder)
+    rows.select(F.col("session_id").cast("string").alias("name"), F.lit(RATE).alias("rate"), F.flatten(F.transform("f", lambda y: tone(y["event_id"]))).alias("samples")).write.format("wav").mode("append").save(folder)
     return folder
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -36,9 +36,13 @@ _SAMPLE_SQL = "round(0.001 * (((event_id * 31 + i * 17) % 1001) - 500), 3)"
 SAMPLES_SQL = f"{FRAMES_SQL}, s AS (SELECT session_id, frame_idx, event_id, [{_SAMPLE_SQL} FOR i IN range({N})] AS x FROM f)"
 
 
+def tone(event_id: Column) -> Column:
+    """Samples of an event."""
+    return F.transform(F.sequence(F.lit(0), F.lit(N - 1)), lambda i: F.round(0.001 * (((event_id * 31 + i * 17) % 1001) - 500), 3))
+
+
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.transform(F.sequence(F.lit(0), F.lit(N - 1)), lambda i: F.round(0.001 * (((F.col("event_id") * 31 + i * 17) % 1001) - 500), 3))
-    return f(spark, sf_dir).select("session_id", "frame_idx", "event_id", x.alias("x"))
+    return f(spark, sf_dir).select("session_id", "frame_idx", "event_id", tone(F.col("event_id")).alias("x"))
 
 
 @registry.add("b2_normalize_frame", f"WITH {SAMPLES_SQL} SELECT event_id, len(list_concat(x, [0.0 FOR i IN range(512)])[1:512]) AS n, round(list_sum(x), 6) AS total FROM s")

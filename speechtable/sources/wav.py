@@ -11,7 +11,8 @@ crop, a piece at a time. Filters on path (equal, in) leave out whole files befor
 its rate, which is an error otherwise (option `strict` false: other files are left out). Files lie in any store that
 Arrow's file systems know, by the path's scheme.
 
-Writing takes (name, rate, samples) rows, a file each, mono; a task that runs again writes the same files again.
+Writing takes (name, rate, samples) rows, a file each, mono; a task that runs again writes the same files again. Samples stay
+in Arrow's arrays till a file's are written, as Python's numbers would take four times their room, or more.
 """
 
 from __future__ import annotations
@@ -19,14 +20,14 @@ from __future__ import annotations
 import struct
 import sys
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
 
 from .. import session
 
@@ -51,9 +52,15 @@ class Piece(NamedTuple):
 
 @dataclass
 class Pieces(InputPartition):
-    """Those of one task, file by file."""
+    """Those of one task, file by file: ranges of a file's bytes, which are read `block` bytes at a time. The plan of many
+    files holds a range for each, however small a piece is."""
 
-    pieces: list[Piece]
+    block: int
+    ranges: list[Piece] = field(default_factory=list)
+
+    @property
+    def pieces(self) -> list[Piece]:
+        return [Piece(path, a, a + self.block) for path, begin, end in self.ranges for a in range(begin, end, self.block)]
 
 
 @dataclass
@@ -130,13 +137,14 @@ class WavReader(DataSourceReader):
         room = 0
         for path, size in files:
             for a in range(0, size, self.block):  # a header's bytes too many
-                opened = bool(out) and out[-1].pieces[-1].path == path
+                opened = bool(out) and out[-1].ranges[-1].path == path
                 needed = min(self.block, size - a)
                 if not out or needed + (0 if opened else OPEN) > room:
-                    out.append(Pieces([]))
+                    out.append(Pieces(self.block))
                     room, opened = self.packed, False
                 room -= needed + (0 if opened else OPEN)
-                out[-1].pieces.append(Piece(path, a, a + self.block))
+                begin = out[-1].ranges.pop().begin if opened else a
+                out[-1].ranges.append(Piece(path, begin, a + self.block))
         return out
 
     def read(self, part: Pieces) -> Iterator[pa.RecordBatch]:
@@ -158,18 +166,21 @@ class WavReader(DataSourceReader):
                         yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([h.rate], pa.int32()), pa.array([first / h.rate]), samples], names=["path", "rate", "start_s", "samples"])
 
 
-class WavWriter(DataSourceWriter):
+class WavWriter(DataSourceArrowWriter):
     def __init__(self, options) -> None:
         self.folder = options["path"]
 
-    def write(self, rows) -> WriterCommitMessage:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         store, root = _store(self.folder)
         store.create_dir(root, recursive=True)
-        for r in rows:
-            raw = (np.clip(np.asarray(r["samples"], float), -1, 1) * 32768).round().clip(-32768, 32767).astype("<i2").tobytes()
-            head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(raw), b"WAVE", b"fmt ", 16, 1, 1, r["rate"], 2 * r["rate"], 2, 16, b"data", len(raw))
-            with store.open_output_stream(f"{root}/{r['name']}.wav") as f:
-                f.write(head + raw)
+        for batch in batches:
+            for name, rate, samples in zip(*(batch.column(c) for c in ("name", "rate", "samples"))):
+                rate = rate.as_py()
+                x = samples.values.to_numpy(zero_copy_only=False).astype(float) if samples.is_valid else np.zeros(0)
+                raw = (np.clip(x, -1, 1) * 32768).round().clip(-32768, 32767).astype("<i2").tobytes()
+                head = struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(raw), b"WAVE", b"fmt ", 16, 1, 1, rate, 2 * rate, 2, 16, b"data", len(raw))
+                with store.open_output_stream(f"{root}/{name.as_py()}.wav") as f:
+                    f.write(head + raw)
         return WriterCommitMessage()
 
 

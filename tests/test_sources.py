@@ -3,9 +3,11 @@
 import io
 import os
 import struct
+import tracemalloc
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, In
@@ -95,6 +97,24 @@ def test_written_files_come_back(spark, tmp_path):
     assert [(r.rate, r.start_s, r.samples) for r in got] == [(500, 0.0, [0.5, -0.25, 32767 / 32768, -1.0])]
 
 
+def test_a_task_that_writes_holds_few_samples_beside_arrows_own(tmp_path):
+    n, batch = 4000, pa.RecordBatch.from_pydict({"name": [str(k) for k in range(200)], "rate": pa.array([1000] * 200, pa.int32()), "samples": pa.array(np.full((200, 4000), 0.5).tolist(), pa.list_(pa.float64()))})
+    tracemalloc.start()
+    wav.WavWriter({"path": str(tmp_path)}).write(iter([batch, batch.slice(3, 2)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * n * 8  # a few files' samples; as Python's numbers a batch's are 200 * n * 32
+    assert len(list(tmp_path.iterdir())) == 200 and (tmp_path / "3.wav").read_bytes()[44:] == np.full(n, 16384, "<i2").tobytes()
+
+
+def test_a_plan_holds_one_range_of_a_file_however_small_its_pieces(tmp_path):
+    for k in range(20):
+        (tmp_path / f"{k:02}.wav").write_bytes(made(range(5000)))
+    (part,) = wav.WavReader({"path": str(tmp_path), "block": "100"}).partitions()
+    assert len(part.ranges) == 20 and len(part.pieces) == 20 * 101
+    assert part.pieces[:2] == [wav.Piece(str(tmp_path / "00.wav"), 0, 100), wav.Piece(str(tmp_path / "00.wav"), 100, 200)]
+
+
 def test_a_stream_of_packets_starts_again(spark, tmp_path):
     packets.register(spark)
     schema = packets.SCHEMA

@@ -1,7 +1,7 @@
 """Stateful processors: one session's state is what the next rows need, never the session's history.
 
-Rows of a micro-batch come in no order, so each processor sorts what it gets of a session by frame or sequence number; the
-source's maxFilesPerTrigger bounds how much that is. A trigger must not overtake a session's own order: sources partition by
+Rows of a micro-batch come in no order, so each processor sorts what it gets of a group of sessions by session, and frame or
+sequence number; the source's maxFilesPerTrigger bounds how much that is. A trigger must not overtake a session's own order: sources partition by
 session, and late rows are cut off by the watermark in front.
 
 Rows may say `control`: "start" makes the session anew, and the row is its first; "end" deletes the session's state, and the
@@ -25,16 +25,17 @@ from ..operators.segments import MIN_SILENCE
 from ..operators.speakers import THRESHOLD
 
 
-#: rows of a session that are worked on and given out at once
+#: rows that are worked on and given out at once
 BLOCK = 100_000
+#: groups that sessions fall into by a hash. A call of Python takes several ms, however little a session has to say
+GROUPS = 1024
 
 
-def _sorted_columns(rows: Iterator[pd.DataFrame], order: str) -> dict[str, np.ndarray]:
-    """All rows of a session in a trigger, column by column. A table of its own for each session would take longer than the
-    work on it."""
+def _sorted_columns(rows: Iterator[pd.DataFrame], *order: str) -> dict[str, np.ndarray]:
+    """All rows of a key in a trigger, column by column, sorted by the first column and then the others."""
     parts = [{c: p[c].to_numpy() for c in p.columns} for p in rows]
     whole = {c: np.concatenate([p.pop(c) for p in parts]) if len(parts) > 1 else parts[0].pop(c) for c in list(parts[0])}
-    at = np.argsort(whole[order], kind="stable")
+    at = np.lexsort([whole[c] for c in reversed(order)])
     return {c: whole.pop(c)[at] for c in list(whole)}
 
 
@@ -44,49 +45,84 @@ def _median(values: list[float]) -> float:
 
 
 class _State(StatefulProcessor):
-    """A processor whose state is one row of numbers and lists."""
+    """A processor whose state of a session is one row of numbers and lists. A key is a session, or with `grouped` a group of
+    sessions: then each has its row in a map, which is read and written once a trigger, and expires or is deleted by itself.
+    """
 
     schema = ""
     start: tuple = ()
     order = "frame_idx"
     columns: tuple[str, ...] = ()
     ttl_ms: int | None = None
+    grouped = False
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._held = handle.getValueState("held", self.schema, self.ttl_ms) if self.ttl_ms else handle.getValueState("held", self.schema)
+        ttl = (self.ttl_ms,) if self.ttl_ms else ()
+        self._held = handle.getMapState("held", "session_id long", self.schema, *ttl) if self.grouped else handle.getValueState("held", self.schema, *ttl)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        own = _sorted_columns(rows, self.order)
-        n = len(own[self.order])
-        state = tuple(self._held.get()) if self._held.exists() else self.start
-        ended, begin, held, made = False, 0, 0, []
-        says = own.pop("control")
-        marks = np.flatnonzero((says == "start") | (says == "end")).tolist()
-        for at in sorted({*marks, *range(BLOCK, n, BLOCK), n}):
-            if at > begin:
-                state, out = self.step(key[0], list(state), {c: v[begin:at] for c, v in own.items()})
-                made.append(out)
-                held += at - begin
-                ended, begin = False, at
-            if at < n and says[at] in ("start", "end"):
-                ended = says[at] == "end"
-                state, begin = self.start, at + int(ended)
-            if held >= BLOCK:
-                yield self.table(key[0], made)
-                held, made = 0, []
+        held, made = 0, []
+        for session, own in self.sessions(key[0], rows):
+            state = self.read(session)
+            known, ended, begin, n = state is not None, False, 0, len(own[self.order])
+            state = self.start if state is None else state
+            says = own.pop("control")
+            marks = np.flatnonzero((says == "start") | (says == "end")).tolist()
+            for at in sorted({*marks, *range(BLOCK, n, BLOCK), n}):
+                if at > begin:
+                    state, out = self.step(session, list(state), {c: v[begin:at] for c, v in own.items()})
+                    made.append((session, out))
+                    held += at - begin
+                    ended, begin = False, at
+                if at < n and says[at] in ("start", "end"):
+                    ended = says[at] == "end"
+                    state, begin = self.start, at + int(ended)
+                if held >= BLOCK:
+                    yield self.table(made)
+                    held, made = 0, []
+            if not ended:
+                self.write(session, tuple(state))
+            elif known:
+                self.forget(session)
         if made:
-            yield self.table(key[0], made)
-        if ended:
-            self._held.clear()
+            yield self.table(made)
+
+    def sessions(self, key, rows: Iterator[pd.DataFrame]) -> Iterator[tuple[int | None, dict[str, np.ndarray]]]:
+        """Each session of a key with its rows, sorted, column by column. The group below zero is of rows without a session."""
+        if not self.grouped:
+            yield key, _sorted_columns(rows, self.order)
+            return
+        own = _sorted_columns(rows, "session_id", self.order)
+        own.pop("session_group")
+        ids = own.pop("session_id")
+        cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+        for a, b in zip(cuts, cuts[1:]):
+            yield None if key < 0 else int(ids[a]), {c: v[a:b] for c, v in own.items()}
+
+    def read(self, session) -> tuple | None:
+        if self.grouped:
+            return self._held.getValue((session,))
+        return tuple(self._held.get()) if self._held.exists() else None
+
+    def write(self, session, state: tuple) -> None:
+        if self.grouped:
+            self._held.updateValue((session,), state)
         else:
-            self._held.update(tuple(state))
+            self._held.update(state)
+
+    def forget(self, session) -> None:
+        if self.grouped:
+            self._held.removeKey((session,))
+        else:
+            self._held.clear()
 
-    def table(self, session, made: list) -> pd.DataFrame:
-        """What several steps gave, as one table."""
+    def table(self, made: list[tuple]) -> pd.DataFrame:
+        """What several steps gave of their sessions, as one table."""
         if self.columns:
-            return pd.DataFrame([(session, *r) for m in made for r in m], columns=["session_id", *self.columns])
-        whole = made[0] if len(made) == 1 else {c: np.concatenate([m[c] for m in made]) for c in made[0]}
-        return pd.DataFrame({"session_id": session, **whole})
+            return pd.DataFrame([(s, *r) for s, m in made for r in m], columns=["session_id", *self.columns])
+        whole = made[0][1] if len(made) == 1 else {c: np.concatenate([m[c] for _, m in made]) for c in made[0][1]}
+        of = np.repeat(np.array([s for s, _ in made]), [len(m[self.order]) for _, m in made])
+        return pd.DataFrame({"session_id": of, **whole})
 
     def step(self, session, state: list, own: dict[str, np.ndarray]):
         """The state and what it was given of a session, sorted, column by column -> the state, and columns, or tuples where `columns` names theirs."""
@@ -206,23 +242,30 @@ def deduplicated(frames: DataFrame, late: str = "10 minutes") -> DataFrame:
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _run(df: DataFrame, columns: str, processor: _State, schema: str, ttl_ms: int | None) -> DataFrame:
+def _run(df: DataFrame, columns: str, processor: _State, schema: str, ttl_ms: int | None, groups: int | None) -> DataFrame:
+    """groups: how many groups sessions fall into; it stays the same as long as a checkpoint lives. None: each is a key."""
     control = F.col("control").cast("string") if "control" in df.columns else F.lit(None).cast("string")
-    processor.ttl_ms = ttl_ms
+    own = df.select(*columns.split(), control.alias("control"))
+    processor.ttl_ms, processor.grouped = ttl_ms, groups is not None
+    if groups is not None:
+        session = F.col("session_id")
+        group = F.when(session.isNull(), -1).otherwise(F.pmod(F.xxhash64(session), F.lit(groups))).cast("int")
+        # a null among them would make the ids of a batch floats in pandas
+        own = own.withColumns({"session_group": group, "session_id": F.coalesce(session, F.lit(0)).cast("long")})
     mode = "ProcessingTime" if ttl_ms else "None"
-    return df.select(*columns.split(), control.alias("control")).groupBy("session_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=mode)
+    return own.groupBy("session_id" if groups is None else "session_group").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode=mode)
 
 
-def stream_vad(frames: DataFrame, min_silence: int = MIN_SILENCE, every: int = 38, ttl_ms: int | None = None) -> DataFrame:
-    return _run(frames, "session_id frame_idx voiced", Vad(min_silence, every), VAD, ttl_ms)
+def stream_vad(frames: DataFrame, min_silence: int = MIN_SILENCE, every: int = 38, ttl_ms: int | None = None, groups: int | None = GROUPS) -> DataFrame:
+    return _run(frames, "session_id frame_idx voiced", Vad(min_silence, every), VAD, ttl_ms, groups)
 
 
-def stream_live_prosody(frames: DataFrame, ttl_ms: int | None = None, **how) -> DataFrame:
-    return _run(frames, "session_id frame_idx voiced pitch_hz level_dbfs", Live(**how), LIVE, ttl_ms)
+def stream_live_prosody(frames: DataFrame, ttl_ms: int | None = None, groups: int | None = GROUPS, **how) -> DataFrame:
+    return _run(frames, "session_id frame_idx voiced pitch_hz level_dbfs", Live(**how), LIVE, ttl_ms, groups)
 
 
-def stream_speakers(turns: DataFrame, ttl_ms: int | None = None, **how) -> DataFrame:
-    return _run(turns, "session_id seq start_time end_time embedding", Speakers(**how), SPEAKERS, ttl_ms)
+def stream_speakers(turns: DataFrame, ttl_ms: int | None = None, groups: int | None = GROUPS, **how) -> DataFrame:
+    return _run(turns, "session_id seq start_time end_time embedding", Speakers(**how), SPEAKERS, ttl_ms, groups)
 
 
 def stream_live_levels(frames: DataFrame, width: str = "192 milliseconds", late: str = "10 minutes") -> DataFrame:

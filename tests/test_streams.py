@@ -214,3 +214,62 @@ def test_vad_in_blocks_agrees_with_a_walk_over_frames(monkeypatch):
             sizes.append(len(t))
             got += list(t.drop(columns="session_id").itertuples(index=False, name=None))
     assert got == due and max(sizes) <= 2 * 70  # a trigger's rows left in one table
+
+
+class HeldByName:
+    """A map of a state, or one value of it under the name None."""
+
+    def __init__(self):
+        self.rows = {}
+
+    def getValue(self, key):
+        return self.rows.get(key)
+
+    def updateValue(self, key, value):
+        self.rows[key] = value
+
+    def removeKey(self, key):
+        del self.rows[key]
+
+    def exists(self):
+        return None in self.rows
+
+    def get(self):
+        return self.rows[None]
+
+    def update(self, value):
+        self.rows[None] = value
+
+    def clear(self):
+        self.rows.pop(None, None)
+
+
+@pytest.mark.parametrize("make", [lambda: P.Vad(2, 4), lambda: P.Live(width=3)])
+def test_a_group_of_sessions_is_one_call_and_one_table(make):
+    rng = np.random.default_rng(8)
+    n = 60 * 40
+    rows = pd.DataFrame({"session_group": 3, "session_id": np.repeat(np.arange(60) + 2**60, 40), "frame_idx": np.tile(np.arange(40), 60), "voiced": rng.random(n) < 0.4, "pitch_hz": rng.uniform(80, 300, n), "level_dbfs": rng.uniform(-60, 0, n)})
+    rows["control"] = np.select([rows.frame_idx % 20 == 19, rows.frame_idx % 20 == 0], ["end", "start"], None)
+    group = make()
+    group.grouped, group._held = True, HeldByName()
+    alone = {s: make() for s in rows.session_id.unique().tolist()}
+    for a in alone.values():
+        a._held = HeldByName()
+    for first, last in ((0, 7), (7, 30), (30, 40)):
+        own = rows[(rows.frame_idx >= first) & (rows.frame_idx < last)].sample(frac=1, random_state=1)
+        tables = list(group.handleInputRows((3,), iter([own[: len(own) // 2], own[len(own) // 2 :]]), None))
+        single = [t for s, a in alone.items() for t in a.handleInputRows((s,), iter([own[own.session_id == s].drop(columns=["session_group", "session_id"])]), None)]
+        assert len(tables) == 1
+        pd.testing.assert_frame_equal(tables[0], pd.concat(single, ignore_index=True), check_dtype=False)
+        assert group._held.rows == {(s,): a._held.rows[None] for s, a in alone.items() if a._held.rows}
+    assert group._held.rows == {}  # all ended
+
+
+def test_groups_keep_large_ids_and_rows_without_a_session(spark, tmp_path):
+    ids = [None, 0, 2**60 + 1, 2**60 + 2, *range(100, 140)]
+    at = lambda first: spark.createDataFrame([(s, first + i, (first + i) % 3 > 0) for s in ids for i in range(5)], "session_id long, frame_idx long, voiced boolean")
+    for groups, folder in ((7, "a"), (1, "b")):
+        (tmp_path / folder).mkdir()
+        run(spark, tmp_path / folder, [at(0), at(5)], groups=groups)
+        got = spark.read.parquet(str(tmp_path / folder / "out")).groupBy("session_id").agg(F.count("*").alias("n"), F.max("segment_no").alias("last"), F.count_if("segment_started").alias("starts")).collect()
+        assert {tuple(r) for r in got} == {(s, 10, 1, 1) for s in ids} and len(got) == len(ids)

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import wav
 
@@ -58,10 +62,25 @@ def read_conversation_json(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("delay_ms", F.coalesce("delay_ms", F.lit(1500))).withColumn("overlap", F.coalesce("overlap", F.lit(False))).withColumn("overlapping_speakers", F.coalesce("overlapping_speakers", F.array().cast("array<string>")))
 
 
-def encode_pcm16(clips: DataFrame, symmetric: bool = False) -> DataFrame:
-    """samples -> payload."""
+def encode_pcm16(clips: DataFrame, symmetric: bool = False, make: tuple[Callable, str] | None = None) -> DataFrame:
+    """samples -> payload.
+
+    make: a function from Arrow batches of `clips` to batches with samples, and the schema of their other columns, where
+    samples are yet to be made or decoded. It runs in the task that encodes, and what comes out are these columns and the
+    payload: samples are twice its size, and cross to Spark and back neither way."""
     from ..functions.kernels import encode_pcm16 as encode
 
+    if make:
+        source, others = make
+        names = StructType.fromDDL(others).names
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in source(batches):
+                made = pa.array([encode(x.values.to_numpy(zero_copy_only=False), symmetric) for x in batch.column("samples")], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), made], names=[*names, "payload"])
+
+        return clips.mapInArrow(whole, f"{others}, payload binary")
+
     @F.pandas_udf("binary")
     def run(s: pd.Series) -> pd.Series:
         return pd.Series([encode(x, symmetric) for x in s])

@@ -252,3 +252,27 @@ def test_noise_leaves_python_in_small_pieces(spark):
     rows = signals.FR.add_noise(clips, [("white", 10.0), ("babble", 5.0)], RATE, ("samples", "mean_square")).collect()
     assert len(rows) == 600 and len({(r.clip_id, r.kind, r.snr_db) for r in rows}) == 600
     assert all(K.mean_square(np.array(r.samples)) == r.mean_square for r in rows[::50])
+
+
+def test_clips_are_made_and_encoded_without_a_way_through_spark(spark, sf_dir):
+    from speechtable.sources import readers
+
+    plan = catalog.queries()["a14_encode_pcm16"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+    rows = signals.clip_rows(spark, sf_dir)
+    for symmetric in (False, True):
+        whole = readers.encode_pcm16(rows, symmetric, make=(signals._clips_of, "clip_id string"))
+        assert whole.columns == ["clip_id", "payload"]
+        apart = readers.encode_pcm16(signals.clips(spark, sf_dir), symmetric).select("clip_id", "payload")
+        assert {(r.clip_id, bytes(r.payload)) for r in whole.collect()} == {(r.clip_id, bytes(r.payload)) for r in apart.collect()}
+
+
+def test_what_clips_have_in_common_is_computed_once():
+    signals._clean.cache_clear()
+    i, hash_ = np.arange(signals.CLIP), lambda seed: (K.xxhash64_ints(np.arange(signals.CLIP), seed) % 2001 - 1000) / 1000.0
+    for n in range(1, 200):
+        user, seed = n % 10, n * 7919
+        assert (signals._clip("view", user, n, seed) == (0.25 * np.sin(2 * 3.141592653589793 * (130 + user * 9) * i / 16000.0) + 0.2 * hash_(seed)).astype(np.float32)).all()
+        assert (signals._clip("purchase", user, n, seed) == (np.where(i % (84 + user) == 0, 0.6, 0.0) + 0.08 * hash_(seed)).astype(np.float32)).all()
+        assert (signals._clip(None, user, n, seed) == (0.25 * np.sin(2 * 3.141592653589793 * (110 + user * 12 + (n % 9 - 4) * 20 * i / 16000.0) * i / 16000.0)).astype(np.float32)).all()
+    assert signals._clean.cache_info().misses <= 10 + 10 + 90
